@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from noteskein.plans import graph_queries  # noqa: F401
+from noteskein.plans import graph_queries, note_queries, upkeep_queries  # noqa: F401
 from noteskein.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
