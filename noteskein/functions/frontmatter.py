@@ -10,10 +10,10 @@ import datetime
 import json
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from noteskein.functions import fixed
-from noteskein.functions.text import body_text, frontmatter_text, py_strip
+from noteskein.functions.text import body_text, frontmatter_text, let, py_strip
 
 try:
     import yaml
@@ -100,15 +100,19 @@ def write_note(entries: Column, body: Column) -> Column:
     return F.when(F.size(entries) > 0, block).otherwise(clean)
 
 
-def rewrite_note(content: Column, change) -> Column:
-    """Apply ``change(entries) -> entries`` and write the note once, whatever the number of tags."""
-    return write_note(change(note_entries(content)), body_text(content))
+def rewrite_notes(notes: DataFrame, change) -> DataFrame:
+    """Apply ``change(entries) -> entries`` to all notes; each is written once, whatever the number of tags."""
+    read = notes.withColumn("_entries", note_entries(F.col("content")))
+    # A generator keeps the lambda functions of the change out of the arguments of the YAML writer,
+    # where Spark cannot evaluate them.
+    changed = read.withColumn("_entries", F.explode(F.array(change(F.col("_entries")))))
+    return changed.withColumn("content", write_note(F.col("_entries"), body_text(F.col("content")))).drop("_entries")
 
 
 def json_text(value: Column) -> Column:
     """JSON text of a plain string."""
     text = F.to_json(F.array(value))
-    return F.substring(text, 2, F.length(text) - 2)
+    return F.when(value.isNotNull(), F.substring(text, 2, F.length(text) - 2))
 
 
 def plain_text(value: Column) -> Column:
@@ -128,12 +132,16 @@ def value_of(entries: Column, key) -> Column:
 
 def last_per_key(entries: Column) -> Column:
     """Each key once: at its first place, with its last value."""
-    return F.transform(
-        F.array_distinct(keys_of(entries)),
-        lambda key: F.struct(
-            key.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == key), -1)["value"].alias("value")
-        ),
-    )
+    def merged(all_entries: Column) -> Column:
+        return F.transform(
+            F.array_distinct(keys_of(all_entries)),
+            lambda key: F.struct(
+                key.alias("key"),
+                F.element_at(F.filter(all_entries, lambda e: e["key"] == key), -1)["value"].alias("value"),
+            ),
+        )
+
+    return let(entries, merged)
 
 
 def set_tags(entries: Column, tags: dict[str, Column], stamped_at: Column | None = None) -> Column:
@@ -156,9 +164,8 @@ def rename_tags(entries: Column, mapping: dict[str, str]) -> Column:
     pairs = [F.lit(x) for pair in mapping.items() for x in pair]
     ranks = [F.lit(x) for i, old in enumerate(mapping, 1) for x in (old, i)]
     new_name, rank = F.create_map(*pairs), F.create_map(*ranks)
-    names = keys_of(entries)
 
-    def moved(entry: Column) -> Column:
+    def moved(entry: Column, names: Column) -> Column:
         key = entry["key"]
         base = F.when(F.endswith(key, F.lit("_at")), F.substring(key, 1, F.length(key) - 3))
         follows = F.array_contains(names, base) & F.try_element_at(new_name, base).isNotNull()
@@ -169,7 +176,7 @@ def rename_tags(entries: Column, mapping: dict[str, str]) -> Column:
             entry["value"].alias("value"),
         )
 
-    ordered = F.array_sort(F.transform(entries, moved))
+    ordered = F.array_sort(let(entries, lambda es: F.transform(es, lambda e: moved(e, keys_of(es)))))
     return last_per_key(F.transform(ordered, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from noteskein.functions import fixed
-from noteskein.functions.text import py_strip
+from noteskein.functions.text import let, py_strip
 
 TRIPLE_FIELDS = ["source_category", "source_label", "relationship", "target_category", "target_label"]
 TRIPLE_LIST = "array<struct<" + ",".join(f"{f}:string" for f in TRIPLE_FIELDS) + ">>"
@@ -16,12 +16,19 @@ RELATION_LIST = (
 
 def _fenced(text: Column, fence: str) -> Column:
     """Text inside the first fence, or the whole text when the fence is not closed."""
-    inner = F.substr(text, F.instr(text, fence) + len(fence))
-    return F.when(F.contains(inner, F.lit("```")), py_strip(F.substring_index(inner, "```", 1))).otherwise(text)
+    rest = F.substr(text, F.instr(text, fence) + len(fence))
+    return let(
+        rest,
+        lambda r: F.when(F.contains(r, F.lit("```")), py_strip(F.substring_index(r, "```", 1))).otherwise(text),
+    )
 
 
 def outer_object(text: Column) -> Column:
     """From the first opening to the last closing brace; NULL without such a pair."""
+    return let(text, _outer_object)
+
+
+def _outer_object(text: Column) -> Column:
     start = F.instr(text, "{")
     end = F.length(text) - F.instr(F.reverse(text), "}") + 1
     return F.when(
@@ -29,19 +36,28 @@ def outer_object(text: Column) -> Column:
     )
 
 
+def _out_of_fence(text: Column) -> Column:
+    return (
+        F.when(F.contains(text, F.lit("```json")), _fenced(text, "```json"))
+        .when(F.contains(text, F.lit("```")), _fenced(text, "```"))
+        .otherwise(text)
+    )
+
+
 def clean_response(text: Column) -> Column:
     """JSON object of a response: out of its code fence, without text around, no trailing commas."""
-    inner = F.when(F.contains(text, F.lit("```json")), _fenced(text, "```json")).when(
-        F.contains(text, F.lit("```")), _fenced(text, "```")
-    ).otherwise(text)
-    inner = py_strip(inner)
-    return F.coalesce(F.regexp_replace(outer_object(inner), r"(?U),(\s*[}\]])", "$1"), inner)
+    def without_commas(inner: Column) -> Column:
+        return F.coalesce(F.regexp_replace(outer_object(inner), r"(?U),(\s*[}\]])", "$1"), inner)
+
+    return let(text, lambda t: let(py_strip(_out_of_fence(t)), without_commas))
 
 
 def strip_reasoning(text: Column) -> Column:
     """Answer after the reasoning part; text around a JSON object is dropped too."""
     answer = F.when(F.contains(text, F.lit("</think>")), py_strip(F.substring_index(text, "</think>", -1))).otherwise(text)
-    return F.when(F.startswith(answer, F.lit("{")), answer).otherwise(F.coalesce(outer_object(answer), answer))
+    return let(
+        answer, lambda a: F.when(F.startswith(a, F.lit("{")), a).otherwise(F.coalesce(outer_object(a), a))
+    )
 
 
 def answer_or_reasoning(content: Column, thinking: Column) -> Column:
@@ -82,7 +98,7 @@ def read_triples(cleaned: Column) -> Column:
             test = test & (F.length(row[name]) > 0)
         return F.coalesce(test, F.lit(False))
 
-    return F.when(F.forall(rows, complete), rows).otherwise(F.filter(rows, filled))
+    return let(rows, lambda r: F.when(F.forall(r, complete), r).otherwise(F.filter(r, filled)))
 
 
 def diagnose(cleaned: Column) -> Column:
@@ -98,10 +114,13 @@ def diagnose(cleaned: Column) -> Column:
         return test
 
     flags = F.transform(objects, bad)
-    return F.struct(
-        F.size(objects).alias("n_objects"),
-        F.nullif(F.array_position(flags, F.lit(True)), F.lit(0).cast("bigint")).alias("first_invalid"),
-        cleaned.rlike(r'\{[^{}]*"source_category"[^}]*\z').alias("truncated"),
+    return let(
+        flags,
+        lambda f: F.struct(
+            F.size(f).alias("n_objects"),
+            F.nullif(F.array_position(f, F.lit(True)), F.lit(0).cast("bigint")).alias("first_invalid"),
+            cleaned.rlike(r'\{[^{}]*"source_category"[^}]*\z').alias("truncated"),
+        ),
     )
 
 
@@ -111,9 +130,9 @@ def graph_relations(text: Column) -> Column:
         text,
         "nodes array<struct<id:string,name:string,type:string>>, edges array<struct<source:string,target:string,type:string>>",
     )
-    nodes = F.coalesce(parsed["nodes"], F.array().cast("array<struct<id:string,name:string,type:string>>"))
+    no_nodes = F.array().cast("array<struct<id:string,name:string,type:string>>")
 
-    def relation(edge: Column) -> Column:
+    def relation(edge: Column, nodes: Column) -> Column:
         def node(name: Column) -> Column:
             # The last node of an id counts.
             return F.get(F.reverse(F.filter(nodes, lambda n: F.coalesce(n["id"], F.lit("")) == name)), F.lit(0))
@@ -127,7 +146,9 @@ def graph_relations(text: Column) -> Column:
             F.coalesce(node(target)["type"], F.lit("Unknown")).alias("target_category"),
         )
 
-    return F.transform(parsed["edges"], relation)
+    return let(
+        parsed, lambda p: F.transform(p["edges"], lambda e: relation(e, F.coalesce(p["nodes"], no_nodes)))
+    )
 
 
 _ITEM_FIELDS = [
@@ -161,8 +182,10 @@ def structured_relations(text: Column) -> Column:
         )
 
     empty = F.array().cast(RELATION_LIST)
-    parts = [F.coalesce(F.transform(parsed[s], relation), empty) for s in fixed.STRUCTURED_SECTIONS]
-    return F.array_compact(F.concat(*parts))
+    def all_sections(p: Column) -> Column:
+        return F.concat(*[F.coalesce(F.transform(p[s], relation), empty) for s in fixed.STRUCTURED_SECTIONS])
+
+    return F.array_compact(let(parsed, all_sections))
 
 
 # Fields of the two ends per section, and the relation: a field to read, or a fixed name.
@@ -180,9 +203,9 @@ def section_relations(text: Column) -> Column:
     """Relations of the same object by the field names each section uses, with one relation form."""
     parsed = F.from_json(text, _SECTIONS)
     kind = "array<struct<source:string,target:string,relationship:string>>"
-    parts = []
-    for section, forms in SECTION_FORMS.items():
-        def relation(item: Column, forms=forms) -> Column:
+
+    def of_section(p: Column, section: str, forms: list) -> Column:
+        def relation(item: Column) -> Column:
             found = None
             for source, target, field, name in forms:
                 test = item[source].isNotNull() & item[target].isNotNull()
@@ -191,17 +214,26 @@ def section_relations(text: Column) -> Column:
                 found = F.when(test, row) if found is None else found.when(test, row)
             return found
 
-        parts.append(F.coalesce(F.transform(parsed[section], relation), F.array().cast(kind)))
-    return F.array_compact(F.concat(*parts))
+        return F.coalesce(F.transform(p[section], relation), F.array().cast(kind))
+
+    return F.array_compact(
+        let(parsed, lambda p: F.concat(*[of_section(p, s, forms) for s, forms in SECTION_FORMS.items()]))
+    )
 
 
 def parse_typed(raw: Column, output_type: Column) -> Column:
     """A result in its declared type; one field of the struct is filled, numbers fall back to 0."""
-    text = py_strip(raw)
+    return let(py_strip(raw), lambda text: let(_unquoted(text), lambda bare: _typed(bare, output_type)))
+
+
+def _unquoted(text: Column) -> Column:
     quoted = (F.startswith(text, F.lit('"')) & F.endswith(text, F.lit('"'))) | (
         F.startswith(text, F.lit("'")) & F.endswith(text, F.lit("'"))
     )
-    bare = F.when(quoted, F.substr(text, F.lit(2), F.greatest(F.length(text) - 2, F.lit(0)))).otherwise(text)
+    return F.when(quoted, F.substr(text, F.lit(2), F.greatest(F.length(text) - 2, F.lit(0)))).otherwise(text)
+
+
+def _typed(bare: Column, output_type: Column) -> Column:
     number = py_strip(bare)
     whole = number.rlike(r"^[+-]?\d+\z")
     real = F.contains(bare, F.lit(".")) & number.rlike(r"^[+-]?(\d+\.\d*|\.\d+)([eE][+-]?\d+)?\z")
@@ -225,14 +257,15 @@ def _result_text(value: Column) -> Column:
 
 def read_results(raw: Column) -> Column:
     """Map of tag to text under ``results``; NULL when the response is no JSON object."""
-    fence = F.when(F.contains(raw, F.lit("```json")), _fenced(py_strip(raw), "```json")).when(
-        F.contains(raw, F.lit("```")), _fenced(py_strip(raw), "```")
-    ).otherwise(raw)
-    parsed = F.coalesce(F.try_parse_json(raw), F.try_parse_json(fence))
-    results = F.try_variant_get(parsed, "$.results", "map<string,variant>")
+    parsed = F.coalesce(F.try_parse_json(raw), F.try_parse_json(_out_of_fence(py_strip(raw))))
     empty = F.create_map().cast("map<string,string>")
-    is_object = F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT"))
-    return F.when(is_object, F.coalesce(F.transform_values(results, lambda k, v: _result_text(v)), empty))
+
+    def results(p: Column) -> Column:
+        values = F.try_variant_get(p, "$.results", "map<string,variant>")
+        is_object = F.startswith(F.schema_of_variant(p), F.lit("OBJECT"))
+        return F.when(is_object, F.coalesce(F.transform_values(values, lambda k, v: _result_text(v)), empty))
+
+    return let(parsed, results)
 
 
 def missing_tags(results: Column, expected: Column) -> Column:

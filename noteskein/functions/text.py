@@ -15,6 +15,11 @@ _LINE_BLANK = r"[\s\x1c-\x1f&&[^\n]]*"
 _FRONTMATTER = rf"(?sU)\A---[^\n]*((?:\n.*?)??)\n{_LINE_BLANK}---{_LINE_BLANK}(?:\n|\z)"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it occurs in the result."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def py_strip(text: Column) -> Column:
     """Remove every kind of blank at both ends (``trim`` alone removes spaces only)."""
     return F.btrim(text, F.lit(fixed.WHITESPACE))

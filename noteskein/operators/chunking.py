@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from noteskein.functions import fixed
 from noteskein.functions.prompts import estimated_tokens
-from noteskein.scale import running_total, with_previous
+from noteskein.scale import BLOCK, running_total, with_previous
 
 CHARS_PER_TOKEN = 4
 
@@ -46,9 +46,9 @@ def semantic_chunks(
     sentences: DataFrame,
     threshold: float = fixed.SIMILARITY_THRESHOLD,
     max_tokens: int = fixed.CHUNK_TOKENS,
-    width: int = 4096,
+    width: int = BLOCK,
 ) -> DataFrame:
-    """Add ``chunk_index`` to ``note_id, pos, embedding, token_count`` with dense positions from 0.
+    """Chunks of ``note_id, pos, embedding, token_count`` with dense positions from 0, one row per chunk.
 
     A sentence opens a segment when it is less similar to the one before than the threshold. A
     segment is cut again each time its running token count passes a multiple of the bound. All
@@ -61,24 +61,13 @@ def semantic_chunks(
     segments = running_total(flagged, ["note_id"], "pos", F.col("_opens"), "_segment", width)
     sized = running_total(segments, ["note_id", "_segment"], "pos", F.col("token_count"), "_tokens", width)
     part = F.floor((F.col("_tokens") - F.col("token_count")) / max_tokens)
-    marked = sized.withColumn("_part", part)
-    # A chunk opens where the segment or the part changes; its number is the running count of such places.
-    earlier = with_previous(marked, ["note_id"], "pos", {"_segment": "_seg0", "_part": "_part0"}, width)
-    changed = F.col("_seg0").isNull() | (F.col("_seg0") != F.col("_segment")) | (F.col("_part0") != F.col("_part"))
-    counted = running_total(
-        earlier.select("note_id", "pos", "token_count", changed.cast("int").alias("_start")),
-        ["note_id"], "pos", F.col("_start"), "_number", width,
-    )
-    return counted.select("note_id", "pos", "token_count", (F.col("_number") - 1).alias("chunk_index"))
-
-
-def chunk_sizes(chunked: DataFrame) -> DataFrame:
-    return chunked.groupBy("note_id", "chunk_index").agg(
+    chunks = sized.groupBy("note_id", "_segment", part.alias("_part")).agg(
         F.count(F.lit(1)).alias("n_sentences"), F.min("pos").alias("first_pos"), F.sum("token_count").alias("token_count")
     )
+    return dense_positions(chunks, "note_id", "first_pos", "chunk_index", width).drop("_segment", "_part")
 
 
-def dense_positions(rows: DataFrame, key: str, order: str, name: str = "pos", width: int = 4096) -> DataFrame:
+def dense_positions(rows: DataFrame, key: str, order: str, name: str = "pos", width: int = BLOCK) -> DataFrame:
     """Positions from 0 by a unique whole-number column within a key."""
     numbered = running_total(rows, [key], order, F.lit(1), "_number", width)
     return numbered.withColumn(name, F.col("_number") - 1).drop("_number")

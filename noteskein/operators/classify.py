@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from noteskein.functions import fixed
 from noteskein.functions.frontmatter import json_text, keys_of
 from noteskein.functions.prompts import (
-    context_band, context_window, estimated_tokens, multi_system, multi_user, single_system, single_user,
+    context_band, context_window, estimated_tokens, labelled_message, multi_system, multi_user, single_system,
+    single_user,
 )
 from noteskein.functions.responses import parse_typed, read_results, results_error
 from noteskein.functions.text import in_folder, is_blank
@@ -248,3 +249,26 @@ def delete_tasks(tasks: DataFrame, runs: DataFrame, tags: DataFrame) -> tuple[Da
     """Remove tasks together with their runs."""
     gone = tasks.join(tags.select("tag"), "tag", "left_semi").select(F.col("id").alias("task_id"))
     return tasks.join(tags.select("tag"), "tag", "left_anti"), runs.join(gone, "task_id", "left_anti")
+
+
+# Messages
+
+# Turns per part of a combined prompt, so that no group holds a whole long conversation.
+TURNS_PER_PART = 1024
+
+
+def message_parts(messages: DataFrame, key: str) -> DataFrame:
+    """Ordered messages per conversation and part, from ``key, turn, role, text``."""
+    part = F.floor(F.col("turn") / TURNS_PER_PART).alias("part")
+    listed = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    return messages.groupBy(key, part).agg(listed.alias("messages"))
+
+
+def combine_messages(messages: DataFrame, key: str) -> DataFrame:
+    """One prompt text per conversation, each message with its role in front.
+
+    A conversation of more than ``TURNS_PER_PART`` turns comes in parts, whose texts in order
+    (with a blank line between) are the whole prompt.
+    """
+    labelled = F.array_compact(F.transform("messages", lambda m: labelled_message(m["role"], m["text"])))
+    return message_parts(messages, key).select(key, "part", F.array_join(labelled, "\n\n").alias("prompt"))

@@ -8,7 +8,7 @@ from noteskein.functions import fixed
 from noteskein.functions.frontmatter import (
     entries_json, json_text, last_per_key, no_entries, read_entries, without_system_keys,
 )
-from noteskein.functions.text import frontmatter_block, py_strip
+from noteskein.functions.text import frontmatter_block, let, py_strip
 from noteskein.scale import salted_lookup
 
 # Key and value of one line of a section, tried in this order.
@@ -62,6 +62,24 @@ def section_entries(content: Column) -> Column:
     return F.when(F.contains(content, F.lit("##")), found).otherwise(no_entries())
 
 
+def _section_pairs(section: Column, keep_stray: bool) -> Column:
+    found = no_entries()
+    for form in _PAIR_FORMS:
+        pattern = F.lit("(?dmU)" + form)
+        pairs = F.zip_with(
+            F.regexp_extract_all(section, pattern, F.lit(1)),
+            F.regexp_extract_all(section, pattern, F.lit(2)),
+            lambda k, v: F.struct(py_strip(k).alias("k"), py_strip(v).alias("v")),
+        )
+        usable = F.filter(
+            pairs,
+            lambda p: (F.length(p["k"]) > 0) & (F.length(p["v"]) > 0) & (F.length(p["k"]) < _MAX_PAIR_KEY)
+            & (F.lit(keep_stray) | ~p["k"].rlike(r"^[-*]")),
+        )
+        found = F.concat(found, F.transform(usable, lambda p: _entry(_raw_key(p["k"]), p["v"])))
+    return found
+
+
 def pair_entries(content: Column, keep_stray: bool = False) -> Column:
     """Entries of the first section per heading (exact case), found by patterns over its whole text.
 
@@ -71,19 +89,7 @@ def pair_entries(content: Column, keep_stray: bool = False) -> Column:
     found = no_entries()
     for heading in fixed.PAIR_HEADINGS:
         section = F.regexp_extract(content, _section(heading, "smU"), 1)
-        for form in _PAIR_FORMS:
-            pattern = F.lit("(?dmU)" + form)
-            pairs = F.zip_with(
-                F.regexp_extract_all(section, pattern, F.lit(1)),
-                F.regexp_extract_all(section, pattern, F.lit(2)),
-                lambda k, v: F.struct(py_strip(k).alias("k"), py_strip(v).alias("v")),
-            )
-            usable = F.filter(
-                pairs,
-                lambda p: (F.length(p["k"]) > 0) & (F.length(p["v"]) > 0) & (F.length(p["k"]) < _MAX_PAIR_KEY)
-                & (F.lit(keep_stray) | ~p["k"].rlike(r"^[-*]")),
-            )
-            found = F.concat(found, F.transform(usable, lambda p: _entry(_raw_key(p["k"]), p["v"])))
+        found = F.concat(found, let(section, lambda s: _section_pairs(s, keep_stray)))
     return F.when(F.contains(content, F.lit("##")), found).otherwise(no_entries())
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from noteskein.functions.frontmatter import note_entries, value_of
-from noteskein.functions.text import body_hash, body_text
+from noteskein.functions.text import body_hash, body_text, let
 from noteskein.operators import aliases, integrity, metadata, notes_graph, triples
 from noteskein.operators.chunking import chunk_notes
 from noteskein.operators.extraction import ModelFunction, cached_responses, triples_from_responses, with_chunk_key
@@ -28,11 +28,12 @@ class Graph:
 
 def declared_aliases(notes: DataFrame) -> DataFrame:
     """``source_file, modified, aliases`` of notes that declare any."""
-    value = F.parse_json(value_of(note_entries(F.col("content")), "resolves"))
-    pairs = aliases.as_mapping(aliases.parse_alias_lines(aliases.alias_lines(value)))
-    declared = notes.where(F.contains("content", F.lit("resolves"))).select(
-        F.col("id").alias("source_file"), "modified", pairs.alias("aliases")
+    read = notes.where(F.contains("content", F.lit("resolves"))).select(
+        F.col("id").alias("source_file"), "modified", note_entries(F.col("content")).alias("_entries")
     )
+    value = F.parse_json(value_of(F.col("_entries"), "resolves"))
+    pairs = aliases.as_mapping(aliases.parse_alias_lines(let(value, aliases.alias_lines)))
+    declared = read.select("source_file", "modified", pairs.alias("aliases"))
     return declared.where(F.size("aliases") > 0)
 
 

@@ -345,7 +345,7 @@ def note_rewrite(spark, sf):
         lang = FM.value_of(entries, "lang")
         return FM.set_tags(FM.no_entries(), {"kind": lang, "checked": F.lit("true")})
 
-    return V.notes(spark, sf).select("id", F.sha2(FM.rewrite_note(F.col("content"), change), 256).alias("hash"))
+    return FM.rewrite_notes(V.notes(spark, sf), change).select("id", F.sha2("content", 256).alias("hash"))
 
 
 @query(
@@ -396,7 +396,7 @@ _CHUNKS = {
 
 @query("semantic_chunks", "SELECT note_id, CAST(chunk_index AS BIGINT) AS chunk_index, count(*) AS n_sentences, min(pos) AS first_pos, CAST(count(*) * 64 AS BIGINT) AS token_count FROM numbered GROUP BY note_id, chunk_index", extra=_CHUNKS)
 def semantic_chunks(spark, sf):
-    return chunking.chunk_sizes(chunking.semantic_chunks(_sentences(spark, sf), threshold=0.5, max_tokens=256))
+    return chunking.semantic_chunks(_sentences(spark, sf), threshold=0.5, max_tokens=256)
 
 
 @query(

@@ -424,8 +424,8 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
     ),
     "states": (
         ["tasks", "notes"],
-        "SELECT n.id AS note_id, t.*, n.lang, n.body, CASE WHEN len(list_filter(expected, x -> NOT list_contains(keys, x))) = 0 THEN 'full' "
-        "WHEN len(list_filter(expected, x -> list_contains(keys, x))) > 0 THEN 'partial' ELSE 'none' END AS state "
+        "SELECT n.id AS note_id, t.*, n.lang, n.body, CASE WHEN len(list_filter(expected, lambda x: NOT list_contains(keys, x))) = 0 THEN 'full' "
+        "WHEN len(list_filter(expected, lambda x: list_contains(keys, x))) > 0 THEN 'partial' ELSE 'none' END AS state "
         "FROM (SELECT *, list_concat(['title', 'lang', 'source', 'resolves'], list_concat(CASE WHEN quality IS NULL THEN [] ELSE ['quality_tag'] END, "
         "CASE WHEN toxic = 1 THEN ['risk_tag', 'risk_tag_at'] ELSE [] END)) AS keys FROM notes) n CROSS JOIN (SELECT * FROM tasks WHERE enabled) t",
     ),

@@ -10,6 +10,9 @@ from noteskein.session import ensure_checkpoint_dir
 
 SALTS = 16
 
+# Positions per block of a blocked sum: a window over 10^12 rows of one key sees 1.5 * 10^7 block sums.
+BLOCK = 65536
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through a reliable checkpoint, so that a lost executor costs one stage only."""
@@ -56,8 +59,8 @@ def running_total(
     position: str,
     value: Column,
     name: str,
-    width: int = 4096,
-    levels: int = 2,
+    width: int = BLOCK,
+    levels: int = 1,
 ) -> DataFrame:
     """Inclusive sum of ``value`` by ``position`` within ``keys``, without a window over a whole key.
 
@@ -81,7 +84,7 @@ def running_total(
 
 
 def with_previous(
-    df: DataFrame, keys: list[str], position: str, columns: dict[str, str], width: int = 4096
+    df: DataFrame, keys: list[str], position: str, columns: dict[str, str], width: int = BLOCK
 ) -> DataFrame:
     """Value of each column at ``position - 1``, for dense positions, with windows of one block.
 
