@@ -46,11 +46,11 @@ def salted_lookup(
     the skew in ``facts``. Rows with a NULL key are spread by the salt as well. Whether the
     repeated table is broadcast is left to Catalyst and AQE, which know its size.
     """
-    keys = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    keys = dim.withColumn("_dim_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     keys = keys.withColumnRenamed(dim_key, "_dim_key")
     salted = facts.withColumn("_key", key).withColumn("_salt", spread([F.col(c) for c in salt_by], salts))
-    joined = salted.join(keys, (salted["_key"] == keys["_dim_key"]) & (salted["_salt"] == keys["_salt"]), how)
-    return joined.drop(salted["_salt"]).drop("_salt", "_key", "_dim_key")
+    joined = salted.join(keys, (F.col("_key") == F.col("_dim_key")) & (F.col("_salt") == F.col("_dim_salt")), how)
+    return joined.drop("_salt", "_dim_salt", "_key", "_dim_key")
 
 
 def running_total(
