@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from noteskein.functions.text import let, py_strip
 from noteskein.operators.triples import FACT
-from noteskein.scale import salted_lookup
+from noteskein.scale import lookup
 
 ALIAS_LIST = "array<struct<old_name:string,new_name:string>>"
 
@@ -69,7 +69,7 @@ def rename_scoped(triples: DataFrame, declared: DataFrame) -> DataFrame:
     ``declared`` holds ``source_file, aliases`` with one row per file, aliases being the ordered pairs.
     """
     lists = declared.select("source_file", F.col("aliases").alias("_aliases"))
-    joined = salted_lookup(triples, lists, F.col("source_file"), "source_file", FACT).withColumns({
+    joined = lookup(triples, lists, F.col("source_file"), "source_file", FACT).withColumns({
         "source_label": apply_in_order(F.col("source_label"), F.col("_aliases")),
         "target_label": apply_in_order(F.col("target_label"), F.col("_aliases")),
     })

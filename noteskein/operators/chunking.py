@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from noteskein.functions import fixed
 from noteskein.functions.prompts import estimated_tokens
+from noteskein.functions.text import is_blank
 from noteskein.scale import BLOCK, running_total, with_previous
 
 CHARS_PER_TOKEN = 4
@@ -25,9 +26,9 @@ def chunk_texts(text: Column, max_tokens: int = 512) -> Column:
 
 def chunk_notes(notes: DataFrame, max_tokens: int = 512, text: str = "body") -> DataFrame:
     """``note_id, chunk_index, text, token_count`` of every note; blank pieces are kept out."""
-    pieces = F.posexplode(chunk_texts(F.col(text), max_tokens)).alias("chunk_index", "text")
+    pieces = F.posexplode_outer(chunk_texts(F.col(text), max_tokens)).alias("chunk_index", "text")
     rows = notes.select(F.col("id").alias("note_id"), pieces)
-    return rows.where(~F.col("text").rlike(r"\A(?U)\s*\z")).withColumns({
+    return rows.where(F.col("text").isNotNull() & ~is_blank(F.col("text"))).withColumns({
         "token_count": estimated_tokens(F.length("text") + (CHARS_PER_TOKEN - 1)),
         "chunk_type": F.lit("recursive"),
     })

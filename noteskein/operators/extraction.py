@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from noteskein.functions import fixed
 from noteskein.functions.responses import clean_response, read_triples, strip_reasoning
-from noteskein.scale import salted_lookup
+from noteskein.scale import lookup
 from noteskein.schemas import RESPONSES
 
 ModelFunction = Callable[[list[str]], list[str]]
@@ -68,7 +68,7 @@ def triples_from_responses(keyed: DataFrame, responses: DataFrame) -> DataFrame:
     known = lambda t: t["source_category"].isin(fixed.CATEGORIES) & t["target_category"].isin(fixed.CATEGORIES)
     parsed = parsed.select("chunk_key", F.filter("_triples", known).alias("_triples")).where(F.size("_triples") > 0)
     places = keyed.select("note_id", "chunk_index", "chunk_key")
-    found = salted_lookup(places, parsed, F.col("chunk_key"), "chunk_key", ["note_id", "chunk_index"], how="inner")
+    found = lookup(places, parsed, F.col("chunk_key"), "chunk_key", ["note_id", "chunk_index"], how="inner")
     return found.select("note_id", "chunk_index", F.posexplode("_triples").alias("ord", "_t")).select(
         "note_id", "chunk_index", "ord", "_t.*"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from noteskein.functions.text import is_valid_key, py_strip
-from noteskein.scale import salted_lookup
+from noteskein.scale import checkpointed, lookup
 
 
 def valid_rows(table: DataFrame, *key_columns: str) -> DataFrame:
@@ -45,6 +45,7 @@ def _resolve(edges: DataFrame, end: str, category: Column, ids: DataFrame, sprea
     by_lower = ids.groupBy("category", F.lower("id").alias("_lower")).agg(
         F.min("id").alias("_first"), F.count(F.lit(1)).alias("_spellings")
     )
+    by_lower = checkpointed(by_lower)
     lower_dim = by_lower.select(F.struct("category", "_lower").alias("_probe"), "_first", "_spellings")
     many = by_lower.where(F.col("_spellings") > 1).select("category", "_lower")
     exact_dim = (
@@ -53,15 +54,17 @@ def _resolve(edges: DataFrame, end: str, category: Column, ids: DataFrame, sprea
     )
     name = py_strip(F.col(end))
     lower_key = F.struct(category.alias("category"), F.lower(name).alias("_lower"))
-    found = salted_lookup(edges, lower_dim, lower_key, "_probe", spread_by)
+    found = lookup(edges, lower_dim, lower_key, "_probe", spread_by)
+    if many.isEmpty():
+        return found.withColumn(f"{end}_id", F.col("_first")).drop("_first", "_spellings")
     exact_key = F.when(F.col("_spellings") > 1, F.struct(category.alias("category"), name.alias("_name")))
-    found = salted_lookup(found, exact_dim, exact_key, "_probe", spread_by)
+    found = lookup(found, exact_dim, exact_key, "_probe", spread_by)
     return found.withColumn(f"{end}_id", F.coalesce("_exact", "_first")).drop("_first", "_spellings", "_exact")
 
 
 def resolve_ends(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Add the entity ids both ends resolve to (NULL where there is none)."""
-    ids = entities.select("category", "id").distinct()
+    ids = checkpointed(entities.select("category", "id").distinct())
     parts = F.split("edge_type", "_TO_")
     source, target = F.initcap(F.element_at(parts, 1)), F.initcap(F.element_at(parts, 2))
     found = _resolve(edges, "src", source, ids, ["edge_type", "dst", "relationship"])

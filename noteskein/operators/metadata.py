@@ -9,7 +9,7 @@ from noteskein.functions.frontmatter import (
     entries_json, json_text, last_per_key, no_entries, read_entries, without_system_keys,
 )
 from noteskein.functions.text import frontmatter_block, let, py_strip
-from noteskein.scale import salted_lookup
+from noteskein.scale import lookup
 
 # Key and value of one line of a section, tried in this order.
 _LINE_FORMS = [
@@ -52,14 +52,24 @@ def _line_entry(line: Column) -> Column:
     return F.when(usable, _entry(_raw_key(key), value))
 
 
+def _from_first_mark(content: Column) -> Column:
+    """Text from the first ``##`` on; sections cannot start earlier, so the patterns skip the rest."""
+    return F.substr(content, F.instr(content, "##"))
+
+
 def section_entries(content: Column) -> Column:
     """Entries of all metadata sections, read line by line."""
+    found = let(_from_first_mark(content), _all_sections)
+    return F.when(F.contains(content, F.lit("##")), found).otherwise(no_entries())
+
+
+def _all_sections(content: Column) -> Column:
     found = no_entries()
     for heading in fixed.SECTION_HEADINGS:
         sections = F.regexp_extract_all(content, F.lit(_section(heading, "isU")), F.lit(1))
         lines = F.flatten(F.transform(sections, lambda s: F.transform(F.split(py_strip(s), "\n"), py_strip)))
         found = F.concat(found, F.array_compact(F.transform(lines, _line_entry)))
-    return F.when(F.contains(content, F.lit("##")), found).otherwise(no_entries())
+    return found
 
 
 def _section_pairs(section: Column, keep_stray: bool) -> Column:
@@ -86,10 +96,14 @@ def pair_entries(content: Column, keep_stray: bool = False) -> Column:
     The loosest form also fits list items and would add keys such as ``_title`` for ``- Title: x``;
     they are dropped unless ``keep_stray`` is set.
     """
-    found = no_entries()
-    for heading in fixed.PAIR_HEADINGS:
-        section = F.regexp_extract(content, _section(heading, "smU"), 1)
-        found = F.concat(found, let(section, lambda s: _section_pairs(s, keep_stray)))
+    def of_text(text: Column) -> Column:
+        found = no_entries()
+        for heading in fixed.PAIR_HEADINGS:
+            section = F.regexp_extract(text, _section(heading, "smU"), 1)
+            found = F.concat(found, let(section, lambda s: _section_pairs(s, keep_stray)))
+        return found
+
+    found = let(_from_first_mark(content), of_text)
     return F.when(F.contains(content, F.lit("##")), found).otherwise(no_entries())
 
 
@@ -150,6 +164,6 @@ def lookup_metadata(notes: DataFrame, requests: DataFrame) -> DataFrame:
     """Value of one key per requested ``id, key``."""
     wanted = requests.select("id").distinct()
     entries = note_metadata(notes.join(wanted, "id", "left_semi")).select("id", "entries")
-    found = salted_lookup(requests, entries, F.col("id"), "id", ["key"])
+    found = lookup(requests, entries, F.col("id"), "id", ["key"])
     value = F.get(F.filter("entries", lambda e: e["key"] == F.col("key")), F.lit(0))["value"]
     return found.withColumn("value", value).drop("entries")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from noteskein.functions import fixed
 from noteskein.functions.text import path_types, slug_id, types_csv, wikilinks
-from noteskein.scale import salted_lookup
+from noteskein.scale import lookup
 
 
 def note_nodes(notes: DataFrame, rules=None) -> DataFrame:
@@ -16,7 +16,9 @@ def note_nodes(notes: DataFrame, rules=None) -> DataFrame:
 
 def note_mentions(notes: DataFrame) -> DataFrame:
     """Distinct ``src, link`` pairs: note id and link target. Copies of a link merge map-side."""
-    return notes.select(F.col("id").alias("src"), F.explode(wikilinks(F.col("content"))).alias("link")).distinct()
+    # The outer form keeps Spark from evaluating the pattern a second time in a filter on the size.
+    found = notes.select(F.col("id").alias("src"), F.explode_outer(wikilinks(F.col("content"))).alias("link"))
+    return found.where(F.col("link").isNotNull()).distinct()
 
 
 def labels_to_ids(notes: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def labels_to_ids(notes: DataFrame) -> DataFrame:
 
 def link_targets(notes: DataFrame) -> DataFrame:
     """Mentions with the id of the note they resolve to (NULL for a broken link)."""
-    return salted_lookup(note_mentions(notes), labels_to_ids(notes), F.col("link"), "label", ["src"])
+    return lookup(note_mentions(notes), labels_to_ids(notes), F.col("link"), "label", ["src"])
 
 
 def note_links(resolved: DataFrame) -> DataFrame:
@@ -56,11 +58,11 @@ def reference_edges(triples: DataFrame, entities: DataFrame, notes: DataFrame) -
         .agg(F.count(F.lit(1)).alias("n_refs"))
     )
     keys = entities.select(F.struct("category", "id").alias("_entity")).distinct()
-    known = salted_lookup(
+    known = lookup(
         counted, keys, F.struct("category", F.col("src").alias("id")), "_entity", ["dst"], how="inner"
     )
     note_ids = notes.select(F.col("id").alias("_note")).distinct()
-    known = salted_lookup(known, note_ids, F.col("dst"), "_note", ["category", "src"], how="inner")
+    known = lookup(known, note_ids, F.col("dst"), "_note", ["category", "src"], how="inner")
     return known.select(
         F.concat(F.upper("category"), F.lit("_REFERENCE")).alias("edge_type"), "src", "dst", "n_refs"
     )

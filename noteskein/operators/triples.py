@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from noteskein.functions import fixed
 from noteskein.functions.text import edge_type
-from noteskein.scale import salted_lookup
+from noteskein.scale import checkpointed, lookup
 
 FACT = ["source_category", "source_label", "relationship", "target_category", "target_label"]
 
@@ -64,29 +64,28 @@ def canonical_ends(triples: DataFrame) -> DataFrame:
     })
 
 
-def entities(oriented: DataFrame) -> DataFrame:
+def entities(facts: DataFrame) -> DataFrame:
     """Distinct entities of both ends, self loops included."""
     ends = F.array(
         F.struct(F.col("source_category").alias("category"), F.col("source_label").alias("id")),
         F.struct(F.col("target_category").alias("category"), F.col("target_label").alias("id")),
     )
     return (
-        oriented.select(F.inline(ends))
+        facts.select(F.inline(ends))
         .where(F.col("category").isin(fixed.CATEGORIES))
         .distinct()
         .select("category", "id", F.col("id").alias("label"), F.lit("").alias("metadata"))
     )
 
 
-def edges(oriented: DataFrame) -> DataFrame:
-    """Distinct edges of oriented triples, with self loops dropped and ends in canonical order."""
-    usable = canonical_ends(drop_self_loops(keep_known_categories(oriented)))
-    return usable.select(
+def edges(facts: DataFrame) -> DataFrame:
+    """Edges of distinct facts in canonical order; self loops are dropped. No shuffle is needed here."""
+    return drop_self_loops(facts).select(
         edge_type(F.col("source_category"), F.col("target_category")).alias("edge_type"),
         F.col("source_label").alias("src"),
         F.col("target_label").alias("dst"),
         "relationship",
-    ).distinct()
+    )
 
 
 def rename_global(triples: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -95,18 +94,27 @@ def rename_global(triples: DataFrame, aliases: DataFrame) -> DataFrame:
     for label in ("source_label", "target_label"):
         names = aliases.select(F.col("old_name"), F.col("new_name").alias("_new"))
         spread_by = [c for c in FACT if c != label]
-        renamed = salted_lookup(renamed, names, F.col(label), "old_name", spread_by)
+        renamed = lookup(renamed, names, F.col(label), "old_name", spread_by)
         renamed = renamed.withColumn(label, F.coalesce("_new", label)).drop("_new")
     return renamed
 
 
-def build_graph(triples: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Entities and edges of raw triples. Facts are merged first, so later joins see no copies."""
-    facts = distinct_facts(keep_known_categories(triples))
+def graph_facts(triples: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Distinct facts, oriented and in canonical order; entities and edges follow from them.
+
+    Orienting and ordering come before the one shuffle, so copies and mirrored copies merge
+    map-side. With aliases the facts are merged first, so that the renaming sees no copies.
+    """
+    known = keep_known_categories(triples)
     if aliases is not None:
-        facts = rename_global(facts, aliases)
-    oriented = orient(facts)
-    return entities(oriented), edges(oriented)
+        known = rename_global(distinct_facts(known).select(*FACT), aliases)
+    return canonical_ends(orient(known.select(*FACT))).select(*FACT).distinct()
+
+
+def build_graph(triples: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entities and edges of raw triples; the facts are written once and read for both."""
+    facts = checkpointed(graph_facts(triples, aliases))
+    return entities(facts), edges(facts)
 
 
 def triple_quality(triples: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from noteskein.functions.text import from_julian, to_julian
 from noteskein.operators import classify as C
 from noteskein.plans import views as V
 from noteskein.plans.registry import query
+from noteskein.scale import unnest
 
 
 @query("worklist", "SELECT note_id, tag, state FROM states WHERE state <> 'full'", "states")
@@ -189,7 +190,7 @@ def missing_tags(spark, sf):
     "UNION ALL SELECT event_id, 'tags', CASE event_type WHEN 'signup' THEN concat('\"a, u', cast(user_id as string), '\"') ELSE '\"click\"' END FROM events WHERE event_type IN ('signup', 'click')",
 )
 def multi_results(spark, sf):
-    rows = _multi(spark, sf).where(F.col("error").isNull()).select("event_id", F.inline("parsed"))
+    rows = unnest(_multi(spark, sf).where(F.col("error").isNull()), ["event_id"], F.col("parsed"), "tag")
     return rows.select("event_id", "tag", C.typed_json(F.col("parsed")).alias("value"))
 
 

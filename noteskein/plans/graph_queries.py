@@ -45,12 +45,12 @@ def orient_relations(spark, sf):
 
 @query("canonical_edges", "SELECT * FROM edges", "edges")
 def canonical_edges(spark, sf):
-    return V.graph(spark, sf)[1]
+    return V.edges(spark, sf)
 
 
 @query("distinct_entities", "SELECT * FROM entities", "entities")
 def distinct_entities(spark, sf):
-    return V.graph(spark, sf)[0].select("category", "id")
+    return V.entities(spark, sf).select("category", "id")
 
 
 @query(
@@ -124,7 +124,7 @@ def alias_last_declared(spark, sf):
     },
 )
 def alias_global(spark, sf):
-    return T.build_graph(V.triples(spark, sf), _last_names(spark, sf))[1]
+    return T.edges(T.graph_facts(V.triples(spark, sf), _last_names(spark, sf)))
 
 
 @query(
@@ -160,12 +160,12 @@ _CHECK = {"loose": _LOOSE, "closed": _CLOSED, "resolved": _RESOLVED}
 
 def _resolved(spark, sf):
     raw = V.triples(spark, sf)
-    edges = T.build_graph(raw)[1]
+    edges = T.edges(T.graph_facts(raw))
     loose = edges.withColumns({
         "src": F.when(F.col("relationship") == "supplies", F.upper("src")).otherwise(F.col("src")),
         "dst": F.when(F.col("relationship") == "buys_from", F.concat(F.lit(" "), F.lower("dst"))).otherwise(F.col("dst")),
     }).distinct()
-    closed = T.build_graph(raw.where(F.col("l_linestatus") == "F"))[0]
+    closed = T.entities(T.graph_facts(raw.where(F.col("l_linestatus") == "F")))
     return integrity.resolve_ends(loose, closed)
 
 
@@ -263,7 +263,7 @@ def pattern_match(spark, sf):
     "edges", extra={"pc": _PC, "refs": _REFS},
 )
 def two_hop_counts(spark, sf):
-    first = _pattern_graph(spark, sf)[1].where(F.col("edge_type") == "PERSON_TO_COMPANY")
+    first = patterns.typed_edges(V.edges(spark, sf)).where(F.col("edge_type") == "PERSON_TO_COMPANY")
     return patterns.two_hop_counts(first, _references(spark, sf))
 
 
@@ -273,7 +273,7 @@ def two_hop_counts(spark, sf):
     "edges", extra={"pc": _PC, "refs": _REFS},
 )
 def two_hop(spark, sf):
-    first = _pattern_graph(spark, sf)[1].where(F.col("edge_type") == "PERSON_TO_COMPANY")
+    first = patterns.typed_edges(V.edges(spark, sf)).where(F.col("edge_type") == "PERSON_TO_COMPANY")
     return patterns.two_hop_page(first, _references(spark, sf))
 
 
@@ -293,7 +293,7 @@ _ADJ = (
     extra={"adj": _ADJ, "w1": "SELECT node, sum(m) AS w FROM adj GROUP BY node", "w2": "SELECT adj.node, CAST(sum(m * w) AS BIGINT) AS w FROM adj JOIN w1 ON adj.other = w1.node GROUP BY adj.node"},
 )
 def walk_counts(spark, sf):
-    counted = patterns.walk_counts(_pattern_graph(spark, sf)[1])
+    counted = patterns.walk_counts(patterns.typed_edges(V.edges(spark, sf)))
     return counted.select("node", *[F.col(f"walks_{h}").cast("bigint").alias(f"walks_{h}") for h in (1, 2, 3)])
 
 
@@ -308,7 +308,7 @@ def walk_counts(spark, sf):
 def reach_1_3(spark, sf):
     """Everything within three steps of the supplier with the highest balance (the seed is the argument)."""
     seeds = V.table(spark, sf, "supplier").orderBy(F.desc("s_acctbal"), "s_name").limit(1).select(F.concat(F.lit("Company:"), "s_name").alias("node"))
-    return patterns.reachable(_pattern_graph(spark, sf)[1], seeds)
+    return patterns.reachable(patterns.typed_edges(V.edges(spark, sf)), seeds)
 
 
 @query(
@@ -319,23 +319,23 @@ def reach_1_3(spark, sf):
 )
 def neighbourhood(spark, sf):
     ids = V.table(spark, sf, "supplier").where(F.col("s_acctbal") < 2000).select(F.lit("Company").alias("node_type"), F.col("s_name").alias("id"))
-    edges = _pattern_graph(spark, sf)[1]
+    edges = patterns.typed_edges(V.edges(spark, sf))
     return patterns.neighbourhood(edges, ids, ["PERSON_TO_COMPANY", "COMPANY_TO_COMPANY"]).select("edge_type", "src", "dst", "relationship")
 
 
 @query("node_counts", "SELECT category, count(*) AS n FROM entities GROUP BY category", "entities")
 def node_counts(spark, sf):
-    return patterns.node_counts(V.graph(spark, sf)[0])
+    return patterns.node_counts(V.entities(spark, sf))
 
 
 @query("edge_counts", "SELECT edge_type, count(*) AS n FROM edges GROUP BY edge_type", "edges")
 def edge_counts(spark, sf):
-    return patterns.edge_counts(V.graph(spark, sf)[1])
+    return patterns.edge_counts(V.edges(spark, sf))
 
 
 @query("paged_nodes", "SELECT category, id FROM entities ORDER BY id, category LIMIT 50 OFFSET 20", "entities")
 def paged_nodes(spark, sf):
-    return patterns.page(V.graph(spark, sf)[0].select("category", "id"), ["id", "category"], skip=20, limit=50)
+    return patterns.page(V.entities(spark, sf).select("category", "id"), ["id", "category"], skip=20, limit=50)
 
 
 @query(
@@ -344,7 +344,7 @@ def paged_nodes(spark, sf):
     "entities",
 )
 def node_filters(spark, sf):
-    nodes = V.graph(spark, sf)[0].where(F.col("id").isNotNull() & F.col("label").isNotNull())
+    nodes = V.entities(spark, sf).where(F.col("id").isNotNull() & F.col("label").isNotNull())
     return nodes.groupBy("category").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("id").rlike(".*[A-Z].*")).alias("n_upper"),
         F.count_if(F.col("id").between("B", "D")).alias("n_range"), F.count_distinct("id").alias("n_ids"),

@@ -9,6 +9,7 @@ from noteskein.operators import aliases, chunking, extraction, metadata, notes_g
 from noteskein.plans import views as V
 from noteskein.plans.build import declared_aliases
 from noteskein.plans.registry import query
+from noteskein.scale import unnest
 from noteskein.sinks.tables import upload_notes
 from noteskein.sources import notes as S
 
@@ -218,7 +219,7 @@ _MERGED = (
 
 @query("frontmatter_keys", "SELECT * FROM front", "notes", extra={"front": _FRONT})
 def frontmatter_keys(spark, sf):
-    entries = V.notes(spark, sf).select("id", F.inline(FM.without_system_keys(FM.note_entries(F.col("content")))))
+    entries = unnest(V.notes(spark, sf), ["id"], FM.without_system_keys(FM.note_entries(F.col("content"))), "key")
     return entries.select("id", "key", FM.plain_text(F.col("value")).alias("value"))
 
 
@@ -235,7 +236,7 @@ def frontmatter_value(spark, sf):
     "notes",
 )
 def section_metadata(spark, sf):
-    entries = V.notes(spark, sf).select("id", F.inline(metadata.section_entries(F.col("content"))))
+    entries = unnest(V.notes(spark, sf), ["id"], metadata.section_entries(F.col("content")), "key")
     return entries.select("id", "key", FM.plain_text(F.col("value")).alias("value"))
 
 
@@ -245,14 +246,14 @@ def section_metadata(spark, sf):
     "notes",
 )
 def pair_metadata(spark, sf):
-    entries = V.notes(spark, sf).select("id", F.inline(FM.last_per_key(metadata.pair_entries(F.col("content")))))
+    entries = unnest(V.notes(spark, sf), ["id"], FM.last_per_key(metadata.pair_entries(F.col("content"))), "key")
     cleaned = entries.select("id", F.regexp_replace("key", r"\*", "").alias("key"), FM.plain_text(F.col("value")).alias("value"))
     return cleaned.distinct()
 
 
 @query("metadata_merge", "SELECT * FROM merged", "notes", extra={"front": _FRONT, "merged": _MERGED})
 def metadata_merge(spark, sf):
-    entries = metadata.note_metadata(V.notes(spark, sf)).select("id", F.inline("entries"))
+    entries = unnest(metadata.note_metadata(V.notes(spark, sf)), ["id"], F.col("entries"), "key")
     return entries.select("id", "key", FM.plain_text(F.col("value")).alias("value"))
 
 
@@ -293,7 +294,7 @@ _RENAMES = {"quality_tag": "_quality", "risk_tag": "_risk"}
 
 def _entries(spark, sf, change):
     notes = V.notes(spark, sf).select("id", FM.note_entries(F.col("content")).alias("entries"))
-    changed = notes.select("id", F.inline(FM.without_system_keys(change(F.col("entries")))))
+    changed = unnest(notes, ["id"], FM.without_system_keys(change(F.col("entries"))), "key")
     return changed.select("id", "key", FM.plain_text(F.col("value")).alias("value"))
 
 
@@ -305,7 +306,7 @@ def _entries(spark, sf, change):
 def tag_set(spark, sf):
     notes = V.notes(spark, sf).select("id", "label", FM.note_entries(F.col("content")).alias("entries"))
     tagged = FM.set_tags(F.col("entries"), {"quality_tag": F.lit("9"), "note": FM.json_text(F.col("label"))})
-    changed = notes.select("id", F.inline(FM.without_system_keys(tagged)))
+    changed = unnest(notes, ["id"], FM.without_system_keys(tagged), "key")
     return changed.select("id", "key", FM.plain_text(F.col("value")).alias("value"))
 
 

@@ -8,6 +8,7 @@ from noteskein.functions import responses as R
 from noteskein.operators import quality as Q
 from noteskein.plans import views as V
 from noteskein.plans.registry import query
+from noteskein.scale import unnest
 
 # Responses
 
@@ -34,7 +35,7 @@ _SALVAGED = (
 @query("json_salvage", _SALVAGED, "responses")
 def json_salvage(spark, sf):
     cleaned = R.clean_response(R.strip_reasoning(F.col("raw")))
-    return V.responses(spark, sf).select("doc_id", F.inline(R.read_triples(cleaned)))
+    return unnest(V.responses(spark, sf), ["doc_id"], R.read_triples(cleaned), "source_category")
 
 
 @query(
@@ -79,7 +80,7 @@ def nodes_edges_flatten(spark, sf):
         "\"edges\": [{\"source\": \"n', cast(o_custkey as string), '\", \"target\": \"n', cast(o_custkey + 1 as string), '\"}, {\"source\": \"p\", \"target\": \"n', cast(o_custkey as string), '\", \"type\": \"sets\"}]}')"
     )
     joined = V.table(spark, sf, "orders").join(V.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return joined.select("o_orderkey", F.inline(R.graph_relations(text)))
+    return unnest(joined, ["o_orderkey"], R.graph_relations(text), "relationship")
 
 
 _STRUCTURED = (
@@ -99,7 +100,7 @@ def _structured(spark, sf):
     extra={"oc": "SELECT * FROM orders JOIN customer ON o_custkey = c_custkey"},
 )
 def structured_flatten(spark, sf):
-    return _structured(spark, sf).select("o_orderkey", F.inline(R.structured_relations(F.expr(_STRUCTURED))))
+    return unnest(_structured(spark, sf), ["o_orderkey"], R.structured_relations(F.expr(_STRUCTURED)), "relationship")
 
 
 @query(
@@ -109,7 +110,7 @@ def structured_flatten(spark, sf):
     extra={"oc": "SELECT * FROM orders JOIN customer ON o_custkey = c_custkey"},
 )
 def section_relations(spark, sf):
-    return _structured(spark, sf).select("o_orderkey", F.inline(R.section_relations(F.expr(_STRUCTURED))))
+    return unnest(_structured(spark, sf), ["o_orderkey"], R.section_relations(F.expr(_STRUCTURED)), "relationship")
 
 
 # Scores

@@ -120,9 +120,9 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         ])
         rows.append(F.expr(f"case when {test} then named_struct({row}) end"))
     return lines(spark, sf_dir).select(
-        F.inline(F.array_compact(F.array(*rows))),
+        F.inline(F.array(*rows)),
         F.expr("concat('orders/', cast(l_orderkey as string), '.md')").alias("source_file"), "l_linestatus",
-    )
+    ).where(F.col("source_category").isNotNull())
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,6 +177,14 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return T.build_graph(triples(spark, sf_dir))
 
 
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.entities(T.graph_facts(triples(spark, sf_dir)))
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.edges(T.graph_facts(triples(spark, sf_dir)))
+
+
 def note_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persons are the customers, companies the suppliers."""
     person = table(spark, sf_dir, "customer").select(F.lit("Person").alias("category"), F.col("c_name").alias("id"))

@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from noteskein.session import ensure_checkpoint_dir
 
-SALTS = 16
+SALTS = 8
+
+# A table is broadcast only when it is proven to be below both bounds.
+BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 # Positions per block of a blocked sum: a window over 10^12 rows of one key sees 1.5 * 10^7 block sums.
 BLOCK = 65536
@@ -31,7 +35,17 @@ def spread(columns: list[Column], salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
 
 
-def salted_lookup(
+def is_small(materialised: DataFrame) -> bool:
+    """True when a table is proven to stay below both bounds of a broadcast.
+
+    At most ``BROADCAST_ROWS + 1`` rows are looked at, whatever the size of the table.
+    """
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    seen = materialised.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), size.alias("b")).first()
+    return seen["n"] <= BROADCAST_ROWS and seen["b"] <= BROADCAST_BYTES
+
+
+def lookup(
     facts: DataFrame,
     dim: DataFrame,
     key: Column,
@@ -40,16 +54,22 @@ def salted_lookup(
     how: str = "left",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join ``facts`` to a table with at most one row per key, with the rows of a hot key spread.
+    """Join ``facts`` to a smaller table by one key, safe against a key that most facts share.
 
-    ``dim`` is repeated once per salt, which is linear in the (smaller) table and independent of
-    the skew in ``facts``. Rows with a NULL key are spread by the salt as well. Whether the
-    repeated table is broadcast is left to Catalyst and AQE, which know its size.
+    The table is materialised once and its size is checked. Below the bound it is broadcast, and the
+    facts are not shuffled at all. Beyond it, it is repeated once per salt and the facts of a key are
+    spread over the salts, so that no task gets a whole hot key; AQE may still split further.
+    ``salt_by`` names columns that differ between the facts of one key.
     """
-    keys = dim.withColumn("_dim_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keys = keys.withColumnRenamed(dim_key, "_dim_key")
+    dim = checkpointed(dim.withColumnRenamed(dim_key, "_dim_key"))
+    if is_small(dim):
+        joined = facts.withColumn("_key", key).join(F.broadcast(dim), F.col("_key") == F.col("_dim_key"), how)
+        return joined.drop("_key", "_dim_key")
+    repeated = dim.withColumn("_dim_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = facts.withColumn("_key", key).withColumn("_salt", spread([F.col(c) for c in salt_by], salts))
-    joined = salted.join(keys, (F.col("_key") == F.col("_dim_key")) & (F.col("_salt") == F.col("_dim_salt")), how)
+    joined = salted.join(
+        repeated, (F.col("_key") == F.col("_dim_key")) & (F.col("_salt") == F.col("_dim_salt")), how
+    )
     return joined.drop("_salt", "_dim_salt", "_key", "_dim_key")
 
 
@@ -100,5 +120,14 @@ def with_previous(
     return rows.where(F.col("_home") == F.col("_block")).drop("_home", "_block")
 
 
+def unnest(df: DataFrame, columns: list[str], items: Column, probe: str) -> DataFrame:
+    """One row per struct of an array, with ``columns`` kept; ``probe`` names a field that is never NULL.
+
+    The plain generator would get a filter on the size of the array, and the expression behind the
+    array would then be evaluated once more per filter. The outer form does not.
+    """
+    return df.select(*columns, F.inline_outer(items)).where(F.col(probe).isNotNull())
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
