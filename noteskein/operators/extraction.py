@@ -94,3 +94,33 @@ def rule_based_model(texts: list[str]) -> list[str]:
         ]
         answers.append("```json\n" + json.dumps({"relationships": rows}) + "\n```")
     return answers
+
+
+_NOTE_PART = re.compile(r"=== NOTE ===\n(.*)\n=== END ===", re.DOTALL)
+_SINGLE_KIND = re.compile(r"^Output format: (\w+)$", re.MULTILINE)
+_MULTI_TAG = re.compile(r"^- (.+?): .* \(type: (\w+)\)$", re.MULTILINE)
+
+
+def rule_based_classifier(prompts: list[str]) -> list[str]:
+    """Deterministic stand-in for a classification model: length, a word, and the last line of a note."""
+    answers = []
+    for prompt in prompts:
+        note = _NOTE_PART.search(prompt).group(1)
+        values = {"number": len(note), "boolean": " the " in note, "list": note.split("\n")[-1], "text": note.split("\n")[-1]}
+        kind = _SINGLE_KIND.search(prompt)
+        if kind:
+            answers.append(str(values[kind.group(1)]))
+        else:
+            tags = _MULTI_TAG.findall(prompt[prompt.rindex("=== END ===") :])
+            answers.append(json.dumps({"results": {tag: values[kind] for tag, kind in tags}}))
+    return answers
+
+
+def in_chunk_order(triples: DataFrame) -> DataFrame:
+    """Triples of each note in the order of its chunks."""
+    return triples.orderBy("note_id", "chunk_index", "ord")
+
+
+def notes_with_results(notes: DataFrame, triples: DataFrame) -> DataFrame:
+    """Notes that have extracted triples, found by their path."""
+    return notes.join(triples.select(F.col("source_file").alias("id")), "id", "left_semi")

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noteskein.functions import prompts as P, responses as R
-from noteskein.functions.text import from_julian, to_julian
+from noteskein.functions.frontmatter import note_entries
+from noteskein.functions.text import body_hash, from_julian, py_strip, to_julian
 from noteskein.operators import classify as C
+from noteskein.operators.extraction import rule_based_classifier
 from noteskein.plans import views as V
+from noteskein.plans.classify_run import classify, store_results
 from noteskein.plans.registry import query
 from noteskein.scale import unnest
+from noteskein.schemas import TAG_SCHEMA
 
 
 @query("worklist", "SELECT note_id, tag, state FROM states WHERE state <> 'full'", "states")
@@ -53,8 +57,6 @@ _SINGLE_RULE = (
 
 
 def _work(spark, sf):
-    from noteskein.functions.text import py_strip
-
     notes = V.note_keys(spark, sf).withColumn("body", py_strip(F.col("body")))
     return C.with_prompts(C.worklist(notes, V.tasks(spark, sf), force=True))
 
@@ -168,8 +170,6 @@ _MULTI_SCHEMA = (
 
 
 def _multi(spark, sf):
-    from noteskein.schemas import TAG_SCHEMA
-
     task = F.struct(F.from_json(F.lit(_MULTI_SCHEMA), TAG_SCHEMA).alias("tag_schema"))
     raw = V.table(spark, sf, "events").select("event_id", F.expr(_MULTI_RAW).alias("raw"), task.alias("task"))
     return C.read_multi(raw)
@@ -357,3 +357,33 @@ def julian_days(spark, sf):
     day = to_julian(F.timestamp_micros("ts_us"))
     back = F.abs(F.unix_millis(from_julian(day)) - F.floor(F.col("ts_us") / 1000)) <= 1
     return V.file_events(spark, sf).select("event_id", F.round(day, 4).alias("julian"), back.alias("round_trip"))
+
+
+_RESULTS = {
+    "res": f"SELECT note_id AS note_path, tag, task_type, output_type, expected, cast(length({_STRIP}) as string) AS num, "
+    f"CASE WHEN contains({_STRIP}, ' the ') THEN 'true' ELSE 'false' END AS flag, '\"- Kind: note\"' AS line FROM states WHERE state <> 'full'",
+    "rows": "SELECT note_path, tag, tag AS key, CASE output_type WHEN 'number' THEN num WHEN 'boolean' THEN flag ELSE line END AS value FROM res WHERE task_type = 'single' "
+    "UNION ALL SELECT note_path, tag, 'quality_tag', num FROM res WHERE task_type = 'multi' UNION ALL SELECT note_path, tag, 'risk_tag', flag FROM res WHERE task_type = 'multi' "
+    "UNION ALL SELECT note_path, tag, tag, line FROM res WHERE task_type = 'multi' AND len(expected) = 3",
+}
+
+
+@query("classification_run", "SELECT note_path, tag, 'completed' AS status, key, value FROM rows", "states", extra=_RESULTS)
+def classification_run(spark, sf):
+    results = classify(V.notes(spark, sf), V.tasks(spark, sf), rule_based_classifier)
+    return unnest(results, ["note_path", "tag", "status"], F.col("entries"), "key")
+
+
+@query(
+    "classified_notes",
+    "SELECT n.id, (SELECT count(DISTINCT key) FROM (SELECT key FROM rows r WHERE r.note_path = n.id UNION ALL SELECT unnest(['title', 'lang', 'source', 'resolves']) "
+    "UNION ALL SELECT 'risk_tag_at' WHERE n.toxic = 1 UNION ALL SELECT 'risk_tag' WHERE n.toxic = 1 UNION ALL SELECT 'quality_tag' WHERE n.quality IS NOT NULL)) AS n_keys, "
+    f"sha256({_STRIP}) AS body_hash FROM notes n",
+    "states", extra=_RESULTS,
+)
+def classified_notes(spark, sf):
+    """All results stored in the notes: the keys each note has then, and its body, which stays."""
+    notes = V.notes(spark, sf)
+    stored = store_results(notes, classify(notes, V.tasks(spark, sf), rule_based_classifier))
+    entries = stored.select("id", note_entries(F.col("content")).alias("entries"), body_hash(F.col("content")).alias("body_hash"))
+    return entries.select("id", F.size("entries").cast("bigint").alias("n_keys"), "body_hash")

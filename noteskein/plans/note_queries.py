@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from noteskein.functions import frontmatter as FM, text as X
 from noteskein.operators import aliases, chunking, extraction, metadata, notes_graph as N
 from noteskein.plans import views as V
-from noteskein.plans.build import declared_aliases
+from noteskein.plans.build import build, declared_aliases
 from noteskein.plans.registry import query
 from noteskein.scale import unnest
 from noteskein.sinks.tables import upload_notes
@@ -410,3 +410,33 @@ def extracted_triples(spark, sf):
     keyed = extraction.with_chunk_key(chunking.chunk_notes(notes), "Extract relationships.")
     responses = extraction.ask_model(keyed, extraction.rule_based_model)
     return extraction.triples_from_responses(keyed, responses).drop("chunk_index", "ord")
+
+
+# The whole build: triples of the notes, scoped aliases, checks, links, references
+
+_BUILT = {
+    "found": "SELECT id AS source_file, concat('customer#', lpad(cast(doc_id as string), 9, '0')) AS person, concat('Supplier#', lpad(cast(n_chars as string), 9, '0'), "
+    "CASE WHEN n_chars = doc_id THEN ' Holdings' ELSE '' END) AS company FROM notes",
+}
+
+
+def _built(spark, sf):
+    notes = V.notes(spark, sf).withColumn("modified", F.timestamp_seconds(F.lit(0)))
+    bodies = notes.select("id", X.body_text(F.col("content")).alias("body"))
+    keyed = extraction.with_chunk_key(chunking.chunk_notes(bodies), "Extract relationships.")
+    found = extraction.triples_from_responses(keyed, extraction.ask_model(keyed, extraction.rule_based_model))
+    return build(notes, found.withColumn("source_file", F.col("note_id")).drop("note_id", "chunk_index", "ord"))
+
+
+@query("built_edges", "SELECT DISTINCT 'PERSON_TO_COMPANY' AS edge_type, person AS src, company AS dst, 'works_at' AS relationship FROM found", "notes", extra=_BUILT)
+def built_edges(spark, sf):
+    return _built(spark, sf).edges
+
+
+@query(
+    "built_references",
+    "SELECT 'PERSON_REFERENCE' AS edge_type, person AS src, source_file AS dst, count(*) AS n_refs FROM found GROUP BY ALL UNION ALL SELECT 'COMPANY_REFERENCE', company, source_file, count(*) FROM found GROUP BY ALL",
+    "notes", extra=_BUILT,
+)
+def built_references(spark, sf):
+    return _built(spark, sf).references

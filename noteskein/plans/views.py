@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from noteskein.functions.frontmatter import note_entries
-from noteskein.functions.text import body_text, file_stem
+from noteskein.functions.text import body_text, file_stem, py_strip
 from noteskein.operators import triples as T
 from noteskein.schemas import TAG_SCHEMA
 
@@ -243,8 +243,6 @@ def state_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     known = docs.where(~((F.col("quality") == 0) & (F.col("toxic") == 1)) | F.col("quality").isNull())
     edited = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    from noteskein.functions.text import py_strip
-
     old_body = F.when(edited, F.concat(F.expr(NOTE_BODY), F.lit("old"))).otherwise(F.expr(NOTE_BODY))
     return known.select(
         F.col("doc_id").alias("file_id"), F.expr(NOTE_ID).alias("path"), F.col("n_chars").alias("file_size"),
