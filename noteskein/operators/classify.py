@@ -66,8 +66,8 @@ def pair_with_tasks(notes: DataFrame, tasks: DataFrame) -> DataFrame:
         items = [F.from_json(F.lit(r["task"]), kind) for r in sorted(rows)]
         listed = F.array(*items) if items else F.array().cast(f"array<{kind.simpleString()}>")
         return notes.withColumn("task", F.explode(listed))
-    bucket = F.pmod(F.xxhash64("tag"), F.lit(_TASK_BUCKETS))
-    visits = notes.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(_TASK_BUCKETS - 1))).cast("bigint"))
+    bucket = F.pmod(F.xxhash64("tag"), F.lit(_TASK_BUCKETS)).cast("int")
+    visits = notes.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(_TASK_BUCKETS - 1))))
     return visits.join(usable.select(bucket.alias("_bucket"), task.alias("task")), "_bucket").drop("_bucket")
 
 
