@@ -12,7 +12,7 @@ from noteskein.functions.prompts import (
 )
 from noteskein.functions.responses import parse_typed, read_results, results_error
 from noteskein.functions.text import in_folder, is_blank
-from noteskein.scale import small_rows
+from noteskein.scale import lookup, small_rows
 from noteskein.schemas import TAG_SCHEMA
 
 # Tasks are written by hand; up to this many become one literal array in the plan.
@@ -248,7 +248,9 @@ def patch_tasks(tasks: DataFrame, patch: DataFrame, now: Column) -> DataFrame:
 def delete_tasks(tasks: DataFrame, runs: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove tasks together with their runs."""
     gone = tasks.join(tags.select("tag"), "tag", "left_semi").select(F.col("id").alias("task_id"))
-    return tasks.join(tags.select("tag"), "tag", "left_anti"), runs.join(gone, "task_id", "left_anti")
+    marked = lookup(runs, gone.withColumn("_gone", F.lit(True)), F.col("task_id"), "task_id", ["run_id"])
+    kept = marked.where(F.col("_gone").isNull()).drop("_gone")
+    return tasks.join(tags.select("tag"), "tag", "left_anti"), kept
 
 
 # Messages

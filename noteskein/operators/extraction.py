@@ -28,7 +28,7 @@ def ask_model(keyed: DataFrame, ask: ModelFunction, cached: DataFrame | None = N
     Copies of a text are merged map-side before anything is sent. Requests run in Arrow batches,
     with at most ``parallel`` of them at a time.
     """
-    todo = keyed.groupBy("chunk_key").agg(F.first("text").alias("text"))
+    todo = keyed.select("chunk_key", "text").distinct()
     if cached is not None:
         todo = todo.join(cached.select("chunk_key"), "chunk_key", "left_anti")
     if parallel:
@@ -123,4 +123,4 @@ def in_chunk_order(triples: DataFrame) -> DataFrame:
 
 def notes_with_results(notes: DataFrame, triples: DataFrame) -> DataFrame:
     """Notes that have extracted triples, found by their path."""
-    return notes.join(triples.select(F.col("source_file").alias("id")), "id", "left_semi")
+    return notes.join(triples.select(F.col("source_file").alias("id")).distinct(), "id", "left_semi")

@@ -98,6 +98,6 @@ def edge_quality(resolved: DataFrame) -> DataFrame:
 
 def existing_ends(pairs: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """Edges ``src, dst`` whose ends are ids of the two node tables; others are dropped."""
-    source_ids = sources.select(F.col("id").alias("src")).distinct()
-    target_ids = targets.select(F.col("id").alias("dst")).distinct()
-    return pairs.join(source_ids, "src", "left_semi").join(target_ids, "dst", "left_semi")
+    source_ids, target_ids = (nodes.select(F.col("id").alias("_id")).distinct() for nodes in (sources, targets))
+    kept = lookup(pairs, source_ids, F.col("src"), "_id", ["dst"], how="inner")
+    return lookup(kept, target_ids, F.col("dst"), "_id", ["src"], how="inner")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from noteskein.functions import fixed
 from noteskein.functions.text import path_types, slug_id, types_csv, wikilinks
-from noteskein.scale import lookup
+from noteskein.scale import checkpointed, lookup
 
 
 def note_nodes(notes: DataFrame, rules=None) -> DataFrame:
@@ -45,17 +45,21 @@ def broken_links(resolved: DataFrame) -> DataFrame:
 
 
 def reference_edges(triples: DataFrame, entities: DataFrame, notes: DataFrame) -> DataFrame:
-    """Entity-to-note edges of both ends of every triple, with the number of references each stands for."""
+    """Entity-to-note edges of both ends of every triple, with the number of references each stands for.
+
+    Triples may be counted already, as ``n_copies``.
+    """
+    copies = F.col("n_copies") if "n_copies" in triples.columns else F.lit(1)
     ends = F.array(
         F.struct(F.col("source_category").alias("category"), F.col("source_label").alias("src")),
         F.struct(F.col("target_category").alias("category"), F.col("target_label").alias("src")),
     )
     counted = (
         triples.where(F.length("source_file") > 0)
-        .select(F.inline(ends), F.col("source_file").alias("dst"))
+        .select(F.inline(ends), F.col("source_file").alias("dst"), copies.alias("_n"))
         .where(F.col("category").isin(fixed.CATEGORIES))
         .groupBy("category", "src", "dst")
-        .agg(F.count(F.lit(1)).alias("n_refs"))
+        .agg(F.sum("_n").alias("n_refs"))
     )
     keys = entities.select(F.struct("category", "id").alias("_entity")).distinct()
     known = lookup(
@@ -85,13 +89,10 @@ def lost_references(triples: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def label_links(entities: DataFrame, notes: DataFrame) -> DataFrame:
-    """Entity-to-note edges where the labels are equal in lower case; the notes of one label are salted."""
+    """Entity-to-note edges where the labels are equal in lower case; many notes may share one label."""
     names = entities.select("category", F.col("id").alias("src"), F.lower("label").alias("_name"))
-    salted = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    targets = notes.select(
-        F.col("id").alias("dst"), F.lower("label").alias("_name"), F.pmod(F.xxhash64("id"), F.lit(16)).cast("int").alias("_salt")
-    )
-    return salted.join(targets, ["_name", "_salt"]).select(
+    targets = notes.select(F.col("id").alias("dst"), F.lower("label").alias("_label"))
+    return lookup(targets, names, F.col("_label"), "_name", ["dst"], how="inner").select(
         F.concat(F.upper("category"), F.lit("_NOTE")).alias("edge_type"), "src", "dst"
     )
 
@@ -141,7 +142,7 @@ def propagate_types(entities: DataFrame, links: DataFrame, note_table: DataFrame
 
 def post_process(entities: DataFrame, note_table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Link, create what is missing, link that too, and hand the types on, in this order."""
-    links = label_links(entities, note_table)
+    links = checkpointed(label_links(entities, note_table))
     nodes = entities.withColumn("entity_types", F.lit(""))
     all_links = links
     for category in fixed.CATEGORIES:

@@ -8,14 +8,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from noteskein.functions import fixed
 from noteskein.functions.text import body_hash
-from noteskein.scale import union_all
+from noteskein.scale import checkpointed, is_small, lookup, union_all
 
 
 def hash_notes(notes: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Hash reader over a notes table ``id, content``: only the paths asked for are hashed."""
+    """Hash reader over a notes table ``id, content``.
+
+    A short list of paths is broadcast, and only those notes are hashed. For a long list every note
+    is hashed where it lies, which is cheaper than moving the texts to meet the list.
+    """
     def read(paths: DataFrame) -> DataFrame:
-        wanted = notes.join(paths.select(F.col("path").alias("id")), "id", "left_semi")
-        return wanted.select(F.col("id").alias("path"), body_hash(F.col("content")).alias("new_hash"))
+        wanted = checkpointed(paths.select(F.col("path").alias("id")))
+        chosen = notes.join(F.broadcast(wanted), "id", "left_semi") if is_small(wanted) else notes
+        return chosen.select(F.col("id").alias("path"), body_hash(F.col("content")).alias("new_hash"))
 
     return read
 
@@ -36,6 +41,7 @@ def detect_changes(listing: DataFrame, state: DataFrame, hash_of: Callable[[Data
         F.when(F.col("_seen").isNull(), "deleted").when(F.col("file_id").isNull(), "created")
         .when(same, "unchanged").otherwise("touched"),
     )
+    both = checkpointed(both)
     hashes = hash_of(both.where(F.col("_kind").isin("created", "touched")).select("path"))
     hashed = both.join(hashes, "path", "left")
     kind = (
@@ -111,7 +117,7 @@ def to_process(detected: DataFrame, missing: DataFrame) -> DataFrame:
 def recently_changed(state: DataFrame, changes: DataFrame, since: Column) -> DataFrame:
     """Active files with a created or modified change after a point in time."""
     recent = changes.where(F.col("change_type").isin("created", "modified") & (F.col("ts") > since))
-    return state.where(F.col("status") == "active").join(recent.select("file_id"), "file_id", "left_semi")
+    return state.where(F.col("status") == "active").join(recent.select("file_id").distinct(), "file_id", "left_semi")
 
 
 def file_history(state: DataFrame, changes: DataFrame, rows: int = 10) -> DataFrame:
@@ -122,9 +128,11 @@ def file_history(state: DataFrame, changes: DataFrame, rows: int = 10) -> DataFr
     """
     tracked = state.select(F.col("path").alias("current_path"), F.col("file_id").alias("tracked_id"))
     columns = ["current_path", "change_type", "old_path", "new_path", "old_hash", "new_hash", "ts"]
-    by_id = changes.join(tracked, F.col("file_id") == F.col("tracked_id"))
-    by_old = changes.join(tracked, F.col("old_path") == F.col("current_path"))
-    by_new = changes.join(tracked, F.col("new_path") == F.col("current_path"))
+    spread_by = ["ts", "change_type"]
+    by_id = lookup(changes, tracked, F.col("file_id"), "tracked_id", spread_by, how="inner")
+    paths = checkpointed(tracked.select("current_path", F.col("current_path").alias("_path")))
+    by_old = lookup(changes, paths, F.col("old_path"), "_path", spread_by, how="inner")
+    by_new = lookup(changes, paths, F.col("new_path"), "_path", spread_by, how="inner")
     found = union_all([part.select(*columns) for part in (by_id, by_old, by_new)]).distinct()
     newest = Window.partitionBy("current_path").orderBy(F.desc("ts"), "change_type", "old_path", "new_path", "new_hash")
     return found.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= rows)
@@ -163,7 +171,8 @@ def apply_moves(state: DataFrame, moves: DataFrame, now: Column) -> DataFrame:
 def rewrite_source_files(triples: DataFrame, moves: DataFrame) -> DataFrame:
     """Point triples of a moved note at its new path."""
     latest = moves.groupBy("old_path").agg(F.max_by("new_path", F.struct("ts", "new_path")).alias("_moved"))
-    joined = triples.join(latest, triples["source_file"] == latest["old_path"], "left")
+    spread_by = [c for c in triples.columns if c != "source_file"]
+    joined = lookup(triples, latest, F.col("source_file"), "old_path", spread_by)
     return joined.withColumn("source_file", F.coalesce("_moved", "source_file")).select(triples.columns)
 
 
@@ -228,18 +237,18 @@ def debounce_sessions(events: DataFrame, quiet_seconds: int = fixed.QUIET_SECOND
 def session_paths(events: DataFrame, sessions: DataFrame) -> DataFrame:
     """Distinct paths of each session: the pending set.
 
-    Sessions are cut at hours, so that an event finds its session by an equi-join on the hour. An
-    hour of one vault holds few sessions (each is followed by a quiet period).
+    Sessions are cut at minutes, so that an event finds its session by an equi-join on the minute.
+    A minute of one vault holds few sessions (each is followed by a quiet period).
     """
-    hour = F.lit(3_600_000_000)
+    minute = F.lit(60_000_000)
     cut = sessions.select(
         "vault_id", "start_us", "fires_us",
-        F.explode(F.sequence(F.floor(F.col("start_us") / hour), F.floor(F.col("fires_us") / hour))).alias("_hour"),
+        F.explode(F.sequence(F.floor(F.col("start_us") / minute), F.floor(F.col("fires_us") / minute))).alias("_minute"),
     )
     keyed = events.groupBy("vault_id", "path", F.floor(F.col("ts_us") / F.lit(1_000_000)).alias("_second")).agg(
         F.min("ts_us").alias("ts_us")
-    ).withColumn("_hour", F.floor(F.col("ts_us") / hour))
-    inside = keyed.join(cut, ["vault_id", "_hour"]).where(
+    ).withColumn("_minute", F.floor(F.col("ts_us") / minute))
+    inside = keyed.join(cut, ["vault_id", "_minute"]).where(
         (F.col("ts_us") >= F.col("start_us")) & (F.col("ts_us") < F.col("fires_us"))
     )
     return inside.select("vault_id", "start_us", "path").distinct()

@@ -48,7 +48,9 @@ def extract(notes: DataFrame, ask: ModelFunction, prompt: str, cache_path: str,
 def build(notes: DataFrame, raw_triples: DataFrame, alias_scope: str = "file") -> Graph:
     """Resolve, organise, check, link and post-process. ``alias_scope`` is ``file`` or ``global``."""
     declared = declared_aliases(notes)
-    renamed = aliases.rename_scoped(triples.keep_known_categories(raw_triples), declared)
+    # Copies of a fact within a note merge before anything is joined.
+    counted = triples.keep_known_categories(raw_triples).groupBy(*FACT, "source_file").agg(F.count(F.lit(1)).alias("n_copies"))
+    renamed = aliases.rename_scoped(counted, declared)
     if alias_scope == "global":
         renamed = triples.rename_global(renamed, aliases.last_declared(aliases.explode_declared(declared)))
     renamed = checkpointed(renamed)

@@ -9,7 +9,7 @@ from noteskein.functions.responses import parse_typed, read_results, results_err
 from noteskein.functions.text import body_text, is_blank, py_strip
 from noteskein.operators import classify as C
 from noteskein.operators.extraction import ModelFunction, ask_model, cached_responses
-from noteskein.scale import checkpointed
+from noteskein.scale import checkpointed, lookup
 
 EMPTY_NOTE = "Note content is empty"
 
@@ -31,13 +31,13 @@ def classify(
     read = notes.select("id", note_entries(F.col("content")).alias("entries"), py_strip(body_text(F.col("content"))).alias("body"))
     work = C.with_prompts(C.worklist(read, tasks, folder, force)).drop("entries")
     keyed = work.withColumn("text", F.concat("system", F.lit("\n\n"), "user")).withColumn("chunk_key", F.sha2("text", 256))
-    keyed = checkpointed(keyed.drop("system", "user"))
     asked = keyed.where(~is_blank(F.col("body"))).select("chunk_key", "text")
     if cache_path:
         responses = cached_responses(asked, ask, cache_path, parallel)
     else:
         responses = checkpointed(ask_model(asked, ask, None, parallel))
-    answered = keyed.select("id", "task", "chunk_key", is_blank(F.col("body")).alias("_blank")).join(responses, "chunk_key", "left")
+    places = keyed.select("id", "task", "chunk_key", is_blank(F.col("body")).alias("_blank"))
+    answered = lookup(places, responses, F.col("chunk_key"), "chunk_key", ["id"])
     many = (F.col("task.task_type") == "multi") & (F.size("task.tag_schema") > 0)
     expected = F.transform("task.tag_schema", lambda t: t["tag"])
     read_back = answered.withColumn("_results", F.when(many, read_results(F.col("raw"))))
@@ -72,7 +72,7 @@ def store_results(notes: DataFrame, results: DataFrame) -> DataFrame:
     tags = results.where(F.col("status") == "completed").groupBy(F.col("note_path").alias("id")).agg(
         F.flatten(F.transform(listed, lambda r: r["entries"])).alias("_tags")
     )
-    joined = notes.join(tags, "id", "left").withColumn("_entries", note_entries(F.col("content")))
+    joined = lookup(notes, tags.withColumnRenamed("id", "_id"), F.col("id"), "_id", ["id"]).withColumn("_entries", note_entries(F.col("content")))
     merged = last_per_key(F.concat("_entries", F.coalesce("_tags", F.array().cast(ENTRIES))))
     ready = joined.withColumn("_entries", F.explode(F.array(merged)))
     written = F.when(F.col("_tags").isNotNull(), write_note(F.col("_entries"), body_text(F.col("content")))).otherwise(F.col("content"))

@@ -440,3 +440,8 @@ def built_edges(spark, sf):
 )
 def built_references(spark, sf):
     return _built(spark, sf).references
+
+
+@query("notes_with_results", "SELECT concat('orders/', cast(o_orderkey as string), '.md') AS id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lines WHERE l_linestatus = 'F')", "lines")
+def notes_with_results(spark, sf):
+    return extraction.notes_with_results(V.orders_as_notes(spark, sf), V.triples(spark, sf).where(F.col("l_linestatus") == "F")).select("id")

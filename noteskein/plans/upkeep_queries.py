@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from noteskein.functions.text import is_note_path
@@ -10,7 +12,8 @@ from noteskein.plans import views as V
 from noteskein.plans.registry import query
 from noteskein.sinks.tables import current_triples
 from noteskein.sources.tables import latest_per_hash
-from noteskein.streaming.events import track_files
+from noteskein.session import ensure_checkpoint_dir
+from noteskein.streaming import events as E
 
 _KIND = (
     "CASE WHEN quality IS NULL THEN 'unchanged' WHEN quality = 1 AND toxic = 1 THEN 'deleted' WHEN quality = 0 AND toxic = 1 THEN 'created' "
@@ -188,7 +191,7 @@ def event_filter(spark, sf):
 )
 def track_files_query(spark, sf):
     events = V.file_events(spark, sf).select("vault_id", "path", "change_type", F.lit(None).cast("string").alias("old_path"), F.col("ts_us").alias("ts"))
-    return track_files(events).select("path", "status", "last_change", "n_changes")
+    return E.track_files(events).select("path", "status", "last_change", "n_changes")
 
 
 @query(
@@ -218,3 +221,28 @@ def current_triples_query(spark, sf):
         F.expr("concat('orders/', cast(l_orderkey as string), '.md')").alias("id"), F.col("l_linenumber").alias("batch")
     )
     return current_triples(rows, markers).drop("batch")
+
+
+@query(
+    "stream_sessions",
+    "SELECT * FROM (SELECT 'vault' AS vault_id, min(ts_us) AS start_us, max(ts_us) AS last_us, count(*) AS n_events FROM numbered GROUP BY session) "
+    "WHERE last_us + 60000000 <= (SELECT (max(ts_us) - 120000000) // 1000 * 1000 FROM fe)",
+    "fe", extra=_SESSIONS,
+)
+def stream_sessions(spark, sf):
+    """The event table worked off as a stream: sessions that the watermark has closed."""
+    root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4()}"
+    source = spark.readStream.schema(V.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = source.select(
+        F.lit("vault").alias("vault_id"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".md")).alias("path"),
+        F.expr(V.CHANGE_KIND).alias("change_type"), F.lit(None).cast("string").alias("old_path"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+
+    def keep(sessions, batch_id):
+        sessions.write.mode("overwrite").parquet(f"{root}/sessions/batch={batch_id}")
+
+    query_run = E.run_on_quiet(E.note_events(events), keep, f"{root}/state", once=True)
+    query_run.awaitTermination()
+    found = spark.read.schema("vault_id string, first_event timestamp, last_event timestamp, n_events bigint").parquet(f"{root}/sessions")
+    utc = lambda c: F.unix_micros(F.to_utc_timestamp(c, F.current_timezone()))
+    return found.select("vault_id", utc("first_event").alias("start_us"), utc("last_event").alias("last_us"), "n_events")

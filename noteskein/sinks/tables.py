@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from noteskein.functions.text import inbox_path
 from noteskein.operators.tracking import upsert
+from noteskein.scale import lookup
 from noteskein.sources.tables import EDGE_FILES
 
 
@@ -26,10 +27,10 @@ def append_extraction(triples: DataFrame, notes: DataFrame, root: str, batch_id:
 
 def current_triples(triples: DataFrame, processed: DataFrame) -> DataFrame:
     """Triples of the latest batch of every note."""
-    latest = processed.groupBy("id").agg(F.max("batch").alias("batch"))
-    return triples.join(
-        latest, (triples["source_file"] == latest["id"]) & (triples["batch"] == latest["batch"]), "left_semi"
-    )
+    latest = processed.groupBy("id").agg(F.max("batch").alias("_latest"))
+    spread_by = [c for c in triples.columns if c != "source_file"]
+    found = lookup(triples, latest, F.col("source_file"), "id", spread_by, how="inner")
+    return found.where(F.col("batch") == F.col("_latest")).drop("_latest")
 
 
 def write_graph(entities: DataFrame, edges: DataFrame, root: str, version: int) -> str:

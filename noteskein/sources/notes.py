@@ -68,28 +68,37 @@ def template_folder(spark: SparkSession, config_path: str) -> str | None:
     return rows[0]["folder"] if rows else None
 
 
-def read_texts(paths: DataFrame, root: str) -> DataFrame:
-    """``path, content`` of listed notes, read by the executors. Bytes that are no UTF-8 are replaced."""
+# Text bytes one task reads.
+_TASK_BYTES = 128 * 1024 * 1024
+
+
+def read_texts(listing: DataFrame, root: str) -> DataFrame:
+    """A listing with the ``content`` of its notes, read by the executors. Bytes that are no UTF-8 are replaced.
+
+    Paths are spread over tasks by the bytes to read, so a folder with most notes is no single task.
+    """
     root = root.rstrip("/")
+    total = listing.agg(F.sum("length")).first()[0] or 0
+    parallel = max(listing.sparkSession.sparkContext.defaultParallelism, -(-total // _TASK_BYTES))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
         for batch in batches:
-            for path in batch["path"]:
-                with system.open_input_stream(f"{base}/{path}") as stream:
-                    data = stream.read()
-                yield pd.DataFrame({"path": [path], "content": [data.decode("utf-8", "replace")]})
+            for start in range(len(batch)):
+                row = batch.iloc[start : start + 1].copy()
+                with system.open_input_stream(f"{base}/{row['path'].iloc[0]}") as stream:
+                    row["content"] = stream.read().decode("utf-8", "replace")
+                yield row
 
-    return paths.select("path").mapInPandas(read, "path string, content string")
+    wanted = listing.select("path", "length", "modified").repartition(parallel, "path")
+    return wanted.mapInPandas(read, "path string, length bigint, modified timestamp, content string")
 
 
 def load_notes(spark: SparkSession, root: str, template: str | None = None) -> DataFrame:
     """The notes table of a folder: ``id, label, content, modified, length``."""
-    listing = list_notes(spark, root, template)
-    texts = read_texts(listing, root)
-    return listing.join(texts, "path").select(
+    return read_texts(list_notes(spark, root, template), root).select(
         F.col("path").alias("id"), file_stem(F.col("path")).alias("label"), "content", "modified", "length"
     )
 

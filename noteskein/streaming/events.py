@@ -23,34 +23,33 @@ def note_events(events: DataFrame, template_folder: str | None = None) -> DataFr
     return kept.where(~in_folder(F.col("path"), template_folder)) if template_folder else kept
 
 
+# Merge the events of a busy vault before they are shuffled, as a batch aggregation does.
+MERGE_LOCALLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
+
 def quiet_sessions(events: DataFrame, quiet_seconds: int = fixed.QUIET_SECONDS, watermark: str = "2 minutes") -> DataFrame:
-    """Sessions of a vault that end with a quiet period.
+    """Sessions of a vault that end with a quiet period; every event restarts the timer.
 
-    Events merge per second first, over all tasks; the session state of a busy vault then sees at
-    most one row per second and no paths. The paths follow from the log, by session bounds.
+    The state holds bounds and a count per open session and no paths, which follow from the log.
     """
-    seconds = (
-        events.withWatermark("ts", watermark)
-        .groupBy("vault_id", F.window("ts", "1 second"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    )
+    events.sparkSession.conf.set(MERGE_LOCALLY, "true")
     return (
-        seconds.withColumn("at", F.window_time("window"))
-        .groupBy("vault_id", F.session_window("at", f"{quiet_seconds} seconds"))
-        .agg(F.sum("n").alias("n_events"), F.min("lo").alias("first_event"), F.max("hi").alias("last_event"))
+        events.withWatermark("ts", watermark)
+        .groupBy("vault_id", F.session_window("ts", f"{quiet_seconds} seconds"))
+        .agg(F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("first_event"), F.max("ts").alias("last_event"))
         .select("vault_id", "first_event", "last_event", "n_events")
     )
 
 
 def pending_paths(log: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Distinct paths of closed sessions, read from the event log by time bounds and an hour key."""
-    hour = lambda c: F.floor(F.unix_seconds(c) / 3600)
+    """Distinct paths of closed sessions, read from the event log by time bounds and a minute key."""
+    minute = lambda c: F.floor(F.unix_seconds(c) / 60)
     cut = sessions.select(
         "vault_id", "first_event", "last_event",
-        F.explode(F.sequence(hour(F.col("first_event")), hour(F.col("last_event")))).alias("_hour"),
+        F.explode(F.sequence(minute(F.col("first_event")), minute(F.col("last_event")))).alias("_minute"),
     )
-    keyed = log.withColumn("_hour", hour(F.col("ts")))
-    inside = keyed.join(cut, ["vault_id", "_hour"]).where(F.col("ts").between(F.col("first_event"), F.col("last_event")))
+    keyed = log.withColumn("_minute", minute(F.col("ts")))
+    inside = keyed.join(cut, ["vault_id", "_minute"]).where(F.col("ts").between(F.col("first_event"), F.col("last_event")))
     return inside.select("vault_id", "path").distinct()
 
 
