@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Most keys here are wide and nearly distinct; the small first-level map only adds work to them.
+    "spark.sql.codegen.aggregate.map.twolevel.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -35,6 +37,8 @@ def local_session(cores: int | None = None, **extra: str) -> SparkSession:
     settings = {
         "spark.sql.shuffle.partitions": str(cores),
         "spark.driver.memory": "16g",
+        # A table of one file has one map task, and a local reader would keep all work in few tasks.
+        "spark.sql.adaptive.localShuffleReader.enabled": "false",
         **extra,
     }
     return build_session(master=f"local[{cores}]", **settings)
