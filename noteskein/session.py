@@ -14,6 +14,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Most keys here are wide and nearly distinct; the small first-level map only adds work to them.
     "spark.sql.codegen.aggregate.map.twolevel.enabled": "false",
     "spark.ui.enabled": "false",

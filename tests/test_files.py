@@ -85,3 +85,27 @@ def test_bulk_load_checks_the_header(spark, tmp_path):
         assert "header" in str(error).lower()
     else:
         raise AssertionError("columns in another order must not be taken by position")
+
+
+def test_logs_results_and_uploads(spark, tmp_path):
+    from noteskein.operators import patterns
+    from noteskein.schemas import CHANGES
+
+    changes = spark.createDataFrame([(1, "created", None, "a.md", None, "h", None)], CHANGES)
+    for _ in range(2):
+        W.append_changes(changes, str(tmp_path / "changes"))
+    assert spark.read.schema(CHANGES).parquet(str(tmp_path / "changes")).count() == 2
+    W.write_results_json(spark.createDataFrame([("m", 0.5)], "model string, f1 double"), str(tmp_path / "results"))
+    assert spark.read.schema("model string, f1 double").json(str(tmp_path / "results")).first()["f1"] == 0.5
+    nodes = spark.createDataFrame([("Person", "a", "a", None), ("Company", "b", "b", "m"), ("Company", "c", "c", "m")], "category string, id string, label string, metadata string")
+    edges = patterns.typed_edges(spark.createDataFrame([("PERSON_TO_COMPANY", "a", "b", "r")], "edge_type string, src string, dst string, relationship string"))
+    result = patterns.graph_result(nodes, edges, ["id", "metadata"])
+    result.write(str(tmp_path / "out"))
+    back = {r["node_id"]: r["properties"] for r in spark.read.parquet(str(tmp_path / "out/nodes")).collect()}
+    assert back == {"Person:a": {"id": "a"}, "Company:b": {"id": "b", "metadata": "m"}}
+    rel = spark.read.parquet(str(tmp_path / "out/relationships")).first()
+    assert (rel["start_id"], rel["end_id"], rel["type"], rel["properties"]) == ("Person:a", "Company:b", "PERSON_TO_COMPANY", {"relationship": "r"})
+    notes = spark.createDataFrame([("Inbox/a.md", "a", "old", None, 3)], "id string, label string, content string, modified timestamp, length bigint")
+    inbox = spark.createDataFrame([("a", "first", 1), ("a.md", "last", 2), ("b", "é", 1)], "filename string, content string, ts int")
+    uploaded = W.upload_notes(notes, inbox, "Inbox", F.lit(None).cast("timestamp"))
+    assert {r["id"]: (r["content"], r["length"]) for r in uploaded.collect()} == {"Inbox/a.md": ("last", 4), "Inbox/b.md": ("é", 2)}
