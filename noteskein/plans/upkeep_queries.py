@@ -244,5 +244,5 @@ def stream_sessions(spark, sf):
     query_run = E.run_on_quiet(E.note_events(events), keep, f"{root}/state", once=True)
     query_run.awaitTermination()
     found = spark.read.schema("vault_id string, first_event timestamp, last_event timestamp, n_events bigint").parquet(f"{root}/sessions")
-    utc = lambda c: F.unix_micros(F.to_utc_timestamp(c, F.current_timezone()))
+    utc = lambda c: F.unix_micros(F.from_utc_timestamp(c, F.current_timezone()))
     return found.select("vault_id", utc("first_event").alias("start_us"), utc("last_event").alias("last_us"), "n_events")

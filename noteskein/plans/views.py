@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def epoch_us(ts: Column) -> Column:
     """Microseconds of a timestamp without zone, read as UTC whatever the session zone is."""
-    return F.unix_micros(F.to_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
+    return F.unix_micros(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
 
 
 # Shared text expressions
