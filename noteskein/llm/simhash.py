@@ -256,8 +256,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     single = docs.where(doc_id.isNotNull()).join(repeated, doc_id == F.col("_twice"), "left_anti")
     plain = single.join(gone, single["doc_id"].cast("long") == F.col("_gone"), "left_anti")
     rest = docs.where(doc_id.isNull()).unionByName(docs.join(repeated, doc_id == F.col("_twice"), "left_semi"))
-    rest = with_fingerprint(rest, "_print").join(classes, F.col("_print") == F.col("fp"))
-    rest = rest.where(F.col("doc_id").cast("long").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
+    named = classes.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_component"))
+    rest = with_fingerprint(rest, "_print").join(named, F.col("_print") == F.col("_fp"))
+    rest = rest.where(F.col("doc_id").cast("long").eqNullSafe(F.col("_component"))).dropDuplicates(["_root"])
     return plain.unionByName(rest.select(*docs.columns))
 
 

@@ -275,8 +275,11 @@ def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 # Groups.
 
-def _sorted_groups(rows: DataFrame, length: int, known: bool) -> DataFrame:
-    """``key, c1, c2, l, r``: what each segment shares with others of its group. Rows: ``key, c1, c2, before, after``."""
+def _sorted_groups(rows: DataFrame, length: int, known: int) -> DataFrame:
+    """``key, c1, c2, l, r``: what each segment shares with others of its group.
+
+    Rows: ``key, c1, c2, before, after``. In a group, ``known`` bytes from the anchor on agree.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("l", pa.int32()), ("r", pa.int32())])
         held: list[tuple] = []
@@ -284,8 +287,7 @@ def _sorted_groups(rows: DataFrame, length: int, known: bool) -> DataFrame:
 
         def close() -> None:
             if len(held) > 1:
-                agree = SEED if known else 0
-                for row, spans in zip(held, shared_spans([h[3] for h in held], [h[4] for h in held], length, agree)):
+                for row, spans in zip(held, shared_spans([h[3] for h in held], [h[4] for h in held], length, known)):
                     out.extend((row[0], row[1], row[2], left, right) for left, right in spans)
             held.clear()
 
@@ -338,7 +340,7 @@ def _halves(rows: DataFrame, length: int) -> DataFrame:
     )
 
 
-def covers(docs: DataFrame, rows: DataFrame, length: int, group: int) -> DataFrame:
+def covers(docs: DataFrame, rows: DataFrame, length: int, group: int, seed: int) -> DataFrame:
     """``seed, c1, c2, l, r``: the part around its anchor that a segment shares with any other occurrence."""
     distinct = stored(rows.groupBy("seed", "c1", "c2").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "part", "at", "before", "after")).alias("place")
@@ -351,7 +353,7 @@ def covers(docs: DataFrame, rows: DataFrame, length: int, group: int) -> DataFra
     )
     fetched = stored(fetch(docs, wanted))
     small = fetched.where(F.col("_segments") <= group).withColumn("key", F.col("seed"))
-    parts = [whole, _sorted_groups(small, length, True).withColumnRenamed("key", "seed")]
+    parts = [whole, _sorted_groups(small, length, seed).withColumnRenamed("key", "seed")]
     large = fetched.where(F.col("_segments") > group).select(
         "seed", F.col("c1").alias("s1"), F.col("c2").alias("s2"), F.lit(0).cast("long").alias("low"),
         F.lit(length).cast("long").alias("high"), "n", "before", "after",
@@ -363,7 +365,7 @@ def covers(docs: DataFrame, rows: DataFrame, length: int, group: int) -> DataFra
         sizes = merged.groupBy("key").agg(F.count(F.lit(1)).alias("_segments"))
         again = merged.where("n > 1").select("key", "c1", "c2", F.length("before").alias("l"), F.length("after").alias("r"))
         few = merged.join(sizes.where((F.col("_segments") > 1) & (F.col("_segments") <= group)), "key", "left_semi")
-        found = again.unionByName(_sorted_groups(few, length, False))
+        found = again.unionByName(_sorted_groups(few, length, 0))
         back = halves.join(found, ["key", "c1", "c2"]).select("seed", F.col("s1").alias("c1"), F.col("s2").alias("c2"), "l", "r")
         parts.append(stored(back.distinct()))
         large = halves.join(sizes.where(F.col("_segments") > group), "key", "left_semi").select(*large.columns)
@@ -410,7 +412,7 @@ def with_part(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP, seed: int = SEED) -> DataFrame:
     """``doc_id, part, spans`` of texts with repeated bytes; spans (start, end) in bytes, in order, may meet."""
     rows = stored(anchors(docs, length, seed))
-    found = rows.join(covers(docs, rows, length, group), ["seed", "c1", "c2"])
+    found = rows.join(covers(docs, rows, length, group, seed), ["seed", "c1", "c2"])
     span = F.struct((F.col("at") - F.col("l")).alias("start"), (F.col("at") + F.col("r")).alias("end"))
     return found.groupBy("doc_id", "part").agg(F.array_sort(F.collect_set(span)).alias("spans"))
 
