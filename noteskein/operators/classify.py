@@ -12,12 +12,11 @@ from noteskein.functions.prompts import (
 )
 from noteskein.functions.responses import parse_typed, read_results, results_error
 from noteskein.functions.text import in_folder, is_blank
-from noteskein.scale import lookup, small_rows
+from noteskein.scale import lookup
 from noteskein.schemas import TAG_SCHEMA
 
-# Tasks are written by hand; up to this many become one literal array in the plan.
-MAX_LITERAL_TASKS = 1000
-_TASK_BUCKETS = 64
+_TASK_BUCKETS = 8
+_NOTE_GROUPS = 64
 
 
 def decode_tasks(rows: DataFrame) -> DataFrame:
@@ -55,20 +54,19 @@ def check_tasks(requested: DataFrame, tasks: DataFrame) -> DataFrame:
 def pair_with_tasks(notes: DataFrame, tasks: DataFrame) -> DataFrame:
     """Every note with every enabled task, as ``<note columns>, task``.
 
-    A proven-small task list is written into the plan and exploded in place, so notes are not
-    shuffled. A larger one is hashed into buckets that every note visits, as an equi-join.
+    Tasks are hashed into buckets that every note visits, and repeated for groups of notes, as an equi-join. Give
+    it narrow notes: each goes out once per bucket where the task list is too large to be broadcast.
     """
-    usable = tasks.where(F.col("enabled"))
     task = F.struct(*[F.col(c) for c in ("id", "tag", "task_type", "prompt", "model", "output_type", "tag_schema")])
-    rows = small_rows(usable.select(F.to_json(task).alias("task")), MAX_LITERAL_TASKS)
-    kind = usable.select(task.alias("t")).schema["t"].dataType
-    if rows is not None:
-        items = [F.from_json(F.lit(r["task"]), kind) for r in sorted(rows)]
-        listed = F.array(*items) if items else F.array().cast(f"array<{kind.simpleString()}>")
-        return notes.withColumn("task", F.explode(listed))
-    bucket = F.pmod(F.xxhash64("tag"), F.lit(_TASK_BUCKETS)).cast("int")
-    visits = notes.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(_TASK_BUCKETS - 1))))
-    return visits.join(usable.select(bucket.alias("_bucket"), task.alias("task")), "_bucket").drop("_bucket")
+    listed = tasks.where(F.col("enabled")).select(
+        F.pmod(F.xxhash64("tag"), F.lit(_TASK_BUCKETS)).cast("int").alias("_bucket"),
+        F.explode(F.sequence(F.lit(0), F.lit(_NOTE_GROUPS - 1))).alias("_group"), task.alias("task"),
+    )
+    visits = notes.withColumns({
+        "_group": F.pmod(F.xxhash64("id"), F.lit(_NOTE_GROUPS)).cast("int"),
+        "_bucket": F.explode(F.sequence(F.lit(0), F.lit(_TASK_BUCKETS - 1))),
+    })
+    return visits.join(listed, ["_group", "_bucket"]).drop("_group", "_bucket")
 
 
 def worklist(notes: DataFrame, tasks: DataFrame, folder: str | None = None, force: bool = False) -> DataFrame:
@@ -255,22 +253,13 @@ def delete_tasks(tasks: DataFrame, runs: DataFrame, tags: DataFrame) -> tuple[Da
 
 # Messages
 
-# Turns per part of a combined prompt, so that no group holds a whole long conversation.
-TURNS_PER_PART = 1024
-
-
-def message_parts(messages: DataFrame, key: str) -> DataFrame:
-    """Ordered messages per conversation and part, from ``key, turn, role, text``."""
-    part = F.floor(F.col("turn") / TURNS_PER_PART).alias("part")
+def listed_messages(messages: DataFrame, key: str) -> DataFrame:
+    """Ordered messages of each conversation, from ``key, turn, role, text``: a prompt is one text, so it is one row."""
     listed = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return messages.groupBy(key, part).agg(listed.alias("messages"))
+    return messages.groupBy(key).agg(listed.alias("messages"))
 
 
 def combine_messages(messages: DataFrame, key: str) -> DataFrame:
-    """One prompt text per conversation, each message with its role in front.
-
-    A conversation of more than ``TURNS_PER_PART`` turns comes in parts, whose texts in order
-    (with a blank line between) are the whole prompt.
-    """
+    """One prompt text per conversation, each message with its role in front."""
     labelled = F.array_compact(F.transform("messages", lambda m: labelled_message(m["role"], m["text"])))
-    return message_parts(messages, key).select(key, "part", F.array_join(labelled, "\n\n").alias("prompt"))
+    return listed_messages(messages, key).select(key, F.array_join(labelled, "\n\n").alias("prompt"))

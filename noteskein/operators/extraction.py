@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -48,16 +46,15 @@ def cached_responses(keyed: DataFrame, ask: ModelFunction, cache_path: str, para
     only written responses are used.
     """
     spark = keyed.sparkSession
-    reader = spark.read.schema(RESPONSES)
-    try:
-        cached = reader.parquet(cache_path)
-        cached.take(1)
-    except Exception as error:  # the first run has no cache
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        cached = None
-    ask_model(keyed, ask, cached, parallel).write.mode("append").parquet(cache_path)
-    return reader.parquet(cache_path).groupBy("chunk_key").agg(F.first("raw").alias("raw"))
+    stored = f"{RESPONSES}, asked_at timestamp"
+    spark.createDataFrame([], stored).write.mode("append").parquet(cache_path)  # the first run has no cache
+    cached = spark.read.schema(stored).parquet(cache_path)
+    asked = ask_model(keyed, ask, cached, parallel).withColumn("asked_at", F.current_timestamp())
+    asked.write.mode("append").parquet(cache_path)
+    wanted = keyed.select("chunk_key").distinct()
+    kept = spark.read.schema(stored).parquet(cache_path).join(wanted, "chunk_key", "left_semi")
+    # A key that two runs asked at once has two answers: the first one counts, the smaller text on a tie.
+    return kept.groupBy("chunk_key").agg(F.min_by("raw", F.struct("asked_at", "raw")).alias("raw"))
 
 
 def triples_from_responses(keyed: DataFrame, responses: DataFrame) -> DataFrame:
@@ -74,48 +71,6 @@ def triples_from_responses(keyed: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
-# A sentence the rule-based stand-in understands: [[A]] relation words [[B]].
-_SENTENCE = re.compile(r"\[\[([^|\]]+)\]\] (works at|advises|partners with) \[\[([^|\]]+)\]\]")
-
-
-def rule_based_model(texts: list[str]) -> list[str]:
-    """Deterministic stand-in for a model: reads plain link sentences, answers like a model does."""
-    answers = []
-    for text in texts:
-        rows = [
-            {
-                "source_category": "Company" if source[:1].isupper() else "Person",
-                "source_label": source,
-                "relationship": relation.replace(" ", "_"),
-                "target_category": "Company",
-                "target_label": target,
-            }
-            for source, relation, target in _SENTENCE.findall(text)
-        ]
-        answers.append("```json\n" + json.dumps({"relationships": rows}) + "\n```")
-    return answers
-
-
-_NOTE_PART = re.compile(r"=== NOTE ===\n(.*)\n=== END ===", re.DOTALL)
-_SINGLE_KIND = re.compile(r"^Output format: (\w+)$", re.MULTILINE)
-_MULTI_TAG = re.compile(r"^- (.+?): .* \(type: (\w+)\)$", re.MULTILINE)
-
-
-def rule_based_classifier(prompts: list[str]) -> list[str]:
-    """Deterministic stand-in for a classification model: length, a word, and the last line of a note."""
-    answers = []
-    for prompt in prompts:
-        note = _NOTE_PART.search(prompt).group(1)
-        values = {"number": len(note), "boolean": " the " in note, "list": note.split("\n")[-1], "text": note.split("\n")[-1]}
-        kind = _SINGLE_KIND.search(prompt)
-        if kind:
-            answers.append(str(values[kind.group(1)]))
-        else:
-            tags = _MULTI_TAG.findall(prompt[prompt.rindex("=== END ===") :])
-            answers.append(json.dumps({"results": {tag: values[kind] for tag, kind in tags}}))
-    return answers
-
-
 def in_chunk_order(triples: DataFrame) -> DataFrame:
     """Triples of each note in the order of its chunks."""
     return triples.orderBy("note_id", "chunk_index", "ord")

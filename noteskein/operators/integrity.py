@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from noteskein.functions.text import is_valid_key, py_strip
-from noteskein.scale import checkpointed, lookup
+from noteskein.scale import lookup
 
 
 def valid_rows(table: DataFrame, *key_columns: str) -> DataFrame:
@@ -36,39 +36,28 @@ def sample_invalid(table: DataFrame, order: list[str], *key_columns: str, rows:
     return invalid_rows(table, *key_columns).orderBy(*order).limit(rows)
 
 
-def _resolve(edges: DataFrame, end: str, category: Column, ids: DataFrame, spread_by: list[str]) -> DataFrame:
-    """Add ``<end>_id``: the entity id equal to the end, else the smallest id equal in lower case.
-
-    Most names have one spelling, and one lookup on the lower-case name settles them. Only names
-    with several spellings need the second lookup on the exact name.
-    """
-    by_lower = ids.groupBy("category", F.lower("id").alias("_lower")).agg(
-        F.min("id").alias("_first"), F.count(F.lit(1)).alias("_spellings")
-    )
-    by_lower = checkpointed(by_lower)
-    lower_dim = by_lower.select(F.struct("category", "_lower").alias("_probe"), "_first", "_spellings")
-    many = by_lower.where(F.col("_spellings") > 1).select("category", "_lower")
-    exact_dim = (
-        ids.join(many, (ids["category"] == many["category"]) & (F.lower(ids["id"]) == many["_lower"]), "left_semi")
-        .select(F.struct("category", F.col("id").alias("_name")).alias("_probe"), F.col("id").alias("_exact"))
+def _spellings(entities: DataFrame) -> DataFrame:
+    """One row per category and lower-case id: the smallest id, and all ids spelt that way."""
+    return entities.groupBy(F.struct("category", F.lower("id").alias("_lower")).alias("_probe")).agg(
+        F.min("id").alias("_first"), F.collect_set("id").alias("_ids")
     )
+
+
+def _resolve(edges: DataFrame, end: str, category: Column, names: DataFrame, spread_by: list[str]) -> DataFrame:
+    """Add ``<end>_id``: the entity id equal to the end, else the smallest id equal in lower case."""
     name = py_strip(F.col(end))
-    lower_key = F.struct(category.alias("category"), F.lower(name).alias("_lower"))
-    found = lookup(edges, lower_dim, lower_key, "_probe", spread_by)
-    if many.isEmpty():
-        return found.withColumn(f"{end}_id", F.col("_first")).drop("_first", "_spellings")
-    exact_key = F.when(F.col("_spellings") > 1, F.struct(category.alias("category"), name.alias("_name")))
-    found = lookup(found, exact_dim, exact_key, "_probe", spread_by)
-    return found.withColumn(f"{end}_id", F.coalesce("_exact", "_first")).drop("_first", "_spellings", "_exact")
+    found = lookup(edges, names, F.struct(category.alias("category"), F.lower(name).alias("_lower")), "_probe", spread_by)
+    exact = F.when(F.array_contains("_ids", name), name)
+    return found.withColumn(f"{end}_id", F.coalesce(exact, F.col("_first"))).drop("_first", "_ids")
 
 
 def resolve_ends(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Add the entity ids both ends resolve to (NULL where there is none)."""
-    ids = checkpointed(entities.select("category", "id").distinct())
+    names = _spellings(entities)
     parts = F.split("edge_type", "_TO_")
     source, target = F.initcap(F.element_at(parts, 1)), F.initcap(F.element_at(parts, 2))
-    found = _resolve(edges, "src", source, ids, ["edge_type", "dst", "relationship"])
-    return _resolve(found, "dst", target, ids, ["edge_type", "src", "relationship"])
+    found = _resolve(edges, "src", source, names, ["edge_type", "dst", "relationship"])
+    return _resolve(found, "dst", target, names, ["edge_type", "src", "relationship"])
 
 
 def valid_edges(resolved: DataFrame) -> DataFrame:

@@ -8,19 +8,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from noteskein.functions import fixed
 from noteskein.functions.text import body_hash
-from noteskein.scale import checkpointed, is_small, lookup, union_all
+from noteskein.scale import checkpointed, lookup, union_all
 
 
 def hash_notes(notes: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Hash reader over a notes table ``id, content``.
 
-    A short list of paths is broadcast, and only those notes are hashed. For a long list every note
-    is hashed where it lies, which is cheaper than moving the texts to meet the list.
+    Only the notes on the list are hashed; Spark broadcasts the list when its size at run time allows it.
     """
     def read(paths: DataFrame) -> DataFrame:
-        wanted = checkpointed(paths.select(F.col("path").alias("id")))
-        chosen = notes.join(F.broadcast(wanted), "id", "left_semi") if is_small(wanted) else notes
-        return chosen.select(F.col("id").alias("path"), body_hash(F.col("content")).alias("new_hash"))
+        wanted = paths.select(F.col("path").alias("id")).distinct()
+        return notes.join(wanted, "id", "left_semi").select(F.col("id").alias("path"), body_hash(F.col("content")).alias("new_hash"))
 
     return read
 
@@ -176,6 +174,12 @@ def rewrite_source_files(triples: DataFrame, moves: DataFrame) -> DataFrame:
     return joined.withColumn("source_file", F.coalesce("_moved", "source_file")).select(triples.columns)
 
 
+def rewrite_markers(processed: DataFrame, moves: DataFrame) -> DataFrame:
+    """Processed markers of moved notes at their new paths."""
+    renamed = rewrite_source_files(processed.withColumnRenamed("id", "source_file"), moves)
+    return renamed.withColumnRenamed("source_file", "id")
+
+
 def mark_processed(state: DataFrame, processed: DataFrame, now: Column) -> DataFrame:
     """Note the time, and whether any triple was found, for ``id, n_rels`` rows."""
     done = processed.groupBy("id").agg(F.max("n_rels").alias("_rels")).withColumnRenamed("id", "path")

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from noteskein.functions.frontmatter import note_entries, value_of
 from noteskein.functions.text import body_hash, body_text, let
-from noteskein.operators import aliases, integrity, metadata, notes_graph, triples
+from noteskein.operators import aliases, integrity, metadata, notes_graph, tracking, triples
 from noteskein.operators.chunking import chunk_notes
 from noteskein.operators.extraction import ModelFunction, cached_responses, triples_from_responses, with_chunk_key
 from noteskein.operators.triples import FACT
 from noteskein.scale import checkpointed
+from noteskein.schemas import TRACKING
 from noteskein.sinks import tables
 
 
@@ -89,8 +90,93 @@ def run_cycle(
     fresh = extract(changed, ask, prompt, f"{root}/responses").withColumn("extracted_at", F.current_timestamp())
     hashed = changed.select("id", body_hash(F.col("content")).alias("content_hash"))
     tables.append_extraction(fresh, hashed, root, batch_id)
-    kept = tables.current_triples(spark.read.parquet(f"{root}/triples"), spark.read.parquet(f"{root}/processed"))
-    alive = kept.join(notes.select(F.col("id").alias("source_file")), "source_file", "left_semi")
+    return rebuild(notes, kept_triples(spark, root), root, batch_id, alias_scope)
+
+
+STORED_TRIPLES = ", ".join(f"{c} string" for c in (*FACT, "source_file")) + ", extracted_at timestamp, batch int"
+MARKERS = "id string, content_hash string, n_rels bigint, batch int"
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A log of batch folders; one that was never written is an empty table."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def kept_triples(spark: SparkSession, root: str) -> DataFrame:
+    """Triples of the latest batch of every note, at the paths where moved notes are now."""
+    kept = tables.current_triples(stored(spark, f"{root}/triples", STORED_TRIPLES), stored(spark, f"{root}/processed", MARKERS))
+    return tracking.rewrite_source_files(kept, final_moves(spark, root))
+
+
+def final_moves(spark: SparkSession, root: str) -> DataFrame:
+    """``old_path, new_path, ts`` of all moves so far, each path with its last place; chains are followed as batches were."""
+    return stored(spark, f"{root}/moves", MOVES).select("old_path", "new_path", "ts")
+
+
+MOVES = "old_path string, new_path string, ts timestamp, batch int"
+
+
+def rebuild(notes: DataFrame, triples_now: DataFrame, root: str, batch_id: int, alias_scope: str = "file") -> Graph:
+    """Build from all triples of notes that exist, and write every table of the graph."""
+    alive = triples_now.join(notes.select(F.col("id").alias("source_file")), "source_file", "left_semi")
     graph = build(notes, alive.select(*FACT, "source_file"), alias_scope)
-    tables.write_graph(graph.entities, graph.edges, f"{root}/graph", batch_id)
-    return graph
+    target = tables.write_graph(
+        graph.entities, graph.edges, f"{root}/graph", batch_id, notes=graph.notes, note_links=graph.note_links,
+        references=graph.references, entity_links=graph.entity_links,
+    )
+    return read_graph(notes.sparkSession, target, graph)
+
+
+def read_graph(spark: SparkSession, target: str, like: Graph) -> Graph:
+    """The graph as it was written to a version folder."""
+    return Graph(**{
+        f.name: spark.read.schema((table := getattr(like, f.name)).schema).parquet(f"{target}/{f.name}").select(*table.columns)
+        for f in fields(Graph)
+    })
+
+
+def full_cycle(
+    notes: DataFrame,
+    ask: ModelFunction,
+    prompt: str,
+    root: str,
+    batch_id: int,
+    moves: DataFrame | None = None,
+    alias_scope: str = "file",
+    now: Column | None = None,
+) -> Graph:
+    """Detect, evict, extract, resolve, organise, read metadata, build - with the tracking state kept in ``root``.
+
+    ``notes`` holds ``id, label, content, length, modified``. The state of each batch is a version of its own,
+    so a cycle that is repeated starts from the same state. ``moves`` (``old_path, new_path, ts``) are applied first: a
+    moved note keeps its triples and is not read again. Only new, changed and unmarked notes are asked about.
+    """
+    spark, now = notes.sparkSession, F.current_timestamp() if now is None else now
+    state = stored(spark, f"{root}/state", TRACKING + ", version int").where(F.col("version") < batch_id)
+    last = state.agg(F.max("version")).first()[0]
+    state = state.where(F.col("version") == F.lit(last)).drop("version")
+    if moves is not None:
+        moves.select("old_path", "new_path", "ts").write.mode("overwrite").parquet(f"{root}/moves/batch={batch_id}")
+        state = tracking.apply_moves(state, moves, now)
+        state = state.where((F.col("status") != "deleted") | F.col("path").isNotNull())
+    listing = notes.select(F.col("id").alias("path"), "length", "modified")
+    tracking.detect_changes(listing, state, tracking.hash_notes(notes)).write.mode("overwrite").parquet(f"{root}/detected/batch={batch_id}")
+    detected = spark.read.parquet(f"{root}/detected/batch={batch_id}")
+    tracking.change_log(detected, now).write.mode("overwrite").parquet(f"{root}/changes/batch={batch_id}")
+
+    markers = tracking.rewrite_markers(stored(spark, f"{root}/processed", MARKERS).where(F.col("batch") < batch_id), final_moves(spark, root))
+    tracking.orphaned(markers.select("id").distinct(), notes).write.mode("overwrite").parquet(f"{root}/evicted/batch={batch_id}")
+    todo = tracking.to_process(detected, tracking.unprocessed(notes.select("id"), markers))
+    changed = notes.join(todo.select(F.col("path").alias("id")), "id", "left_semi")
+    fresh = extract(changed, ask, prompt, f"{root}/responses").withColumn("extracted_at", now)
+    hashed = changed.select("id", body_hash(F.col("content")).alias("content_hash"))
+    tables.append_extraction(fresh, hashed, root, batch_id)
+
+    done = spark.read.schema(MARKERS).parquet(f"{root}/processed").where(F.col("batch") == batch_id)
+    after = tracking.mark_processed(tracking.apply_changes(state, detected, now), done, now)
+    after = tracking.purge_deleted(after, now)
+    after.write.mode("overwrite").parquet(f"{root}/state/version={batch_id}")
+    return rebuild(notes, kept_triples(spark, root), root, batch_id, alias_scope)

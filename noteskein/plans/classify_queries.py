@@ -8,10 +8,10 @@ from noteskein.functions import prompts as P, responses as R
 from noteskein.functions.frontmatter import note_entries
 from noteskein.functions.text import body_hash, from_julian, py_strip, to_julian
 from noteskein.operators import classify as C
-from noteskein.operators.extraction import rule_based_classifier
 from noteskein.plans import views as V
 from noteskein.plans.classify_run import classify, store_results
 from noteskein.plans.registry import query
+from noteskein.plans.stand_ins import rule_based_classifier
 from noteskein.scale import unnest
 from noteskein.schemas import TAG_SCHEMA
 
@@ -124,19 +124,19 @@ def context_bands(spark, sf):
 
 @query(
     "combine_messages",
-    "SELECT conv_id, turn // 1024 AS part, md5(string_agg(concat(CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' ELSE 'Assistant' END, ': ', text), chr(10) || chr(10) ORDER BY turn)) AS prompt FROM conversations GROUP BY ALL",
+    "SELECT conv_id, md5(string_agg(concat(CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' ELSE 'Assistant' END, ': ', text), chr(10) || chr(10) ORDER BY turn)) AS prompt FROM conversations GROUP BY ALL",
 )
 def combine_messages(spark, sf):
     combined = C.combine_messages(V.table(spark, sf, "conversations"), "conv_id")
-    return combined.select("conv_id", "part", F.md5("prompt").alias("prompt"))
+    return combined.select("conv_id", F.md5("prompt").alias("prompt"))
 
 
 @query(
     "combine_prompt",
-    "SELECT conv_id, md5(trim(concat(coalesce(string_agg(CASE WHEN role = 'system' THEN concat(text, chr(10), chr(10)) END, '' ORDER BY turn), ''), coalesce(string_agg(CASE WHEN role = 'user' THEN concat(text, chr(10), chr(10)) END, '' ORDER BY turn), '')), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS prompt FROM conversations WHERE turn < 1024 GROUP BY conv_id",
+    "SELECT conv_id, md5(trim(concat(coalesce(string_agg(CASE WHEN role = 'system' THEN concat(text, chr(10), chr(10)) END, '' ORDER BY turn), ''), coalesce(string_agg(CASE WHEN role = 'user' THEN concat(text, chr(10), chr(10)) END, '' ORDER BY turn), '')), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS prompt FROM conversations GROUP BY conv_id",
 )
 def combine_prompt(spark, sf):
-    parts = C.message_parts(V.table(spark, sf, "conversations"), "conv_id").where(F.col("part") == 0)
+    parts = C.listed_messages(V.table(spark, sf, "conversations"), "conv_id")
     return parts.select("conv_id", F.md5(P.combined_prompt(F.col("messages"))).alias("prompt"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from noteskein.functions import fixed
 from noteskein.functions.text import edge_type
 from noteskein.operators import aliases, integrity, patterns, triples as T
 from noteskein.plans import views as V
@@ -333,9 +334,26 @@ def edge_counts(spark, sf):
     return patterns.edge_counts(V.edges(spark, sf))
 
 
+@query(
+    "graph_first_rows",
+    f"SELECT edge_type, src, dst, relationship FROM edges ORDER BY edge_type, src, dst, relationship LIMIT {fixed.DEFAULT_RESULT_ROWS}",
+    "edges",
+)
+def graph_first_rows(spark, sf):
+    """The row limit of a result as the caller's argument; the match itself has none."""
+    entities, edges = _pattern_graph(spark, sf)
+    found = patterns.graph_result(entities, edges, limit=fixed.DEFAULT_RESULT_ROWS).relationships
+    name = lambda c: F.regexp_replace(c, "^[^:]*:", "")
+    return found.select(
+        F.col("type").alias("edge_type"), name("start_id").alias("src"), name("end_id").alias("dst"),
+        F.try_element_at("properties", F.lit("relationship")).alias("relationship"),
+    )
+
+
 @query("paged_nodes", "SELECT category, id FROM entities ORDER BY id, category LIMIT 50 OFFSET 20", "entities")
 def paged_nodes(spark, sf):
-    return patterns.page(V.entities(spark, sf).select("category", "id"), ["id", "category"], skip=20, limit=50)
+    nodes = V.entities(spark, sf).select("category", "id")
+    return patterns.page(nodes, ["id", "category"], skip=20, limit=50, max_skip=fixed.MAX_SKIP, warn_skip=fixed.WARN_SKIP)
 
 
 @query(
@@ -351,15 +369,14 @@ def node_filters(spark, sf):
     )
 
 
-_CAPPED = "SELECT * FROM edges ORDER BY edge_type, src, dst, relationship LIMIT 20000"
 _KIND1 = "CASE WHEN edge_type LIKE 'PERSON%' THEN 'Person' ELSE 'Company' END"
 _KIND2 = "CASE WHEN edge_type LIKE '%PERSON' THEN 'Person' ELSE 'Company' END"
 
 
 @query(
     "graph_relationships",
-    f"SELECT concat(edge_type, ':', md5(concat(src, '|', relationship, '|', dst))) AS rel_id, concat({_KIND1}, ':', src) AS start_id, concat({_KIND2}, ':', dst) AS end_id, edge_type AS type, relationship FROM capped",
-    "edges", extra={"capped": _CAPPED},
+    f"SELECT concat(edge_type, ':', md5(concat(src, '|', relationship, '|', dst))) AS rel_id, concat({_KIND1}, ':', src) AS start_id, concat({_KIND2}, ':', dst) AS end_id, edge_type AS type, relationship FROM edges",
+    "edges",
 )
 def graph_relationships(spark, sf):
     entities, edges = _pattern_graph(spark, sf)
@@ -369,8 +386,8 @@ def graph_relationships(spark, sf):
 
 @query(
     "graph_nodes",
-    f"SELECT DISTINCT concat(category, ':', id) AS node_id, category, id AS label FROM (SELECT {_KIND1} AS category, src AS id FROM capped UNION ALL SELECT {_KIND2}, dst FROM capped)",
-    "edges", extra={"capped": _CAPPED},
+    f"SELECT DISTINCT concat(category, ':', id) AS node_id, category, id AS label FROM (SELECT {_KIND1} AS category, src AS id FROM edges UNION ALL SELECT {_KIND2}, dst FROM edges)",
+    "edges",
 )
 def graph_nodes(spark, sf):
     entities, edges = _pattern_graph(spark, sf)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from noteskein.functions import frontmatter as FM, text as X
 from noteskein.operators import aliases, chunking, extraction, metadata, notes_graph as N
-from noteskein.plans import views as V
-from noteskein.plans.build import build, declared_aliases
+from noteskein.plans import stand_ins, views as V
+from noteskein.plans.build import MARKERS, build, declared_aliases, full_cycle
 from noteskein.plans.registry import query
 from noteskein.scale import unnest
+from noteskein.schemas import TRACKING
+from noteskein.session import ensure_checkpoint_dir
 from noteskein.sinks.tables import upload_notes
 from noteskein.sources import notes as S
 
@@ -408,7 +412,7 @@ def semantic_chunks(spark, sf):
 def extracted_triples(spark, sf):
     notes = V.notes(spark, sf).select("id", X.body_text(F.col("content")).alias("body"))
     keyed = extraction.with_chunk_key(chunking.chunk_notes(notes), "Extract relationships.")
-    responses = extraction.ask_model(keyed, extraction.rule_based_model)
+    responses = extraction.ask_model(keyed, stand_ins.rule_based_model)
     return extraction.triples_from_responses(keyed, responses).drop("chunk_index", "ord")
 
 
@@ -424,7 +428,7 @@ def _built(spark, sf):
     notes = V.notes(spark, sf).withColumn("modified", F.timestamp_seconds(F.lit(0)))
     bodies = notes.select("id", X.body_text(F.col("content")).alias("body"))
     keyed = extraction.with_chunk_key(chunking.chunk_notes(bodies), "Extract relationships.")
-    found = extraction.triples_from_responses(keyed, extraction.ask_model(keyed, extraction.rule_based_model))
+    found = extraction.triples_from_responses(keyed, extraction.ask_model(keyed, stand_ins.rule_based_model))
     return build(notes, found.withColumn("source_file", F.col("note_id")).drop("note_id", "chunk_index", "ord"))
 
 
@@ -442,6 +446,73 @@ def built_references(spark, sf):
     return _built(spark, sf).references
 
 
+# One whole cycle over the notes, and what it wrote
+
+_CYCLES: dict[tuple[str, str], str] = {}
+
+
+def _cycle(spark, sf):
+    """Folder of the tables that a first cycle wrote; it runs once per session and table folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CYCLES:
+        root = f"{ensure_checkpoint_dir(spark)}/cycle-{uuid.uuid4()}"
+        notes = V.notes(spark, sf).select(
+            "id", "label", "content", F.octet_length("content").cast("long").alias("length"), F.timestamp_seconds(F.lit(0)).alias("modified")
+        )
+        full_cycle(notes, stand_ins.rule_based_model, "Extract relationships.", root, 1, now=F.timestamp_seconds(F.lit(500)))
+        _CYCLES[key] = root
+    return _CYCLES[key]
+
+
+@query("cycle_edges", "SELECT DISTINCT 'PERSON_TO_COMPANY' AS edge_type, person AS src, company AS dst, 'works_at' AS relationship FROM found", "notes", extra=_BUILT)
+def cycle_edges(spark, sf):
+    return spark.read.schema("edge_type string, src string, dst string, relationship string").parquet(f"{_cycle(spark, sf)}/graph/version=1/edges")
+
+
+@query(
+    "cycle_references",
+    "SELECT 'PERSON_REFERENCE' AS edge_type, person AS src, source_file AS dst, count(*) AS n_refs FROM found GROUP BY ALL UNION ALL SELECT 'COMPANY_REFERENCE', company, source_file, count(*) FROM found GROUP BY ALL",
+    "notes", extra=_BUILT,
+)
+def cycle_references(spark, sf):
+    return spark.read.schema("edge_type string, src string, dst string, n_refs long").parquet(f"{_cycle(spark, sf)}/graph/version=1/references")
+
+
+@query("cycle_note_links", "SELECT min(src) AS src, CASE WHEN min(src) = least(src, target_id) THEN greatest(src, target_id) ELSE least(src, target_id) END AS dst "
+       "FROM targets WHERE target_id IS NOT NULL GROUP BY least(src, target_id), greatest(src, target_id)", "targets")
+def cycle_note_links(spark, sf):
+    return spark.read.schema("src string, dst string").parquet(f"{_cycle(spark, sf)}/graph/version=1/note_links")
+
+
+@query(
+    "cycle_entity_links", "SELECT * FROM all_links", "note_nodes",
+    extra={"links": "SELECT CAST(NULL AS VARCHAR) AS edge_type, CAST(NULL AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS dst WHERE false", **_MISSING},
+)
+def cycle_entity_links(spark, sf):
+    return spark.read.schema("edge_type string, src string, dst string").parquet(f"{_cycle(spark, sf)}/graph/version=1/entity_links")
+
+
+@query("cycle_notes", "SELECT id, label, entity_types FROM note_nodes", "note_nodes")
+def cycle_notes(spark, sf):
+    return spark.read.schema("id string, label string, entity_types string").parquet(f"{_cycle(spark, sf)}/graph/version=1/notes")
+
+
+@query(
+    "cycle_state",
+    f"SELECT id AS path, 'active' AS status, sha256(trim(body, {_SQL_BLANKS})) AS content_hash, 500 AS processed_at, true AS has_relationships FROM notes",
+    "notes",
+)
+def cycle_state(spark, sf):
+    state = spark.read.schema(TRACKING).parquet(f"{_cycle(spark, sf)}/state/version=1")
+    return state.select("path", "status", "content_hash", F.unix_seconds("processed_at").cast("int").alias("processed_at"), "has_relationships")
+
+
+@query("cycle_markers", "SELECT id, 1 AS n_rels, 1 AS batch FROM notes", "notes")
+def cycle_markers(spark, sf):
+    found = spark.read.schema(MARKERS).parquet(f"{_cycle(spark, sf)}/processed")
+    return found.select("id", F.col("n_rels").cast("int").alias("n_rels"), "batch")
+
+
 @query("notes_with_results", "SELECT concat('orders/', cast(o_orderkey as string), '.md') AS id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lines WHERE l_linestatus = 'F')", "lines")
 def notes_with_results(spark, sf):
     return extraction.notes_with_results(V.orders_as_notes(spark, sf), V.triples(spark, sf).where(F.col("l_linestatus") == "F")).select("id")

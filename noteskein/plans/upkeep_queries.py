@@ -223,26 +223,60 @@ def current_triples_query(spark, sf):
     return current_triples(rows, markers).drop("batch")
 
 
+def _worked_off(spark, sf):
+    """The event table worked off as a stream; every other user's note exists. Returns the folder of its tables."""
+    root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4()}"
+    raw = V.table(spark, sf, "events")
+
+    def events(rows):
+        return E.note_events(rows.select(
+            F.lit("vault").alias("vault_id"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".md")).alias("path"),
+            F.expr(V.CHANGE_KIND).alias("change_type"),
+            F.when(F.expr(V.CHANGE_KIND) == "moved", F.concat(F.lit("old/u"), F.col("user_id").cast("string"), F.lit(".md"))).alias("old_path"),
+            F.col("ts").cast("timestamp").alias("ts"),
+        ))
+
+    notes = raw.where(F.col("user_id") % 2 == 0).select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".md")).alias("id")).distinct()
+    source = events(E.read_events(spark, f"{sf}/events.parquet{{,/*}}", schema=raw.schema))
+    run = E.run_on_quiet(source, E.on_sessions(lambda: events(raw), lambda: notes, root), f"{root}/checkpoint", once=True)
+    run.awaitTermination()
+    return root
+
+
+def _micros(c):
+    return F.unix_micros(F.from_utc_timestamp(c, F.current_timezone()))
+
+
 @query(
     "stream_sessions",
-    "SELECT * FROM (SELECT 'vault' AS vault_id, min(ts_us) AS start_us, max(ts_us) AS last_us, count(*) AS n_events FROM numbered GROUP BY session) "
-    "WHERE last_us + 60000000 <= (SELECT (max(ts_us) - 120000000) // 1000 * 1000 FROM fe)",
+    "SELECT 'vault' AS vault_id, min(ts_us) AS start_us, max(ts_us) AS last_us, count(*) AS n_events FROM numbered GROUP BY session",
     "fe", extra=_SESSIONS,
 )
 def stream_sessions(spark, sf):
-    """The event table worked off as a stream: sessions that the watermark has closed."""
-    root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4()}"
-    source = spark.readStream.schema(V.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    events = source.select(
-        F.lit("vault").alias("vault_id"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".md")).alias("path"),
-        F.expr(V.CHANGE_KIND).alias("change_type"), F.lit(None).cast("string").alias("old_path"), F.col("ts").cast("timestamp").alias("ts"),
-    )
+    found = spark.read.schema("vault_id string, first_event timestamp, last_event timestamp, n_events bigint").parquet(f"{_worked_off(spark, sf)}/sessions")
+    return found.select("vault_id", _micros("first_event").alias("start_us"), _micros("last_event").alias("last_us"), "n_events")
+
 
-    def keep(sessions, batch_id):
-        sessions.write.mode("overwrite").parquet(f"{root}/sessions/batch={batch_id}")
+@query(
+    "stream_evictions",
+    "SELECT DISTINCT path FROM fe WHERE user_id % 2 <> 0 UNION SELECT DISTINCT concat('old/', path) FROM fe WHERE change_type = 'moved'",
+    "fe",
+)
+def stream_evictions(spark, sf):
+    return spark.read.schema("path string").parquet(f"{_worked_off(spark, sf)}/evictions").select("path")
+
+
+@query("stream_moves", "SELECT concat('old/', path) AS old_path, path AS new_path, ts_us FROM fe WHERE change_type = 'moved'", "fe")
+def stream_moves(spark, sf):
+    found = spark.read.schema("old_path string, new_path string, ts timestamp").parquet(f"{_worked_off(spark, sf)}/moves")
+    return found.select("old_path", "new_path", _micros("ts").alias("ts_us"))
 
-    query_run = E.run_on_quiet(E.note_events(events), keep, f"{root}/state", once=True)
-    query_run.awaitTermination()
-    found = spark.read.schema("vault_id string, first_event timestamp, last_event timestamp, n_events bigint").parquet(f"{root}/sessions")
-    utc = lambda c: F.unix_micros(F.from_utc_timestamp(c, F.current_timezone()))
-    return found.select("vault_id", utc("first_event").alias("start_us"), utc("last_event").alias("last_us"), "n_events")
+
+@query(
+    "stream_state",
+    "SELECT path, status, change_type AS last_change, n AS n_changes FROM (SELECT path, arg_max(change_type, ts_us) AS change_type, CASE WHEN arg_max(change_type, ts_us) = 'deleted' THEN 'deleted' ELSE 'active' END AS status, count(*) AS n FROM fe GROUP BY path)",
+    "fe",
+)
+def stream_state(spark, sf):
+    found = spark.read.schema(E.TRACKED).parquet(f"{_worked_off(spark, sf)}/state")
+    return found.select("path", "status", "last_change", "n_changes")

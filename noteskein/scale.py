@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from noteskein.session import ensure_checkpoint_dir
 
-SALTS = 8
-
-# A table is broadcast only when it is proven to be below both bounds.
-BROADCAST_ROWS = 100_000
-BROADCAST_BYTES = 32 * 1024 * 1024
+# Over so many values rows without a key are dealt out; more than any number of shuffle partitions.
+NULL_SALTS = 1 << 20
 
 # Positions per block of a blocked sum: a window over 10^12 rows of one key sees 1.5 * 10^7 block sums.
 BLOCK = 65536
@@ -24,52 +21,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_rows(df: DataFrame, max_rows: int) -> list[Row] | None:
-    """Rows of a table that is proven to hold at most ``max_rows``; None when it is larger."""
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
-
-
-def spread(columns: list[Column], salts: int = SALTS) -> Column:
+def spread(columns: list[Column], salts: int) -> Column:
     """Salt from row content. It is the same on every attempt of a task, as a retry needs."""
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
 
 
-def is_small(materialised: DataFrame) -> bool:
-    """True when a table is proven to stay below both bounds of a broadcast.
-
-    At most ``BROADCAST_ROWS + 1`` rows are looked at, whatever the size of the table.
-    """
-    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
-    seen = materialised.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), size.alias("b")).first()
-    return seen["n"] <= BROADCAST_ROWS and seen["b"] <= BROADCAST_BYTES
-
-
-def lookup(
-    facts: DataFrame,
-    dim: DataFrame,
-    key: Column,
-    dim_key: str,
-    salt_by: list[str],
-    how: str = "left",
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join ``facts`` to a smaller table by one key, safe against a key that most facts share.
+def lookup(facts: DataFrame, dim: DataFrame, key: Column, dim_key: str, salt_by: list[str], how: str = "left") -> DataFrame:
+    """Join ``facts`` to another table by one key that is unique there.
 
-    The table is materialised once and its size is checked. Below the bound it is broadcast, and the
-    facts are not shuffled at all. Beyond it, it is repeated once per salt and the facts of a key are
-    spread over the salts, so that no task gets a whole hot key; AQE may still split further.
-    ``salt_by`` names columns that differ between the facts of one key.
+    Nothing is written or measured first: Spark broadcasts the table when its size at run time allows it, and else
+    splits the partitions of hot keys, which repeats only the few rows that they meet. Facts without a key
+    match nothing; left joins deal them out by the columns ``salt_by`` instead of hashing them all to one place.
     """
-    dim = checkpointed(dim.withColumnRenamed(dim_key, "_dim_key"))
-    if is_small(dim):
-        joined = facts.withColumn("_key", key).join(F.broadcast(dim), F.col("_key") == F.col("_dim_key"), how)
-        return joined.drop("_key", "_dim_key")
-    repeated = dim.withColumn("_dim_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = facts.withColumn("_key", key).withColumn("_salt", spread([F.col(c) for c in salt_by], salts))
-    joined = salted.join(
-        repeated, (F.col("_key") == F.col("_dim_key")) & (F.col("_salt") == F.col("_dim_salt")), how
-    )
+    dim = dim.withColumnRenamed(dim_key, "_dim_key")
+    keyed = facts.withColumn("_key", key)
+    if how == "inner":
+        return keyed.join(dim, F.col("_key") == F.col("_dim_key"), how).drop("_key", "_dim_key")
+    salted = keyed.withColumn("_salt", F.when(F.col("_key").isNull(), spread([F.col(c) for c in salt_by], NULL_SALTS)).otherwise(0))
+    # Always 0, but no literal: a literal would be taken out of the key and no longer deal out rows.
+    zero = dim.withColumn("_dim_salt", F.pmod(F.hash("_dim_key"), F.lit(1)))
+    joined = salted.join(zero, (F.col("_key") == F.col("_dim_key")) & (F.col("_salt") == F.col("_dim_salt")), how)
     return joined.drop("_salt", "_dim_salt", "_key", "_dim_key")
 
 
@@ -99,7 +70,12 @@ def running_total(
     offsets = totals.select(*keys, block, (F.col("_upto") - F.col("_block_sum")).alias("_offset"))
     order = Window.partitionBy(*keys, block).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn("_local", F.sum("_value").over(order))
-    joined = local.join(offsets, [*keys, block])
+    # Keys may be NULL: such rows are a group like any other.
+    renamed = offsets.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col(block).alias("_of_block"), "_offset")
+    same = F.col(block) == F.col("_of_block")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    joined = local.join(renamed, same).drop("_of_block", *[f"_of_{k}" for k in keys])
     return joined.withColumn(name, F.col("_local") + F.col("_offset")).drop("_value", "_local", "_offset", block)
 
 

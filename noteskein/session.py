@@ -17,8 +17,15 @@ SETTINGS = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Most keys here are wide and nearly distinct; the small first-level map only adds work to them.
     "spark.sql.codegen.aggregate.map.twolevel.enabled": "false",
-    "spark.ui.enabled": "false",
-    "spark.ui.showConsoleProgress": "false",
+    # Merge the events of a busy vault before they are shuffled, as a batch aggregation does.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
+
+# Many small shuffle partitions, which are joined to the advised size at run time: enough for 100 TB, and few for little.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "256m",
 }
 
 
@@ -27,7 +34,8 @@ def build_session(app_name: str = "noteskein", master: str | None = None, **extr
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    local = (master or "").startswith("local")
+    for key, value in {**SETTINGS, **({} if local else CLUSTER_SETTINGS), **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -38,6 +46,8 @@ def local_session(cores: int | None = None, **extra: str) -> SparkSession:
     settings = {
         "spark.sql.shuffle.partitions": str(cores),
         "spark.driver.memory": "16g",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         # A table of one file has one map task, and a local reader would keep all work in few tasks.
         "spark.sql.adaptive.localShuffleReader.enabled": "false",
         **extra,

@@ -14,15 +14,12 @@ def append_extraction(triples: DataFrame, notes: DataFrame, root: str, batch_id:
     """Append the triples of a batch and one marker per note, also for notes without any triple.
 
     Both are append-only logs keyed by note and body hash; ``current_triples`` picks what counts.
-    A batch overwrites its own partition, so a repeated batch leaves the same rows.
+    A batch overwrites its own folders, also with no rows, and its markers come last: what has no marker does not count.
     """
-    stamped = triples.withColumn("batch", F.lit(batch_id))
     counts = triples.groupBy(F.col("source_file").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
-    markers = notes.select("id", "content_hash").join(counts, "id", "left").select(
-        "id", "content_hash", F.coalesce("_n", F.lit(0)).alias("n_rels"), F.lit(batch_id).alias("batch")
-    )
-    for rows, name in ((stamped, "triples"), (markers, "processed")):
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{root}/{name}")
+    triples.write.mode("overwrite").parquet(f"{root}/triples/batch={batch_id}")
+    markers = notes.select("id", "content_hash").join(counts, "id", "left").select("id", "content_hash", F.coalesce("_n", F.lit(0)).alias("n_rels"))
+    markers.write.mode("overwrite").parquet(f"{root}/processed/batch={batch_id}")
 
 
 def current_triples(triples: DataFrame, processed: DataFrame) -> DataFrame:
@@ -33,9 +30,11 @@ def current_triples(triples: DataFrame, processed: DataFrame) -> DataFrame:
     return found.where(F.col("batch") == F.col("_latest")).drop("_latest")
 
 
-def write_graph(entities: DataFrame, edges: DataFrame, root: str, version: int) -> str:
-    """Full rebuild into a new folder; readers switch when they find its success marker."""
+def write_graph(entities: DataFrame, edges: DataFrame, root: str, version: int, **more: DataFrame) -> str:
+    """Full rebuild into a new folder, with any further tables by name; readers switch when they find its last success marker."""
     target = f"{root}/version={version}"
+    for name, rows in more.items():
+        rows.write.mode("overwrite").parquet(f"{target}/{name}")
     entities.write.mode("overwrite").partitionBy("category").parquet(f"{target}/entities")
     edges.write.mode("overwrite").partitionBy("edge_type").parquet(f"{target}/edges")
     return target

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from noteskein.functions import fixed
 from noteskein.functions.text import in_folder, is_note_path
 from noteskein.schemas import FILE_EVENTS
 
 
-def read_events(spark: SparkSession, path: str, file_format: str = "parquet", max_files: int = 1000) -> DataFrame:
+def read_events(
+    spark: SparkSession, path: str, file_format: str = "parquet", max_files: int | None = None, schema: StructType | str = FILE_EVENTS
+) -> DataFrame:
     """Stream over the event log. A stream over the notes themselves would miss changes and deletions."""
-    return spark.readStream.schema(FILE_EVENTS).format(file_format).option("maxFilesPerTrigger", max_files).load(path)
+    reader = spark.readStream.schema(schema).format(file_format)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path)
 
 
 def note_events(events: DataFrame, template_folder: str | None = None) -> DataFrame:
@@ -23,26 +29,69 @@ def note_events(events: DataFrame, template_folder: str | None = None) -> DataFr
     return kept.where(~in_folder(F.col("path"), template_folder)) if template_folder else kept
 
 
-# Merge the events of a busy vault before they are shuffled, as a batch aggregation does.
-MERGE_LOCALLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
-
-
-def quiet_sessions(events: DataFrame, quiet_seconds: int = fixed.QUIET_SECONDS, watermark: str = "2 minutes") -> DataFrame:
+_SESSION = "vault_id string, first_event long, last_event long, n_events long"
+
+
+def _local_sessions(quiet: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Sessions within one part of a batch, so that a busy vault goes out as a few rows per task."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = batch.sort_values(["vault_id", "ts_us"])
+            same = rows["vault_id"].eq(rows["vault_id"].shift()) | (rows["vault_id"].isna() & rows["vault_id"].shift().isna())
+            number = (~same | (rows["ts_us"].diff() >= quiet)).cumsum()
+            found = rows.groupby(number, sort=False).agg(
+                vault_id=("vault_id", "first"), first_event=("ts_us", "min"), last_event=("ts_us", "max"), n_events=("ts_us", "size")
+            )
+            yield found[["vault_id", "first_event", "last_event", "n_events"]]
+
+    return run
+
+
+def _close_sessions(quiet: int, flush: bool):
+    """Joins the parts of a vault's sessions; the last one stays open until the clock has been quiet for long enough."""
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        closed = []
+        now = [state.get] if state.exists else []
+        if state.hasTimedOut:
+            closed = now
+            state.remove()
+        else:
+            parts = sorted(now + [tuple(r) for b in batches for r in b[["first_event", "last_event", "n_events"]].itertuples(index=False)])
+            current = None
+            for first, last, n in parts:
+                if current is not None and first - current[1] < quiet:
+                    current = (current[0], max(current[1], last), current[2] + n)
+                else:
+                    closed += [current] if current is not None else []
+                    current = (first, last, n)
+            if flush:
+                closed.append(current)
+            else:
+                state.update(tuple(int(v) for v in current))
+                state.setTimeoutDuration(quiet // 1000)
+        if closed:
+            yield pd.DataFrame([(key[0], *map(int, c)) for c in closed], columns=["vault_id", "first_event", "last_event", "n_events"])
+
+    return run
+
+
+def quiet_sessions(events: DataFrame, quiet_seconds: int = fixed.QUIET_SECONDS, flush: bool = False) -> DataFrame:
     """Sessions of a vault that end with a quiet period; every event restarts the timer.
 
-    The state holds bounds and a count per open session and no paths, which follow from the log.
+    A session fires when the next event comes later than the quiet period, or when none has come for so long by the
+    clock, also while nothing else arrives. The state is one open session per vault: bounds and a count, no
+    paths, which follow from the log. ``flush`` closes all sessions with the batch that brings them.
     """
-    events.sparkSession.conf.set(MERGE_LOCALLY, "true")
-    return (
-        events.withWatermark("ts", watermark)
-        .groupBy("vault_id", F.session_window("ts", f"{quiet_seconds} seconds"))
-        .agg(F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("first_event"), F.max("ts").alias("last_event"))
-        .select("vault_id", "first_event", "last_event", "n_events")
+    quiet = quiet_seconds * 1_000_000
+    parts = events.select("vault_id", F.unix_micros("ts").alias("ts_us")).mapInPandas(_local_sessions(quiet), _SESSION)
+    closed = parts.groupBy("vault_id").applyInPandasWithState(
+        _close_sessions(quiet, flush), _SESSION, "first_event long, last_event long, n_events long", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
+    return closed.withColumns({c: F.timestamp_micros(c) for c in ("first_event", "last_event")})
 
 
-def pending_paths(log: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Distinct paths of closed sessions, read from the event log by time bounds and a minute key."""
+def session_events(log: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Events of closed sessions, read from the event log by time bounds and a minute key."""
     minute = lambda c: F.floor(F.unix_seconds(c) / 60)
     cut = sessions.select(
         "vault_id", "first_event", "last_event",
@@ -50,7 +99,12 @@ def pending_paths(log: DataFrame, sessions: DataFrame) -> DataFrame:
     )
     keyed = log.withColumn("_minute", minute(F.col("ts")))
     inside = keyed.join(cut, ["vault_id", "_minute"]).where(F.col("ts").between(F.col("first_event"), F.col("last_event")))
-    return inside.select("vault_id", "path").distinct()
+    return inside.select(*log.columns)
+
+
+def pending_paths(log: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Distinct paths of closed sessions."""
+    return session_events(log, sessions).select("vault_id", "path").distinct()
 
 
 def split_pending(paths: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,17 +129,64 @@ def run_on_quiet(
 ) -> StreamingQuery:
     """Call ``process(sessions, batch_id)`` for closed sessions; batches never overlap.
 
-    ``once`` works off the backlog and stops (first run), else the query stays up.
+    ``once`` works off the backlog (first run) and stops; the backlog is one batch, and all its sessions are closed with
+    it. For that, read the events without a bound on the files of a batch. Else the query stays up.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            process(batch, batch_id)
+        kept = batch.persist()
+        if not kept.isEmpty():
+            process(kept, batch_id)
+        kept.unpersist()
 
-    writer = quiet_sessions(events, quiet_seconds).writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    writer = quiet_sessions(events, quiet_seconds, flush=once).writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.foreachBatch(handle)
     return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime="10 seconds").start()
 
 
+def on_sessions(log: Callable[[], DataFrame], notes: Callable[[], DataFrame], root: str) -> Callable[[DataFrame, int], None]:
+    """A ``process`` that works sessions to the end: paths to extract again, evictions, moves and the tracked state.
+
+    Each table of a batch has its own folder below ``root`` and overwrites it, so a repeated batch does no harm. The
+    state (``track_files``) is kept in versions; each batch merges its events into the one before.
+    """
+    def process(sessions: DataFrame, batch_id: int) -> None:
+        spark = sessions.sparkSession
+        events = session_events(log(), sessions)
+        moves = latest_moves(events)
+        changed, gone = split_pending(events.select("vault_id", "path").distinct(), notes())
+        left = moves.select(F.col("old_path").alias("path")).distinct()
+        tables = {
+            "sessions": sessions, "to_process": changed, "evictions": gone.select("path").union(left).distinct(), "moves": moves,
+        }
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+        kept = spark.createDataFrame([], TRACKED)
+        if batch_id > 0:
+            older = [v for v in _versions(spark, f"{root}/state") if v < batch_id]
+            kept = spark.read.schema(TRACKED).parquet(f"{root}/state/version={max(older)}") if older else kept
+        merge_tracked(kept, track_files(events)).write.mode("overwrite").parquet(f"{root}/state/version={batch_id}")
+
+    return process
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    pattern = hadoop.Path(f"{root}/version=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return [int(str(s.getPath().getParent().getName()).split("=")[1]) for s in found or []]
+
+
+TRACKED = "vault_id string, path string, status string, last_change string, updated_at timestamp, n_changes long"
+
+
+def merge_tracked(kept: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Tracked state after one more batch: the newest change of a path decides, and changes add up."""
+    newest = F.max_by(F.struct("status", "last_change"), F.struct("updated_at", "last_change")).alias("_last")
+    both = kept.unionByName(fresh.select(kept.columns))
+    merged = both.groupBy("vault_id", "path").agg(newest, F.max("updated_at").alias("updated_at"), F.sum("n_changes").alias("n_changes"))
+    return merged.select("vault_id", "path", "_last.status", "_last.last_change", "updated_at", "n_changes")
+
+
 def track_files(events: DataFrame) -> DataFrame:
     """Latest state per path in a batch of events: status, last change, number of changes."""
     last = F.max_by(F.struct("change_type", "old_path"), F.struct("ts", "change_type"))

@@ -25,3 +25,12 @@ def sf_dir():
     if not os.path.isdir(folder):
         pytest.skip(f"no test data in {folder}")
     return folder
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins as on tables that are too large to be sent to every task."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

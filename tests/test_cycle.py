@@ -5,9 +5,10 @@ import os
 
 from pyspark.sql import functions as F
 
-from noteskein.operators.extraction import cached_responses, rule_based_classifier, rule_based_model, with_chunk_key
-from noteskein.plans.build import run_cycle
+from noteskein.operators.extraction import cached_responses, with_chunk_key
+from noteskein.plans.build import full_cycle, run_cycle
 from noteskein.plans.classify_run import classify, store_results
+from noteskein.plans.stand_ins import rule_based_classifier, rule_based_model
 from noteskein.schemas import FILE_EVENTS, TASKS
 from noteskein.sources.notes import load_notes
 from noteskein.streaming import events as E
@@ -109,15 +110,80 @@ def test_classification(spark):
     assert {r["note_path"] for r in again.collect()} == {"b.md"}
 
 
-def test_large_task_list_takes_the_bucket_way(spark, monkeypatch):
+def test_large_task_list(spark, no_broadcast):
     from noteskein.operators import classify as C
 
     tasks = spark.createDataFrame([(i, f"t{i}", "single", "p", "n", "", None, "text", i % 2 == 0, None, None, None) for i in range(30)], TASKS)
     notes = spark.range(20).select(F.col("id").cast("string").alias("id"))
-    pairs = lambda: sorted((r["id"], r["task"]["tag"]) for r in C.pair_with_tasks(notes, tasks).collect())
-    small = pairs()
-    monkeypatch.setattr(C, "MAX_LITERAL_TASKS", 3)
-    assert pairs() == small and len(small) == 300
+    pairs = sorted((r["id"], r["task"]["tag"]) for r in C.pair_with_tasks(notes, tasks).collect())
+    assert pairs == sorted((str(n), f"t{i}") for n in range(20) for i in range(0, 30, 2))
+
+
+def test_a_long_conversation_is_one_prompt(spark):
+    from noteskein.operators import classify as C
+
+    turns = spark.range(2500).select(F.lit("c").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("m"), "id").alias("text"))
+    rows = C.combine_messages(turns, "conv_id").collect()
+    assert len(rows) == 1 and rows[0]["prompt"].count("m") == 2500 and rows[0]["prompt"].endswith("m2499")
+
+
+def _vault(spark, notes, changed=()):
+    rows = [(i, i.rsplit("/", 1)[-1][:-3], c, len(c), datetime.datetime(2024, 1, 2 if i in changed else 1)) for i, c in notes.items()]
+    return spark.createDataFrame(rows, "id string, label string, content string, length long, modified timestamp")
+
+
+def test_whole_cycle_keeps_state(spark, tmp_path):
+    root = str(tmp_path / "store")
+
+    def ask(texts):
+        with open(f"{tmp_path}/calls", "a") as log:
+            log.write("x" * len(texts))
+        return rule_based_model(texts)
+
+    def state(version):
+        rows = spark.read.parquet(f"{root}/state/version={version}").collect()
+        return {r["path"]: (r["status"], r["has_relationships"]) for r in rows}
+
+    first = snapshot(full_cycle(_vault(spark, VAULT), ask, "p", root, 1))
+    calls = os.path.getsize(f"{tmp_path}/calls")
+    assert len(first["edges"]) == 3 and state(1) == {p: ("active", True) for p in VAULT}
+    for name in ("notes", "note_links", "references", "entity_links", "entities", "edges"):
+        assert spark.read.parquet(f"{root}/graph/version=1/{name}").count() > 0
+    # Nothing changed: nothing is asked, the graph stays.
+    assert snapshot(full_cycle(_vault(spark, VAULT), ask, "p", root, 2)) == first and os.path.getsize(f"{tmp_path}/calls") == calls
+    # A note loses its sentence; the batch, run again, does not bring it back.
+    fewer = {**VAULT, "People/bo.md": "nothing here\n"}
+    for _ in range(2):
+        third = snapshot(full_cycle(_vault(spark, fewer, {"People/bo.md"}), ask, "p", root, 3))
+        assert [e[1] for e in third["edges"]] == ["ACME", "ann"] and state(3)["People/bo.md"] == ("active", False)
+    # A moved note keeps its triples without being asked again, a deleted one takes them along.
+    asked = os.path.getsize(f"{tmp_path}/calls")
+    moved = {"Archive/Zeta.md": VAULT["Companies/Zeta.md"], "People/bo.md": fewer["People/bo.md"]}
+    moves = spark.createDataFrame([("Companies/Zeta.md", "Archive/Zeta.md", datetime.datetime(2024, 1, 3))], "old_path string, new_path string, ts timestamp")
+    fourth = snapshot(full_cycle(_vault(spark, moved, {"People/bo.md"}), ask, "p", root, 4, moves))
+    assert [e[1] for e in fourth["edges"]] == ["ACME"] and os.path.getsize(f"{tmp_path}/calls") == asked
+    assert {r[2] for r in fourth["references"]} == {"Archive/Zeta.md"}
+    assert state(4)["Archive/Zeta.md"] == ("active", True) and state(4)["People/ann.md"][0] == "deleted"
+    assert [r["id"] for r in spark.read.parquet(f"{root}/evicted/batch=4").collect()] == ["People/ann.md"]
+
+
+def test_a_cycle_without_triples(spark, tmp_path):
+    graph = full_cycle(_vault(spark, {"a.md": "[[b]]", "b.md": "x"}), rule_based_model, "p", str(tmp_path / "store"), 1)
+    assert graph.edges.count() == 0 and graph.notes.count() == 2 and graph.note_links.count() == 1
+
+
+def test_sessions_fire_by_the_clock(spark, tmp_path):
+    """One event, then silence: the session is closed by time alone."""
+    import time
+
+    log, seen = str(tmp_path / "log"), []
+    spark.createDataFrame([("v", "a.md", "created", None, datetime.datetime(2024, 1, 1))], FILE_EVENTS).coalesce(1).write.parquet(log)
+    query = E.run_on_quiet(E.read_events(spark, log), lambda s, _: seen.extend(s.collect()), str(tmp_path / "checkpoint"), quiet_seconds=1)
+    until = time.time() + 120
+    while not seen and time.time() < until:
+        time.sleep(1)
+    query.stop()
+    assert [(r["vault_id"], r["n_events"]) for r in seen] == [("v", 1)]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -141,8 +207,8 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination(240)
     assert query.exception() is None
     sessions = sorted(s for batch, _ in seen for s in batch)
-    assert [(int((a - start).total_seconds()), int((b - start).total_seconds()), n) for a, b, n in sessions][:2] == [(0, 50, 3), (300, 300, 1)]
-    assert {p for _, paths in seen for p in paths} >= {"a.md", "b.MD", "c.md"}
+    assert [(int((a - start).total_seconds()), int((b - start).total_seconds()), n) for a, b, n in sessions] == [(0, 50, 3), (300, 300, 1), (9000, 9000, 1), (20000, 20000, 1)]
+    assert {p for _, paths in seen for p in paths} == {"a.md", "b.MD", "c.md", "z.md"}
     moves = E.latest_moves(spark.read.schema(FILE_EVENTS).parquet(log)).collect()
     assert [(m["old_path"], m["new_path"]) for m in moves] == [("a.md", "c.md")]
     again, gone = E.split_pending(spark.createDataFrame([("a.md",), ("c.md",)], "path string"), spark.createDataFrame([("c.md",)], "id string"))

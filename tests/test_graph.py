@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from noteskein import scale
 from noteskein.operators import aliases, integrity, notes_graph, patterns, triples as T
 from noteskein.functions.fixed import INVERSE_RELATIONS
 
@@ -75,9 +74,8 @@ def test_case_repair_prefers_the_exact_name(spark):
     assert (quality["n_rows"], quality["n_removed"], quality["missing_src"], quality["missing_dst"]) == (4, 2, 1, 1)
 
 
-def test_hot_names_take_the_salted_way(spark, monkeypatch):
+def test_hot_names(spark, no_broadcast):
     """A third of all edges share one end, and no table is small enough to be broadcast."""
-    monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
     entities = spark.range(300).select(F.lit("Company").alias("category"), F.concat(F.lit("c"), "id").alias("id"))
     edges = spark.range(3000).select(
         F.lit("COMPANY_TO_COMPANY").alias("edge_type"), F.when(F.col("id") % 3 == 0, "C7").otherwise(F.concat(F.lit("c"), F.col("id") % 400)).alias("src"),
@@ -115,8 +113,7 @@ def _typed(spark, pairs):
                                  "edge_type string, src_type string, src string, dst_type string, dst string, relationship string")
 
 
-def test_walks_and_reach_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
+def test_walks_and_reach_against_brute_force(spark, no_broadcast):
     pairs = [("h", f"n{i}") for i in range(20)] + [("n0", "n1"), ("n1", "m"), ("m", "k"), ("a", "b"), ("a", "b")]
     near = {}
     for a, b in pairs:
@@ -152,7 +149,19 @@ def test_page_bounds(spark):
     assert [r["id"] for r in patterns.page(df, ["id"], 5, 3).collect()] == [5, 6, 7]
     for skip in (10001,):
         try:
-            patterns.page(df, ["id"], skip)
+            patterns.page(df, ["id"], skip, max_skip=10000)
         except ValueError:
             continue
         raise AssertionError("a deep page must be refused")
+
+
+def test_results_have_no_limit_of_their_own(spark):
+    edges = spark.range(25_000).select(
+        F.lit("COMPANY_TO_COMPANY").alias("edge_type"), F.lit("Company").alias("src_type"), F.concat(F.lit("a"), "id").alias("src"),
+        F.lit("Company").alias("dst_type"), F.lit("b").alias("dst"), F.lit("r").alias("relationship"),
+    )
+    nodes = edges.select(F.lit("Company").alias("category"), F.col("src").alias("id"), F.col("src").alias("label"))
+    found = patterns.graph_result(nodes, edges)
+    assert found.relationships.count() == 25_000 and found.nodes.count() == 25_000
+    assert patterns.graph_result(nodes, edges, limit=10).relationships.count() == 10
+    assert patterns.page(edges, ["src"], skip=24_999).count() == 1

@@ -28,23 +28,58 @@ def test_previous_crosses_blocks(spark):
     assert got == {i: (2 * (i - 1) if i else None) for i in range(50)}
 
 
-def test_lookup_ways_agree(spark, monkeypatch):
-    facts = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("k"), "id")
-    dim = spark.range(40).select(F.col("id").cast("string").alias("name"), "id").withColumnRenamed("id", "v").union(spark.createDataFrame([("hot", 99)], "name string, v bigint"))
-    facts = facts.union(spark.createDataFrame([(None, 5000)], "k string, id bigint"))
+def _facts(spark, hot, rows=40_000):
+    """``hot`` of every hundred rows have one key (NULL where the key is None), the others keys of their own."""
+    return lambda key: spark.range(0, rows, 1, 8).select(
+        F.when(F.col("id") % 100 < hot, F.lit(key)).otherwise((F.col("id") % 5000).cast("string")).alias("k"), "id",
+        F.repeat(F.md5(F.col("id").cast("string")), 4).alias("pad"),
+    )
+
+
+def test_lookup_ways_agree(spark):
+    facts = _facts(spark, 33)("hot").union(spark.createDataFrame([(None, 50_000, "")], "k string, id bigint, pad string"))
+    dim = spark.range(40).select(F.col("id").cast("string").alias("name"), F.col("id").alias("v")).union(spark.createDataFrame([("hot", 99)], "name string, v bigint"))
     results = []
-    for rows in (100_000, 0):
-        monkeypatch.setattr(scale, "BROADCAST_ROWS", rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold in (before, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         for how in ("left", "inner"):
             joined = scale.lookup(facts, dim, F.col("k"), "name", ["id"], how)
-            results.append(sorted((r["id"], r["v"] if r["v"] is not None else -1) for r in joined.collect()))
+            results.append(sorted((r["id"], r["v"] if r["v"] is not None else -1) for r in joined.select("id", "v").collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert results[0] == results[2] and results[1] == results[3]
-    assert len(results[0]) == 1001 and len(results[1]) < 1001
-
-
-def test_small_table_check_looks_at_bytes(spark, monkeypatch):
-    monkeypatch.setattr(scale, "BROADCAST_BYTES", 1000)
-    assert scale.is_small(spark.range(3)) and not scale.is_small(spark.range(3).select(F.repeat(F.lit("x"), 500).alias("t")))
+    assert len(results[0]) == 40_001 and len(results[1]) < 40_001
+
+
+def _rows_per_task(spark, joined):
+    """Rows by task of the join; the wide column takes part, so that it is read."""
+    counted = joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max("pad"), F.max("v"))
+    return [r["n"] for r in counted.collect()]
+
+
+def test_lookup_spreads_hot_and_missing_keys(spark, no_broadcast):
+    dim = spark.range(5000).select(F.col("id").cast("string").alias("name"), F.col("id").alias("v")).union(spark.createDataFrame([("hot", 99)], "name string, v bigint"))
+    conf = {
+        "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for hot, key in ((99, None), (33, "hot")):
+            for how in ("left", "inner"):
+                rows = _rows_per_task(spark, scale.lookup(_facts(spark, hot)(key), dim, F.col("k"), "name", ["id"], how))
+                assert sum(rows) == (40_000 if how == "left" or key else 400) and max(rows) < 0.2 * max(sum(rows), 2000), (hot, key, how, rows)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_missing_keys_are_a_group_of_running_totals(spark):
+    df = spark.createDataFrame([(None, 0, 1), (None, 1, 2), ("a", 0, 5)], "k string, pos bigint, v int")
+    got = scale.running_total(df, ["k"], "pos", F.col("v"), "s", 1).collect()
+    assert sorted((r["k"] or "", r["pos"], r["s"]) for r in got) == [("", 0, 1), ("", 1, 3), ("a", 0, 5)]
 
 
 def test_sessions_against_brute_force(spark):
