@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from noteskein.functions import fixed
-from noteskein.functions.text import body_text, frontmatter_text, let, py_strip
+from noteskein.functions.text import body_text, frontmatter_text, last_per_name, let, py_strip
 
 try:
     import yaml
@@ -132,16 +132,7 @@ def value_of(entries: Column, key) -> Column:
 
 def last_per_key(entries: Column) -> Column:
     """Each key once: at its first place, with its last value."""
-    def merged(all_entries: Column) -> Column:
-        return F.transform(
-            F.array_distinct(keys_of(all_entries)),
-            lambda key: F.struct(
-                key.alias("key"),
-                F.element_at(F.filter(all_entries, lambda e: e["key"] == key), -1)["value"].alias("value"),
-            ),
-        )
-
-    return let(entries, merged)
+    return last_per_name(entries, "key", "value")
 
 
 def set_tags(entries: Column, tags: dict[str, Column], stamped_at: Column | None = None) -> Column:

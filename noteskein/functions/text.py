@@ -158,3 +158,21 @@ def from_julian(day: Column) -> Column:
 
 def to_julian(ts: Column) -> Column:
     return F.unix_millis(ts) / F.lit(86400000.0) + F.lit(2440587.5)
+
+
+def last_per_name(items: Column, key: str, value: str) -> Column:
+    """Each ``key`` of an array of structs once: at its first place, with its last ``value``.
+
+    The items are sorted by key and place once, and only neighbours are compared, so long arrays stay cheap.
+    """
+    def merged(ordered: Column) -> Column:
+        def differs(item: Column, at: Column) -> Column:
+            return (at < 0) | (at >= F.size(ordered)) | ~F.get(ordered, at)[key].eqNullSafe(item[key])
+
+        firsts = F.filter(ordered, lambda x, i: differs(x, i - 1))
+        lasts = F.filter(ordered, lambda x, i: differs(x, i + 1))
+        both = F.zip_with(firsts, lasts, lambda a, b: F.struct(a["_place"].alias("_place"), b[key].alias(key), b[value].alias(value)))
+        return F.transform(F.array_sort(both), lambda x: F.struct(x[key].alias(key), x[value].alias(value)))
+
+    placed = F.transform(items, lambda x, i: F.struct(x[key].alias(key), i.alias("_place"), x[value].alias(value)))
+    return let(F.array_sort(placed), merged)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from noteskein.functions.text import let, py_strip
+from noteskein.functions.text import last_per_name, py_strip
 from noteskein.operators.triples import FACT
 from noteskein.scale import lookup
 
@@ -43,16 +43,7 @@ def alias_lines(value: Column) -> Column:
 
 def as_mapping(pairs: Column) -> Column:
     """Each old name once: at its first place, with its last new name."""
-    def merged(declared: Column) -> Column:
-        return F.transform(
-            F.array_distinct(F.transform(declared, lambda p: p["old_name"])),
-            lambda name: F.struct(
-                name.alias("old_name"),
-                F.element_at(F.filter(declared, lambda p: p["old_name"] == name), -1)["new_name"].alias("new_name"),
-            ),
-        )
-
-    return let(pairs, merged)
+    return last_per_name(pairs, "old_name", "new_name")
 
 
 def apply_in_order(label: Column, pairs: Column) -> Column:

@@ -10,6 +10,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from noteskein.functions.text import file_stem, in_folder, is_hidden
 from noteskein.scale import checkpointed, union_all
 
+def _system(root: str):
+    """File system and path of a folder: local, or any cluster or object store by its URI."""
+    from pyarrow import fs
+
+    for scheme in ("s3a://", "s3n://"):
+        root = root.replace(scheme, "s3://", 1) if root.startswith(scheme) else root
+    if root.startswith("file:/") and not root.startswith("file://"):
+        root = "file://" + root[5:]
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+
+
 _ENTRY = "path string, is_dir boolean, length bigint, modified timestamp"
 
 
@@ -19,10 +30,9 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for folder in batch["path"]:
-            system, path = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-            prefix = folder[: len(folder) - len(path)]
+            system, path = _system(folder)
             rows = [
-                (prefix + info.path, info.type == fs.FileType.Directory, int(info.size or 0), info.mtime)
+                (folder + info.path[len(path):], info.type == fs.FileType.Directory, int(info.size or 0), info.mtime)
                 for info in system.get_file_info(fs.FileSelector(path))
                 if not info.base_name.startswith(".")
             ]
@@ -32,7 +42,7 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield frame
 
 
-def list_notes(spark: SparkSession, root: str, template_folder: str | None = None, max_depth: int = 64) -> DataFrame:
+def list_notes(spark: SparkSession, root: str, template_folder: str | None = None) -> DataFrame:
     """``path`` (below the root), ``length``, ``modified`` of all notes, listed by the executors level by level.
 
     Unlike the built-in file listing it keeps names that start with an underscore, and empty files.
@@ -41,15 +51,13 @@ def list_notes(spark: SparkSession, root: str, template_folder: str | None = Non
     root = root.rstrip("/")
     folders = spark.createDataFrame([(root,)], "path string")
     levels = []
-    for _ in range(max_depth):
+    while True:
         entries = checkpointed(folders.mapInPandas(_list_folders, _ENTRY))
         levels.append(entries.where(~F.col("is_dir") & F.endswith("path", F.lit(".md"))))
         folders = entries.where("is_dir").select("path")
         if folders.isEmpty():
             break
         folders = folders.repartition(spark.sparkContext.defaultParallelism, "path")
-    else:
-        raise ValueError(f"folders below {root} are nested deeper than {max_depth}")
     found = union_all(levels).select(
         F.substring("path", len(root) + 2, 1 << 30).alias("path"), "length", "modified"
     )
@@ -73,7 +81,8 @@ _TASK_BYTES = 128 * 1024 * 1024
 
 
 def read_texts(listing: DataFrame, root: str) -> DataFrame:
-    """A listing with the ``content`` of its notes, read by the executors. Bytes that are no UTF-8 are replaced.
+    """A listing with the ``content`` of its notes, read by the executors. Bytes that are no UTF-8 are replaced,
+    and line ends of any system become line feeds, as in text mode.
 
     Paths are spread over tasks by the bytes to read, so a folder with most notes is no single task.
     """
@@ -82,14 +91,12 @@ def read_texts(listing: DataFrame, root: str) -> DataFrame:
     parallel = max(listing.sparkSession.sparkContext.defaultParallelism, -(-total // _TASK_BYTES))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        system, base = _system(root)
         for batch in batches:
             for start in range(len(batch)):
                 row = batch.iloc[start : start + 1].copy()
                 with system.open_input_stream(f"{base}/{row['path'].iloc[0]}") as stream:
-                    row["content"] = stream.read().decode("utf-8", "replace")
+                    row["content"] = stream.read().decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
                 yield row
 
     wanted = listing.select("path", "length", "modified").repartition(parallel, "path")

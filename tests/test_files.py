@@ -109,3 +109,15 @@ def test_logs_results_and_uploads(spark, tmp_path):
     inbox = spark.createDataFrame([("a", "first", 1), ("a.md", "last", 2), ("b", "é", 1)], "filename string, content string, ts int")
     uploaded = W.upload_notes(notes, inbox, "Inbox", F.lit(None).cast("timestamp"))
     assert {r["id"]: (r["content"], r["length"]) for r in uploaded.collect()} == {"Inbox/a.md": ("last", 4), "Inbox/b.md": ("é", 2)}
+
+
+def test_uris_and_line_ends(spark, tmp_path):
+    vault = tmp_path / "vault"
+    deep = vault / "/".join(["d"] * 70)
+    os.makedirs(deep)
+    (vault / "a.md").write_bytes(b"one\r\ntwo\rthree")
+    (vault / "b.md").write_bytes(b"one\ntwo\nthree")
+    (deep / "c.md").write_bytes(b"deep")
+    plain = sorted((r["id"], r["content"]) for r in S.load_notes(spark, str(vault)).collect())
+    assert plain == sorted((r["id"], r["content"]) for r in S.load_notes(spark, f"file://{vault}").collect())
+    assert plain[0][1] == plain[1][1] == "one\ntwo\nthree" and plain[2][0].endswith("d/c.md")

@@ -95,3 +95,16 @@ def test_edge_type_rejects_unknown_pairs(spark):
         assert "Person -> Concept" in str(error)
     else:
         raise AssertionError("an unknown pair must fail")
+
+
+def test_last_per_name_is_quick_on_long_arrays(spark):
+    import time
+
+    from noteskein.functions.text import last_per_name
+
+    items = F.transform(F.sequence(F.lit(0), F.lit(99_999)), lambda i: F.struct((i % 60_000).cast("string").alias("key"), i.cast("string").alias("value")))
+    began = time.time()
+    got = spark.range(1).select(last_per_name(items, "key", "value").alias("x")).select(F.size("x").alias("n"), F.col("x")[0].alias("a"), F.col("x")[59_999].alias("b")).first()
+    assert (got["n"], tuple(got["a"]), tuple(got["b"])) == (60_000, ("0", "60000"), ("59999", "59999")) and time.time() - began < 60
+    odd = spark.sql("SELECT array(named_struct('key', 'b', 'value', '1'), named_struct('key', cast(null as string), 'value', '2'), named_struct('key', 'b', 'value', cast(null as string)), named_struct('key', 'a', 'value', '4')) AS x")
+    assert [tuple(r) for r in odd.select(last_per_name(F.col("x"), "key", "value").alias("y")).first()["y"]] == [("b", None), (None, "2"), ("a", "4")]
