@@ -486,7 +486,12 @@ def cycle_note_links(spark, sf):
 
 @query(
     "cycle_entity_links", "SELECT * FROM all_links", "note_nodes",
-    extra={"links": "SELECT CAST(NULL AS VARCHAR) AS edge_type, CAST(NULL AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS dst WHERE false", **_MISSING},
+    extra={
+        **_BUILT,
+        "links": "SELECT 'PERSON_NOTE' AS edge_type, e.id AS src, n.id AS dst FROM (SELECT DISTINCT person AS id FROM found) e JOIN notes n ON lower(e.id) = lower(n.label) "
+        "UNION ALL SELECT 'COMPANY_NOTE', e.id, n.id FROM (SELECT DISTINCT company AS id FROM found) e JOIN notes n ON lower(e.id) = lower(n.label)",
+        **_MISSING,
+    },
 )
 def cycle_entity_links(spark, sf):
     return spark.read.schema("edge_type string, src string, dst string").parquet(f"{_cycle(spark, sf)}/graph/version=1/entity_links")

@@ -83,9 +83,11 @@ def quiet_sessions(events: DataFrame, quiet_seconds: int = fixed.QUIET_SECONDS,
     paths, which follow from the log. ``flush`` closes all sessions with the batch that brings them.
     """
     quiet = quiet_seconds * 1_000_000
+    # With a timer there is always one more batch to run, and working off a backlog would never end.
+    timer = GroupStateTimeout.NoTimeout if flush else GroupStateTimeout.ProcessingTimeTimeout
     parts = events.select("vault_id", F.unix_micros("ts").alias("ts_us")).mapInPandas(_local_sessions(quiet), _SESSION)
     closed = parts.groupBy("vault_id").applyInPandasWithState(
-        _close_sessions(quiet, flush), _SESSION, "first_event long, last_event long, n_events long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        _close_sessions(quiet, flush), _SESSION, "first_event long, last_event long, n_events long", "append", timer
     )
     return closed.withColumns({c: F.timestamp_micros(c) for c in ("first_event", "last_event")})
 

@@ -204,8 +204,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
     stream = E.note_events(E.read_events(spark, log))
     query = E.run_on_quiet(stream, process, str(tmp_path / "checkpoint"), once=True)
-    query.awaitTermination(240)
-    assert query.exception() is None
+    assert query.awaitTermination(240) and query.exception() is None
     sessions = sorted(s for batch, _ in seen for s in batch)
     assert [(int((a - start).total_seconds()), int((b - start).total_seconds()), n) for a, b, n in sessions] == [(0, 50, 3), (300, 300, 1), (9000, 9000, 1), (20000, 20000, 1)]
     assert {p for _, paths in seen for p in paths} == {"a.md", "b.MD", "c.md", "z.md"}
