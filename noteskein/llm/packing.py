@@ -14,7 +14,9 @@ repeated rows are packed repeatedly; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -37,6 +39,20 @@ FILLINGS = 6
 STEPS = 20_000
 
 
+def _packed(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
+def _visible_bytes() -> dict[int, str]:
+    """The character by which a byte-level vocabulary writes each byte: itself where it can be seen, else the next from U+0100."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with the ids of words kept.
 
@@ -51,12 +67,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.visible = _visible_bytes()
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
+    def _plain(self, core: str) -> bytes:
+        """Ids of lower-case letters up to U+00FF: nothing to normalise or to split, so the vocabulary's merges alone."""
+        shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.visible)
+        return _packed([token.id for token in self.model.tokenize(shown)])
+
     def _encode_parts(self, parts: list[str]) -> None:
         for part, found in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-            self.parts[part] = np.array(found.ids, "<u4").tobytes()
+            self.parts[part] = _packed(found.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
@@ -66,10 +89,15 @@ class Encoder:
         cut = {}
         for word in unknown:
             core = word.rstrip(".,;:!?")
-            if core.isalpha():
-                cut[word] = (core.lower() if core.isascii() else core), word[len(core):]
-            else:
+            if not core.isalpha():
                 cut[word] = word, ""
+                continue
+            tail = word[len(core):]
+            if max(core) < "\u0100":
+                core = core.lower()
+                if core not in self.parts:
+                    self.parts[core] = self._plain(core)
+            cut[word] = core, tail
         need = {part for pair in cut.values() for part in pair if part not in self.parts}
         self._encode_parts(sorted(need))
         for word, (core, tail) in cut.items():
