@@ -372,7 +372,8 @@ def covers(docs: DataFrame, rows: DataFrame, length: int, group: int, seed: int)
     found = parts[0]
     for more in parts[1:]:
         found = found.unionByName(more)
-    return found.groupBy("seed", "c1", "c2").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    # Written, so that the join with all segments reads two shuffles and Spark can split a hot segment among tasks.
+    return stored(found.groupBy("seed", "c1", "c2").agg(F.max("l").alias("l"), F.max("r").alias("r")))
 
 
 def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
