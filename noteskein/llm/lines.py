@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from noteskein.llm.common import decode, id_and_text, map_rows, text_bytes, to_batch
+from noteskein.llm.common import decode, id_and_text, map_rows, stored, text_bytes, to_batch
 
 MIN_WORDS = 5
 
@@ -53,7 +53,8 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = units(docs, min_words)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "part", "unit")
     repeated = rows.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = rows.join(repeated.select("d1", "d2", "first"), ["d1", "d2"]).where(~place.eqNullSafe(F.col("first")))
+    # Written, so that the join reads two shuffles and Spark can split a line that is everywhere among tasks.
+    met = rows.join(stored(repeated.select("d1", "d2", "first")), ["d1", "d2"]).where(~place.eqNullSafe(F.col("first")))
     return met.groupBy("doc_id", "part").agg(F.array_sort(F.collect_set(F.struct("unit", "start", "end"))).alias("spans"))
 
 
