@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from noteskein.session import ensure_checkpoint_dir
 
@@ -28,6 +28,11 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     )
 
 
+def text_key() -> Column:
+    """Hash of the text of a row, which tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.large_binary()).to_pylist()
 

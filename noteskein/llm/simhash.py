@@ -17,20 +17,18 @@ member is null; repeated rows give repeated rows; an empty table gives no rows;
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from noteskein.llm.common import id_and_text, text_bytes, written
+from noteskein.llm import minhash
+from noteskein.llm.common import id_and_text, text_bytes, text_key, written
 from noteskein.llm.components import components
+from noteskein.llm.minhash import shingles
 
 SHINGLE = 3
-SEED = 42
 RADIUS = 2
 
 #: Members of a group up to which it is compared as it is; larger ones are divided by a further key first.
@@ -40,15 +38,9 @@ BLOCK = 1024
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
-    words = text.lower().split()
-    if not words:
+    hashes = shingles(text, width)
+    if not len(hashes):
         return 0
-    joined = b" ".join(words)
-    width = min(width, len(words))
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[: len(words) - width]]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :])], np.uint64)
     bits = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = hashes[k : k + (1 << 16)]
@@ -240,12 +232,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all columns.
+    """One document of each component of similar texts (``minhash``), the one with the smallest id, with all columns.
 
-    Rows that repeat an id, or have none, are told apart by fingerprint: of the rows with the smallest id of a
+    Rows that repeat an id, or have none, are told apart by text: of the rows with the smallest id of a
     component one stays, and a row without an id stays only where no row of its component has one.
     """
-    prints, classes = classified(docs)
+    prints, classes = minhash.classified(docs)
     marked = prints.join(classes, "fp")
     gone = marked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     repeated = written(prints.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")))
@@ -257,18 +249,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     plain = single.join(gone, single["doc_id"].cast("long") == F.col("_gone"), "left_anti")
     rest = docs.where(doc_id.isNull()).unionByName(docs.join(repeated, doc_id == F.col("_twice"), "left_semi"))
     named = classes.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_component"))
-    rest = with_fingerprint(rest, "_print").join(named, F.col("_print") == F.col("_fp"))
+    rest = rest.withColumn("_print", text_key()).join(named, F.col("_print") == F.col("_fp"))
     rest = rest.where(F.col("doc_id").cast("long").eqNullSafe(F.col("_component"))).dropDuplicates(["_root"])
     return plain.unionByName(rest.select(*docs.columns))
-
-
-def with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
-    at = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(t or b"") for t in text_bytes(batch.column(at))], np.uint64).view(np.int64)
-            yield batch.append_column(name, pa.array(found, pa.int64()))
-
-    return docs.mapInArrow(run, schema)
