@@ -67,12 +67,15 @@ def windows(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def _tables(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Words of each item, and its seeds: (item_id, words), (seed, item_id, at, width)."""
+    """Words of each item, and its seeds: (item, item_id, words), (seed, item, at, width).
+
+    ``item`` is a hash of id and text, because different texts may have one id or none.
+    """
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Words()
         for batch in batches:
-            found = [hashes(t).view(np.int64) for t in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["item_id", "words"])
+            found = [hashes(t).view(np.int64) for t in text_bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["item", "item_id", "words"])
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,13 +84,13 @@ def _tables(items: DataFrame) -> tuple[DataFrame, DataFrame]:
                 width = min(SEED_WORDS, len(own))
                 found = windows(np.array(own, np.int64).view(np.uint64), width) if width else []
                 rows += [(int(s), item, at, width) for at, s in enumerate(np.asarray(found, np.uint64).view(np.int64))]
-            schema = pa.schema([("seed", pa.int64()), ("item_id", pa.int64()), ("at", pa.int32()), ("width", pa.int32())])
+            schema = pa.schema([("seed", pa.int64()), ("item", pa.int64()), ("at", pa.int32()), ("width", pa.int32())])
             yield to_batch(rows, schema)
 
-    texts = items.select(F.col("item_id").cast("long").alias("doc_id"), F.col("text"))
-    own = id_and_text(texts).mapInArrow(words, "item_id long, words array<long>")
-    own = written(own.where("size(words) > 0"))
-    return own, written(own.mapInArrow(seeds, "seed long, item_id long, at int, width int"))
+    texts = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text")
+    own = written(texts.mapInArrow(words, "item long, item_id long, words array<long>").where("size(words) > 0"))
+    return own, written(own.select("item", "words").mapInArrow(seeds, "seed long, item long, at int, width int"))
 
 
 def _bitmap(seeds: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -208,9 +211,9 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
     words, seeds = _tables(items)
     bits, widths = _bitmap(seeds)
     hits = _hits(docs, bits, widths).join(seeds.withColumnRenamed("at", "item_at"), "seed")
-    found = hits.groupBy("doc_id", "item_id", "part", "at").agg(F.min("item_at").alias("item_at"), F.max("width").alias("width"))
-    pairs = found.groupBy("doc_id", "item_id", "part").agg(F.collect_list(F.struct("at", "item_at", "width")).alias("seeds"))
-    pairs = pairs.join(words.select(F.col("item_id").alias("_item"), "words"), F.col("item_id").eqNullSafe(F.col("_item")))
+    found = hits.groupBy("doc_id", "item", "part", "at").agg(F.min("item_at").alias("item_at"), F.max("width").alias("width"))
+    pairs = found.groupBy("doc_id", "item", "part").agg(F.collect_list(F.struct("at", "item_at", "width")).alias("seeds"))
+    pairs = pairs.join(words, "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([

@@ -38,6 +38,18 @@ def test_reordered_and_short_items(spark):
     assert [r["doc_id"] for r in kept.collect()] == [2] and kept.columns == docs.columns
 
 
+def test_items_of_one_id(spark):
+    """Items without an id, or with the same one, are different items where their texts differ."""
+    long, short = "one two three four five six seven eight nine ten", "five six seven eight nine"
+    other, tail = "a b c d e f g h i j k l", "g h i j k l"
+    rows = [(None, long), (None, short), (4, other), (4, tail)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    docs = [(1, "so " + long), (2, "and " + short + " only"), (3, other), (4, "x " + tail), (5, "c d e f g h i")]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"], r["covered"]) for r in found} == brute.leaks(docs, rows)
+    assert Counter((r["doc_id"], r["item_id"], r["n_words"]) for r in found)[1, None, 10] == 1
+
+
 def test_tiles_like_plain():
     rng = np.random.default_rng(3)
     for _ in range(60):
