@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from noteskein.llm.common import id_and_text, text_bytes, to_batch, written
+from noteskein.llm.common import id_and_text, text_bytes, text_key, to_batch, written
 
 SEED_WORDS = 5
 COVERAGE = 0.6
@@ -106,21 +106,20 @@ def _bitmap(seeds: DataFrame) -> tuple[np.ndarray, list[int]]:
 def _hits(docs: DataFrame, bits: np.ndarray, widths: list[int]) -> DataFrame:
     """Windows of documents that may be benchmark seeds: (doc_id, part, at, seed); ``part`` is a hash of the text, which tells rows of one id apart."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
+    rows = id_and_text(docs).select("doc_id", text_key().alias("part"), "text")
     shift = np.uint64(64 - BITMAP_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bitmap = Words(), shared.value
         for batch in batches:
             ids, parts, ats, found = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+            for doc, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))):
                 words = hashes(text)
-                part = 0
                 for width in widths:
                     seeds = windows(words, width)
                     slot = (seeds >> shift).astype(np.int64)
                     at = np.flatnonzero(bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
                     if len(at):
-                        part = part or xxhash.xxh64_intdigest(text) >> 1
                         ids += [doc] * len(at)
                         parts += [part] * len(at)
                         ats.append(at)
@@ -130,7 +129,7 @@ def _hits(docs: DataFrame, bits: np.ndarray, widths: list[int]) -> DataFrame:
                 ["doc_id", "part", "at", "seed"],
             )
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, part long, at long, seed long")
+    return rows.mapInArrow(run, "doc_id long, part long, at long, seed long")
 
 
 _BASE = np.uint64(0x100000001B3)
@@ -208,6 +207,11 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
 
     ``starts`` are the places of the tiles, counted in words of the document.
     """
+    return leaking(docs, items, coverage).drop("part")
+
+
+def leaking(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """``leaks`` with ``part``, the hash of the document's text."""
     words, seeds = _tables(items)
     bits, widths = _bitmap(seeds)
     hits = _hits(docs, bits, widths).join(seeds.withColumnRenamed("at", "item_at"), "seed")
@@ -218,22 +222,22 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([
             ("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int64()), ("covered", pa.int64()),
-            ("coverage", pa.float64()), ("n_tiles", pa.int64()), ("starts", pa.list_(pa.int64())),
+            ("coverage", pa.float64()), ("n_tiles", pa.int64()), ("starts", pa.list_(pa.int64())), ("part", pa.int64()),
         ])
         for batch in batches:
             rows = []
-            for doc, item, seeds, own in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+            for doc, item, part, seeds, own in zip(*[batch.column(k).to_pylist() for k in range(5)]):
                 item_words = np.array(own, np.int64)
                 text, places = shared_text(seeds, item_words)
                 made = tiles(text, item_words, min(SEED_WORDS, len(own)))
                 covered = sum(n for _, _, n in made)
                 if covered >= coverage * len(own):
-                    rows.append((doc, item, len(own), covered, covered / len(own), len(made), sorted(places[d] for d, _, _ in made)))
+                    rows.append((doc, item, len(own), covered, covered / len(own), len(made), sorted(places[d] for d, _, _ in made), part))
             if rows:
                 yield to_batch(rows, schema)
 
-    return pairs.select("doc_id", "item_id", "seeds", "words").mapInArrow(
-        run, "doc_id long, item_id long, n_words long, covered long, coverage double, n_tiles long, starts array<long>"
+    return pairs.select("doc_id", "item_id", "part", "seeds", "words").mapInArrow(
+        run, "doc_id long, item_id long, n_words long, covered long, coverage double, n_tiles long, starts array<long>, part long"
     )
 
 
@@ -264,5 +268,6 @@ def shared_text(seeds: list[dict], item: np.ndarray) -> tuple[np.ndarray, list[i
 
 def remove_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item, with all columns."""
-    found = written(leaks(docs, items, coverage).select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+    found = written(leaking(docs, items, coverage).select(F.col("doc_id").alias("_leak"), F.col("part").alias("_part")).distinct())
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_leak")) & (text_key() == F.col("_part"))
+    return docs.join(found, same, "left_anti")

@@ -50,6 +50,15 @@ def test_items_of_one_id(spark):
     assert Counter((r["doc_id"], r["item_id"], r["n_words"]) for r in found)[1, None, 10] == 1
 
 
+def test_clean_rows_beside_a_leak_stay(spark):
+    """A leak removes its own text alone, not the others that have its id, or none either."""
+    item = "one two three four five six seven"
+    rows = [(None, "x " + item), (None, "a clean text"), (None, None), (2, item), (2, item), (2, "clean as well"), (3, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontaminate.remove_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(None, "a clean text"), (None, None), (2, "clean as well"), (3, "clean")])
+
+
 def test_tiles_like_plain():
     rng = np.random.default_rng(3)
     for _ in range(60):
