@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from noteskein.llm import (
-    decontaminate, lines, packing, pii, quality, secret_scan, simhash, suffix_array, suffix_tree, warc,
+    decontaminate, filter_audit, lines, packing, pii, product_codes, quality, secret_scan, simhash, suffix_array, suffix_tree, warc,
 )
 from noteskein.llm.common import table
 
@@ -92,3 +92,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
         F.col("sha256").alias("kept_sha256"),
     )
+
+
+@query("op13_lehmer_audit", filter_audit.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_equal_average_codes", product_codes.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.compress(table(spark, sf_dir, "embeddings"))
