@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from noteskein.llm import (
-    decontaminate, filter_audit, lines, packing, pii, product_codes, quality, secret_scan, simhash, suffix_array, suffix_tree, warc,
+    decontaminate, filter_audit, lines, packing, pii, product_codes, quality, secret_scan, simhash, suffix_array, suffix_tree, warc, wrappers,
 )
 from noteskein.llm.common import table
 
@@ -102,3 +102,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_equal_average_codes", product_codes.SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_wrapper_induction")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
