@@ -90,7 +90,8 @@ def kind_of(tag: str, attributes: str) -> Kind:
         parts = set()
     elif tag == "article":
         parts &= {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "sponsored", "promo"}
-    label = ".".join([tag, *sorted({re.sub(r"[^A-Za-z_-]", "", n) for n in names} - {""})])
+    # Long numbers tell pages apart, not parts of a page.
+    label = ".".join([tag, *sorted({re.sub(r"\d{3,}|[^\w-]", "", n) for n in names} - {""})])
     beside = tag in ASIDES or role in ROLES or bool(parts & NAMES)
     return Kind(label, hidden, beside, tag == "header" or role == "banner" or bool(parts & OUTER_NAMES))
 

@@ -2,14 +2,14 @@
 
 Every page is read into a tree of block elements, whose shape has runs of equal siblings as one node. The commonest shape of a
 host is its reference; every other shape of the host is aligned with it by simple tree matching. What stands at a node of the
-reference is then compared over all different pages of the host: a node with the same text on nearly all of them is template,
-a node whose text varies is a slot, and a slot that is mostly links is navigation. A page's text is that of its slots. Within
+reference is then compared over all different pages of the host: a text that nearly all of them have there is template,
+what varies fills a slot, and a slot that is mostly links is navigation. A page's text is that of its slots. Within
 an article, paragraphs, headings and list items are slots in any case, and where a page has an article, slots outside
 of it are not text. Elements and names that HTML or habit set aside for menus, headers, footers, sidebars, notices, adverts, forms and reader comments are never text.
 
 Pages with the same longest text count as one page, so that copies do not make a template of their text. Counts are taken per
-(host, shape, node, digest) with map-side sums, so a host may hold any share of the rows; what is learnt of a host is one row,
-which meets the host's pages in a join that Spark broadcasts or splits where a host is hot. The result does not depend on how
+(host, shape, node, digest) with map-side sums, so a host may hold any share of the rows; what is learnt of a host is one row, no
+longer than its pages' own blocks, which meets the host's pages in a join that Spark broadcasts or splits where a host is hot. The result does not depend on how
 rows are dealt out: references are commonest shapes, ties go to the smaller digest.
 
 Defined results: null html is empty and has the text ""; a null url is a host of its own, ""; repeated rows are rows each; a
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from noteskein.llm.common import decode, stored
-from noteskein.llm.html_tree import TEXT_TAGS, Page, align, collapsed, read_page
+from noteskein.llm.html_tree import TEXT_TAGS, Block, Page, align, collapsed, read_page
 
 #: A node is template if so large a part of a host's different pages has one text there, of so many pages at least.
 CONSTANT = 0.8
@@ -57,16 +57,26 @@ def digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def slots_of(page: Page, place: list[int]) -> dict[int, tuple[str, int, int]]:
-    """For each node of the shape with text: the text, its characters, and those within links."""
-    texts: dict[int, list[str]] = {}
-    linked: dict[int, int] = {}
+def slots_of(page: Page, place: list[int]) -> dict[int, list[Block]]:
+    """The blocks of each node of the shape."""
+    found: dict[int, list[Block]] = {}
     for block in page.blocks:
-        node = place[block.node]
-        texts.setdefault(node, []).append(block.text)
-        linked[node] = linked.get(node, 0) + block.linked
-    joined = {node: "\n".join(found) for node, found in texts.items()}
-    return {node: (text, len(text), linked[node]) for node, text in joined.items()}
+        found.setdefault(place[block.node], []).append(block)
+    return found
+
+
+def is_body(page: Page, node: int) -> bool:
+    """Running text of an article, which is no template even if all pages of a host have it."""
+    return page.inside[node] and page.tags[node] in TEXT_TAGS and not page.beside[node]
+
+
+def fillings(page: Page, slots: dict[int, list[Block]]) -> list[tuple[int, int | None, int, int]]:
+    """(node, digest of a text, its characters, those in links); without a digest for the node itself."""
+    rows: list[tuple[int, int | None, int, int]] = []
+    for node, found in sorted(slots.items()):
+        rows.append((node, None, sum(len(b.text) for b in found), sum(b.linked for b in found)))
+        rows += [(node, text, 0, 0) for text in sorted({digest(b.text) for b in found if not is_body(page, b.node)})]
+    return rows
 
 
 def facts(rows: DataFrame) -> DataFrame:
@@ -81,9 +91,10 @@ def facts(rows: DataFrame) -> DataFrame:
                 page = read_page(html)
                 shape, place = collapsed(page)
                 slots = slots_of(page, place)
-                longest = max(slots.values(), key=lambda s: (s[1] - s[2], s[0]), default=("", 0, 0))
-                listed = [(node, digest(text), chars, linked) for node, (text, chars, linked) in sorted(slots.items())]
-                found.append((host, shape, digest(shape), digest(longest[0]), listed))
+                runs = ["\n".join(b.text for b in blocks if not page.beside[b.node]) for blocks in slots.values()]
+                longest = max(runs, key=lambda text: (len(text), text), default="")
+                listed = fillings(page, slots)
+                found.append((host, shape, digest(shape), digest(longest), listed))
                 held += len(shape) + 64 * len(listed)
                 if held > HELD:
                     yield to_rows(found)
@@ -118,7 +129,7 @@ def aligned(shapes: DataFrame) -> DataFrame:
 
 
 def induced(rows: DataFrame) -> DataFrame:
-    """``host, reference, constants, links``: one wrapper per host. ``constants`` are nodes with the digest of their text."""
+    """``host, reference, constants, links``: one wrapper per host. ``constants`` are nodes with digests of template texts."""
     seen = stored(facts(rows))
     shapes = seen.groupBy("host", "shape_id").agg(F.min("shape").alias("shape"), F.count("*").alias("n"))
     common = F.struct("n", (-F.col("shape_id").cast("decimal(20,0)")).alias("smaller"))
@@ -131,41 +142,40 @@ def induced(rows: DataFrame) -> DataFrame:
     counts = slots.groupBy("host", "shape_id", "node", "text").agg(
         F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")
     )
-    per_text = counts.join(nodes, ["host", "shape_id", "node"]).groupBy("host", "at", "text").agg(
+    known = stored(counts.join(nodes, ["host", "shape_id", "node"]).groupBy("host", "at", "text").agg(
         *[F.sum(c).alias(c) for c in ("n", "chars", "linked")]
+    ))
+    of_node = known.where("text is null")
+    pages = of_node.select("host", "at", F.col("n").alias("pages"))
+    frequent = known.where(F.col("text").isNotNull() & (F.col("n") >= LEAST_PAGES)).join(pages, ["host", "at"])
+    constant = frequent.where(F.col("n") >= CONSTANT * F.col("pages")).groupBy("host").agg(
+        F.sort_array(F.collect_list(F.struct("at", "text"))).alias("constants")
     )
-    order = F.struct("n", F.col("text").alias("text"))
-    per_node = per_text.groupBy("host", "at").agg(
-        F.max(order).alias("most"), *[F.sum(c).alias(c) for c in ("n", "chars", "linked")]
+    linked = of_node.where(F.col("linked") >= LINKED * F.col("chars")).groupBy("host").agg(
+        F.sort_array(F.collect_list("at")).alias("links")
     )
-    constant = (F.col("n") >= LEAST_PAGES) & (F.col("most.n") >= CONSTANT * F.col("n"))
-    links = F.col("linked") >= LINKED * F.col("chars")
-    per_host = per_node.groupBy("host").agg(
-        F.sort_array(F.collect_list(F.when(constant, F.struct("at", "most.text")))).alias("constants"),
-        F.sort_array(F.collect_list(F.when(links, F.col("at")))).alias("links"),
-    )
-    return references.join(per_host, "host", "left")
+    return references.join(constant, "host", "left").join(linked, "host", "left")
 
 
-def text_of(page: Page, status: list[str], place: list[int], constants: dict[int, int]) -> str:
-    """The blocks of a page that are text; ``status`` and ``constants`` are by node of the shape."""
-    own = slots_of(page, place)
-    texts = {node: digest(text) for node, (text, _, _) in own.items() if node in constants}
+def text_of(page: Page, place: list[int], status: list[str], constants: list[set[int]]) -> str:
+    """The blocks of a page that are text; ``status`` and ``constants`` are by node of the shape.
 
-    def is_text(node: int) -> bool:
-        if page.beside[node]:
-            return False
-        if page.inside[node] and page.tags[node] in TEXT_TAGS:
-            return True
-        at = place[node]
-        if at in constants and constants[at] == texts[at]:
+    What has no match in the reference may be any of its template texts.
+    """
+    slots = slots_of(page, place)
+    linked = {n for n, found in slots.items() if sum(b.linked for b in found) >= LINKED * sum(len(b.text) for b in found)}
+
+    def is_text(block: Block) -> bool:
+        if page.beside[block.node] or is_body(page, block.node):
+            return not page.beside[block.node]
+        at = place[block.node]
+        if constants[at] and digest(block.text) in constants[at]:
             return False
-        _, chars, linked = own[at]
-        return status[at] == "slot" or (status[at] == "unmatched" and linked < LINKED * chars)
+        return status[at] == "slot" or (status[at] == "unmatched" and at not in linked)
 
-    found = [(block, page.inside[block.node]) for block in page.blocks if is_text(block.node)]
-    article = any(inside for _, inside in found)
-    return "\n\n".join(block.text for block, inside in found if inside or not article)
+    found = [block for block in page.blocks if is_text(block)]
+    article = any(page.inside[block.node] for block in found)
+    return "\n\n".join(block.text for block in found if page.inside[block.node] or not article)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -193,8 +203,11 @@ def extract(pages: DataFrame) -> DataFrame:
                 match = matches[key]
                 navigation = set(links or ())
                 status = ["unmatched" if at < 0 else "links" if at in navigation else "slot" for at in match]
-                fixed = {c["at"]: c["text"] for c in constants or ()}
-                text = text_of(page, status, place, {n: fixed[at] for n, at in enumerate(match) if at in fixed})
+                fixed: dict[int, set[int]] = {}
+                for c in constants or ():
+                    fixed.setdefault(c["at"], set()).add(c["text"])
+                anywhere = set().union(*fixed.values())
+                text = text_of(page, place, status, [fixed.get(at, set()) if at >= 0 else anywhere for at in match])
                 found.append((page_id, url, text, len(text)))
                 held += len(text)
                 if held > HELD:
