@@ -35,7 +35,7 @@ def test_reordered_and_short_items(spark):
     found = decontaminate.leaks(docs, items).collect()
     assert {(r["doc_id"], r["item_id"], r["n_tiles"]) for r in found} == {(1, 7, 2), (None, 7, 1), (3, 8, 1), (3, None, 1)}
     kept = decontaminate.remove_leaks(docs, items)
-    assert [r["doc_id"] for r in kept.collect()] == [2] and kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([(2, "one two three four"), (3, "again")]) and kept.columns == docs.columns
 
 
 def test_items_of_one_id(spark):

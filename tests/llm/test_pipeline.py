@@ -9,6 +9,7 @@ import corpus_pipeline
 from noteskein.llm import pii, quality
 from noteskein.llm.queries import vocabulary
 from tests.llm import brute
+from tests.llm.test_similar import kept as similar_kept
 
 
 def test_stages_in_order(spark, sf_dir, docs, tmp_path):
@@ -25,8 +26,8 @@ def test_stages_in_order(spark, sf_dir, docs, tmp_path):
     facts = {i: quality.Facts((t or "").encode()) for i, t in plain.items()}
     plain = {i: t for i, t in plain.items() if not brute.quality(t)[5] and quality.passes(facts[i], quality.RULES)}
     assert {r["doc_id"] for r in kept[0].collect()} == set(plain)
-    classes = brute.near_components([(i, brute.fingerprint(t)) for i, t in plain.items()])
-    plain = {i: t for (i, t), c in zip(plain.items(), classes) if i == c}
+    stay = similar_kept(sorted(plain.items()))
+    plain = {i: t for i, t in plain.items() if i in stay}
     assert {r["doc_id"] for r in kept[1].collect()} == set(plain)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
     gone = {d for d, _, _ in brute.leaks(plain.items(), [(r["item_id"], r["text"]) for r in items])}
