@@ -1,15 +1,19 @@
 """Scoring texts with a probabilistic suffix tree, beside a smoothed count of whole words.
 
-The tree's symbols are the bytes of the lower-cased words, a blank between words, and an end. Its contexts have different
-lengths: level by level, a pass over the training texts counts what follows each candidate context; those
-that hold at least ``share`` of all symbols are extended to the left, so a level has at most 1 / share of them
-whatever the size of the corpus, and all counts cover all training texts. A context stays in the tree where its next-symbol
-distribution diverges from that of its suffix: its count times the Kullback-Leibler divergence must beat the cost of its
-parameters. Distributions are smoothed towards the suffix's with a weight of the number of symbols seen (Witten-Bell).
-A text is scored by the state of the longest suffix at each symbol, all positions of a block of texts at a time.
-
-Word counts have no bound. Documents are dealt to chunks by hash; a chunk asks for its distinct words once, the words
-are counted over all chunks by their 64-bit hashes, and the answers meet the chunk's texts again.
+The tree's symbols are the 256 byte values of the lower-cased words with a blank between words, and an end. Its contexts are up to
+``DEPTH`` symbols long. A context stays where it occurs ``LEAST`` times or more and its next-symbol distribution diverges from
+that of its suffix: its count times the Kullback-Leibler divergence must beat the cost of its parameters; the suffixes of a
+context that stays do so too. Distributions are smoothed towards the suffix's with a weight of the number of different
+symbols seen (Witten-Bell), that of no context by one for each symbol. A symbol is scored in the state of the longest suffix that
+stays. No bound depends on the size of the corpus: the contexts grow with it.
+
+Neither contexts nor words are held in one place. A window is a context of full length and the symbol after it, newest context
+symbol first, so that all windows of a shorter context are neighbours in order. Texts are packed into chunks as they lie; of a
+chunk, the different windows and words (by 64-bit hash) with their counts go out as sorted, compressed runs, by bucket. A bucket has
+all windows that share their two newest context symbols, and so all of the tree that they need but the counts of pairs of symbols,
+which are 65,536 numbers. Runs of a bucket are added up one after the other, and what is left is one entry for each different
+window or word. A second pass answers each run with the windows' probabilities and the words' counts, and the answers meet
+their chunk's texts again.
 
 Defined results: a null or empty text is the end alone; the id of a null ``doc_id`` counts as empty text, whose
 remainder is 0; repeated rows count and are scored repeatedly; with no training text every count is 0; an empty
@@ -19,23 +23,32 @@ table gives no rows; other columns are not looked at.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from typing import NamedTuple
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from noteskein.llm.common import id_and_text, stored, text_bytes
 
 DEPTH = 6
-SHARE = 1e-5
-SYMBOLS = 64
-END, BLANK, OTHER = 0, 1, 63
-#: Positions handled at a time.
-BLOCK = 1 << 20
-END_WORD = b"\n"
+LEAST = 8
+SYMBOLS = 256
+END = b"\n"
+#: Positions handled at a time, bytes of text in a packed block and in a chunk, entries of a run that are sent as one row.
+BLOCK = 1 << 22
+PACKED = 2 << 20
+CHUNK = 32 << 20
+ENTRIES = 1 << 20
+WORDS, WINDOWS, PAIRS = 0, 1, 2
+
+Run = tuple[np.ndarray, np.ndarray]
+RUNS = "space int, bucket int, chunk long, n int, codes binary, counts binary"
+VALUES = "space int, bucket int, first long, n int, codes binary, found binary, total long, known long"
+ANSWERS = "chunk long, space int, codes binary, found binary"
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -48,307 +61,404 @@ def normal(text: bytes) -> bytes:
     return b" ".join(text.lower().split())
 
 
-class Level(NamedTuple):
-    """Contexts of one length. ``codes`` has their symbols as digits, the newest one last; ``child`` leads from a context
-    of the level above and the symbol before it to a context here, or to ``len(codes)``, which stands for none."""
+# Runs: sorted different codes, and a number for each.
 
-    codes: np.ndarray
-    child: np.ndarray
 
+def planes(values: np.ndarray) -> bytes:
+    """Bytes of numbers, all first ones together, and so on: most planes of small numbers are zeros."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
 
-class Tree(NamedTuple):
-    """``table`` maps bytes to symbols; ``logs`` has the log10 probability of each symbol in each state, level after level."""
 
-    table: bytes
-    levels: list[Level]
-    logs: np.ndarray
-    other: float
+def unplanes(data: bytes, n: int, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(-1, n).T).view(kind).ravel() if n else np.empty(0, kind)
 
 
-def level(codes: np.ndarray, above: np.ndarray, length: int) -> Level:
-    """Level of sorted ``codes`` below the sorted contexts ``above``."""
-    base = SYMBOLS ** (length - 1)
-    child = np.full((len(above) + 1, SYMBOLS), len(codes), np.int32)
-    parent = np.searchsorted(above, codes % base) if length > 1 else np.zeros(len(codes), np.int64)
-    child[parent, codes // base] = np.arange(len(codes))
-    return Level(codes, child.reshape(-1))
+def pack_codes(codes: np.ndarray) -> bytes:
+    return planes(np.diff(codes, prepend=np.uint64(0)))
 
 
-def stream(texts: list[bytes], table: bytes, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts, each after ``depth`` ends; first position and length (with the end) of each text."""
-    pad = bytes([END]) * depth
-    pieces, starts, sizes, at = [], [], [], 0
-    for text in texts:
-        own = normal(text).translate(table)
-        pieces += [pad, own, pad[:1]]
-        starts.append(at + depth)
-        sizes.append(len(own) + 1)
-        at += depth + len(own) + 1
-    return np.frombuffer(b"".join(pieces), np.uint8), np.array(starts, np.int64), np.array(sizes, np.int64)
+def unpack_codes(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unplanes(data, n, np.uint64), dtype=np.uint64)
+
+
+def merged(runs: list[Run]) -> Run:
+    """One run with the sums of equal codes."""
+    if len(runs) == 1:
+        return runs[0]
+    codes = np.concatenate([c for c, _ in runs])
+    counts = np.concatenate([n for _, n in runs])
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+class Sum:
+    """Adds runs up; holds no more than twice the different codes and a few runs."""
 
+    def __init__(self) -> None:
+        self.runs: list[Run] = []
+        self.size = self.settled = 0
 
-def blocks(symbols: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(first position, symbols from ``depth`` before it) of the parts of a long stream."""
-    for first in range(depth, len(symbols), BLOCK):
-        yield first, symbols[first - depth : first + BLOCK]
+    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        self.runs.append((codes, counts.astype(np.int64)))
+        self.size += len(codes)
+        if self.size > 2 * self.settled + 2 * BLOCK:
+            self.runs = [merged(self.runs)]
+            self.size = self.settled = len(self.runs[0][0])
 
+    def total(self) -> Run:
+        return merged(self.runs) if self.runs else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
-def contexts(part: np.ndarray, levels: list[Level], depth: int) -> Iterator[np.ndarray]:
-    """Context number of each position at level 1, 2, ..., for the positions from ``depth`` on."""
-    n = len(part) - depth
-    state = np.zeros(n, np.int32)
-    for k, own in enumerate(levels, 1):
-        state = own.child[state * np.int32(SYMBOLS) + part[depth - k : depth - k + n]]
-        yield state
 
+# Texts
 
-def _scored(starts: np.ndarray, sizes: np.ndarray, total: int) -> np.ndarray:
+
+def stream(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all texts, each after ``DEPTH`` ends and with one behind it; first position and length (with the end) of each."""
+    pad = END * DEPTH
+    pieces, starts, sizes, at = [], [], [], 0
+    for text in texts:
+        pieces += [pad, text, END]
+        starts.append(at + DEPTH)
+        sizes.append(len(text) + 1)
+        at += DEPTH + len(text) + 1
+    return np.frombuffer(b"".join(pieces), np.uint8), np.array(starts, np.int64), np.array(sizes, np.int64)
+
+
+def scored(starts: np.ndarray, sizes: np.ndarray, total: int) -> np.ndarray:
     """Which positions are symbols of texts, not padding."""
     steps = np.zeros(total + 1, np.int8)
     steps[starts] = 1
-    steps[starts + sizes] -= 1
+    np.subtract.at(steps, starts + sizes, 1)
     return np.cumsum(steps[:total], dtype=np.int8).view(bool)
 
 
-def batches_of(batch: pa.RecordBatch, column: int) -> Iterator[list[bytes]]:
-    """Texts of a batch in parts of a few megabytes."""
-    part, size = [], 0
-    for text in text_bytes(batch.column(column)):
-        part.append(text)
-        size += len(text)
-        if size > 4 * BLOCK:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def windows(symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first position, codes) of the windows that end at each position from ``DEPTH`` on, block by block."""
+    for first in range(DEPTH, len(symbols), BLOCK):
+        part = symbols[first - DEPTH : first + BLOCK]
+        n = len(part) - DEPTH
+        codes = part[DEPTH:].astype(np.uint64)
+        for k in range(1, DEPTH + 1):
+            codes |= part[DEPTH - k : DEPTH - k + n].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - k))
+        yield first, codes
+
+
+def word_codes(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
 
 
-def byte_counts(train: DataFrame) -> np.ndarray:
+def packed(docs: DataFrame) -> DataFrame:
+    """``chunk, size, block``: the normalised texts as they lie, in compressed blocks; rows of a chunk are neighbours."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(256, np.int64)
+        chunk, held = TaskContext.get().partitionId() << 24, 0
+        ids, marks, texts, size = [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            columns = [pa.array(ids, pa.int64()), pa.array(marks, pa.bool_()), pa.array(texts, pa.large_binary())]
+            sink, options = pa.BufferOutputStream(), pa.ipc.IpcWriteOptions(compression="zstd")
+            with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64()), ("train", pa.bool_()), ("text", pa.large_binary())]), options=options) as out:
+                out.write_batch(pa.RecordBatch.from_arrays(columns, ["id", "train", "text"]))
+            row = [[chunk], [size], [sink.getvalue().to_pybytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.binary()))], ["chunk", "size", "block"])
+
         for batch in batches:
-            for texts in batches_of(batch, 0):
-                counts += np.bincount(np.frombuffer(b"\n".join(texts).lower(), np.uint8), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(counts)], ["key", "n"])
+            for doc_id, text, train in zip(batch.column(0), batch.column(1).cast(pa.large_binary()), batch.column(2)):
+                own = normal(text.as_py())
+                ids.append(doc_id.as_py())
+                marks.append(train.as_py())
+                texts.append(own)
+                size += len(own) + 16
+                if size >= PACKED:
+                    yield block()
+                    held += size
+                    ids, marks, texts, size = [], [], [], 0
+                    if held >= CHUNK:
+                        chunk, held = chunk + 1, 0
+        if ids:
+            yield block()
+
+    return training(docs).mapInArrow(run, "chunk long, size long, block binary")
+
 
-    return _summed(train.select("text").mapInArrow(run, "key int, n long"), 256)
+def unpacked(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
 
 
-def _summed(rows: DataFrame, size: int) -> np.ndarray:
-    found = rows.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(size, np.int64)
-    counts[found.column("key").to_numpy()] = found.column("n").to_numpy()
-    return counts
+# Counting
 
 
-def next_counts(train: DataFrame, table: bytes, levels: list[Level]) -> np.ndarray:
-    """How often each symbol follows each context of the last level, over all training texts."""
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast((table, levels))
-    depth, size = len(levels), len(levels[-1].codes)
+def bucket_of(space: int, codes: np.ndarray, buckets: int) -> np.ndarray:
+    """Words by hash; windows by their two newest context symbols."""
+    if space == WINDOWS:
+        codes = (codes >> np.uint64(8 * (DEPTH - 1))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+    return (codes % np.uint64(buckets)).astype(np.int64)
 
+
+def requests(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Runs of each chunk by bucket: words and windows of all texts with their counts in training texts, and pairs of these."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, words, found, pairs = None, Counter(), Sum(), np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if current is not None and chunk != current:
+                    yield from rows(current, words, found, pairs)
+                    words, found, pairs = Counter(), Sum(), np.zeros(1 << 16, np.int64)
+                current = chunk
+                block = unpacked(data.as_py())
+                texts, marks = text_bytes(block.column(2)), block.column(1).to_pylist()
+                for train in (True, False):
+                    mine = [text for text, mark in zip(texts, marks) if mark == train]
+                    if not mine:
+                        continue
+                    own = Counter(b" ".join(mine).split())
+                    own[END] = len(mine)
+                    for word, n in own.items():
+                        words[word] += n if train else 0
+                    symbols, starts, sizes = stream(mine)
+                    use = scored(starts, sizes, len(symbols))
+                    for first, codes in windows(symbols):
+                        codes, n = np.unique(codes[use[first : first + len(codes)]], return_counts=True)
+                        found.add(codes, n if train else np.zeros(len(n), np.int64))
+                        if train:
+                            at = (codes >> np.uint64(8 * DEPTH) << np.uint64(8) | codes & np.uint64(255)).astype(np.int64)
+                            pairs += np.bincount(at, n, 1 << 16).astype(np.int64)
+        if current is not None:
+            yield from rows(current, words, found, pairs)
+
+    def rows(chunk: int, words: Counter, found: Sum, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # Two words of one hash are one word.
+        codes = word_codes(list(words))
+        order = np.argsort(codes)
+        of_words = merged([(codes[order], np.fromiter(words.values(), np.int64, len(words))[order]), (np.empty(0, np.uint64), np.empty(0, np.int64))])
+        seen = np.flatnonzero(pairs)
+        for space, (codes, counts) in ((WORDS, of_words), (WINDOWS, found.total()), (PAIRS, (seen.astype(np.uint64), pairs[seen]))):
+            made = []
+            bucket = bucket_of(space, codes, buckets) if space != PAIRS else np.zeros(len(codes), np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bounds = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+            for a, b in zip(bounds, bounds[1:]):
+                for c in range(a, b, ENTRIES):
+                    own = order[c : min(b, c + ENTRIES)]
+                    made.append((space, int(bucket[own[0]]), chunk, len(own), pack_codes(codes[own]), planes(counts[own])))
+            if made:
+                yield batch_of(made, RUNS)
+
+    return blocks.select("chunk", "block").mapInArrow(run, RUNS)
+
+
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def batch_of(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    fields = [f.split() for f in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(zip(*rows), fields)], [name for name, _ in fields])
+
+
+def pair_counts(runs: DataFrame) -> np.ndarray:
+    """[symbol, symbol after it] over all training texts: 65,536 numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, levels = shared.value
-        counts = np.zeros((size + 1) * SYMBOLS, np.int64)
+        counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for texts in batches_of(batch, 0):
-                symbols, starts, sizes = stream(texts, table, depth)
-                scored = _scored(starts, sizes, len(symbols))
-                for first, part in blocks(symbols, depth):
-                    for state in contexts(part, levels, depth):
-                        pass
-                    use = scored[first : first + len(state)] & (state != size)
-                    keys = state[use] * np.int32(SYMBOLS) + part[depth:][use]
-                    counts += np.bincount(keys, minlength=len(counts)) if len(keys) > len(counts) // 8 else _sparse(keys, len(counts))
-        keys = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(counts[keys])], ["key", "n"])
-
-    found = _summed(train.select("text").mapInArrow(run, "key int, n long"), (size + 1) * SYMBOLS)
-    shared.unpersist()
-    return found.reshape(size + 1, SYMBOLS)[:size]
-
-
-def _sparse(keys: np.ndarray, size: int) -> np.ndarray:
-    found, n = np.unique(keys, return_counts=True)
-    counts = np.zeros(size, np.int64)
-    counts[found] = n
-    return counts
-
-
-def grow(train: DataFrame, depth: int = DEPTH, share: float = SHARE) -> Tree:
-    """Count, test and smooth the contexts of up to ``depth`` symbols."""
-    counts = byte_counts(train)
-    counts[list(b" \t\n\x0b\x0c\r")] = 0
-    common = [int(b) for b in np.argsort(-counts, kind="stable")[: SYMBOLS - 3] if counts[b]]
-    table = bytearray([OTHER]) * 256
-    table[32] = BLANK
-    for symbol, byte in enumerate(common, 2):
-        table[byte] = symbol
-    table = bytes(table)
-
-    first = level(np.arange(SYMBOLS), np.zeros(1, np.int64), 1)
-    second = level(np.arange(SYMBOLS**2), first.codes, 2)
-    levels, nexts = [first, second], next_counts(train, table, [first, second])
-    every = [nexts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).sum(0), nexts]
-    root = every[0].sum(0)
-    least = max(2, share * root.sum())
-    while len(levels) < depth:
-        # A context of the next length is one of this length and what follows it; the start of a text is followed by itself.
-        length, above = len(levels) + 1, levels[-1].codes
-        at, symbol = np.nonzero(every[-1] >= least)
-        codes = above[at] * SYMBOLS + symbol
-        codes = codes[symbol != END]
-        if above[0] == 0 and every[-1][0].sum() >= least:
-            codes = np.append(codes, 0)
-        codes = np.unique(codes[np.isin(codes % SYMBOLS ** (length - 1), above)])
-        if not len(codes):
-            break
-        levels.append(level(codes, above, length))
-        every.append(next_counts(train, table, levels))
-    return smoothed(table, levels, root, every, 256 - 6 - len(common))
-
-
-def smoothed(table: bytes, levels: list[Level], root: np.ndarray, every: list[np.ndarray], n_other: int) -> Tree:
-    """Keep the contexts that diverge and those on the way to them, and give each its distribution."""
-    keep = []
-    above = root[None, :]
-    for length, (own, counts) in enumerate(zip(levels, every), 1):
-        base = SYMBOLS ** (length - 1)
-        parent = np.searchsorted(levels[length - 2].codes, own.codes % base) if length > 1 else np.zeros(len(own.codes), np.int64)
-        total = counts.sum(1, keepdims=True)
+            for n, codes, own in zip(*(c.to_pylist() for c in batch.columns)):
+                counts[unpack_codes(codes, n).astype(np.int64)] += unplanes(own, n, np.int64)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
+
+    rows = runs.where(F.col("space") == PAIRS).select("n", "codes", "counts").mapInArrow(run, "at long, n long")
+    found = rows.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << 16, np.int64)
+    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return counts.reshape(SYMBOLS, SYMBOLS)
+
+
+# The tree
+
+
+def probabilities(codes: np.ndarray, counts: np.ndarray, pairs: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """log10 probability of the last symbol of each window in its state, from all windows of a bucket.
+
+    The tree's levels are worked out from the deepest upwards for the counts, and back downwards for the probabilities.
+    """
+    low, eight, sixteen = np.uint64(255), np.uint64(8), np.uint64(16)
+    # For each level: windows of that context length, their counts, the window of the level above of each, their contexts.
+    keys, seen, up, context, total, kinds, stays = {DEPTH: codes}, {DEPTH: counts}, {}, {}, {}, {}, {}
+    for k in range(DEPTH, 0, -1):
+        if k > 1:
+            keys[k - 1], up[k] = np.unique((keys[k] >> sixteen << eight) | (keys[k] & low), return_inverse=True)
+            seen[k - 1] = np.zeros(len(keys[k - 1]), np.int64)
+            np.add.at(seen[k - 1], up[k], seen[k])
+        own = keys[k] >> eight
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        context[k] = np.repeat(np.arange(len(first)), np.diff(first, append=len(own)))
+        if k > 1:
+            total[k], kinds[k] = np.add.reduceat(seen[k], first), np.add.reduceat((seen[k] > 0).astype(np.int64), first)
+        else:
+            # A bucket has all windows of its contexts of two symbols and more, but not those of one.
+            symbol, after = (own[first]).astype(np.int64), (keys[1] & low).astype(np.int64)
+            seen[1] = pairs[symbol[context[1]], after]
+            total[1], kinds[1] = pairs[symbol].sum(1), (pairs[symbol] > 0).sum(1)
+    for k in range(DEPTH, 1, -1):
+        n, above = seen[k], seen[k - 1][up[k]]
+        parent = total[k - 1][context[k - 1][up[k]]]
         with np.errstate(divide="ignore", invalid="ignore"):
-            p = counts / total
-            q = above[parent] / above[parent].sum(1, keepdims=True)
-            gain = np.nansum(np.where(counts > 0, counts * np.log(p / q), 0), axis=1)
-        cost = 0.5 * (counts > 0).sum(1) * np.log(np.maximum(total[:, 0], 2))
-        keep.append((gain > cost, parent))
-        above = counts
-    for k in range(len(keep) - 1, 0, -1):
-        stays, parent = keep[k]
-        keep[k - 1][0][parent[stays]] = True
-    p = (root + 1) / (root.sum() + SYMBOLS)
-    kept_levels, logs, above, codes_above, kept_above = [], [np.log10(p)[None, :]], p[None, :], np.zeros(1, np.int64), None
-    for length, (own, counts, (stays, parent)) in enumerate(zip(levels, every, keep), 1):
-        codes, counts, parent = own.codes[stays], counts[stays], parent[stays]
-        if not len(codes):
-            break
-        if kept_above is not None:
-            parent = np.searchsorted(codes_above, codes % SYMBOLS ** (length - 1))
-        weight = np.maximum((counts > 0).sum(1, keepdims=True), 1)
-        p = (counts + weight * above[parent]) / (counts.sum(1, keepdims=True) + weight)
-        kept_levels.append(level(codes, codes_above, length))
-        logs.append(np.log10(p))
-        above, codes_above, kept_above = p, codes, stays
-    table_of_logs = np.concatenate(logs).astype(np.float32)
-    return Tree(table, kept_levels, table_of_logs.reshape(-1), -float(np.log10(max(n_other, 1))))
-
-
-def scores(texts: list[bytes], tree: Tree) -> np.ndarray:
-    """log10 probability of each text."""
-    depth = max(len(tree.levels), 1)
-    symbols, starts, sizes = stream(texts, tree.table, depth)
-    found = np.zeros(len(symbols), np.float64)
-    for first, part in blocks(symbols, depth):
-        n = len(part) - depth
-        best, base = np.zeros(n, np.int32), 1
-        for own, state in zip(tree.levels, contexts(part, tree.levels, depth)):
-            alive = state != len(own.codes)
-            np.copyto(best, state + np.int32(base), where=alive)
-            base += len(own.codes)
-        now = part[depth:]
-        found[first : first + n] = tree.logs[best * np.int32(SYMBOLS) + now]
-        found[first : first + n][now == OTHER] += tree.other
-    sums = np.concatenate([[0.0], np.cumsum(found)])
-    return sums[starts + sizes] - sums[starts]
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64).view(np.int64)
-
-
-def chunked(docs: DataFrame) -> DataFrame:
-    """Training marks and a chunk number, dealt out by chunk; a chunk is about half of an input partition."""
-    rows = training(docs)
-    chunks = max(2 * docs.rdd.getNumPartitions(), 8)
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    # Twice as many partitions as chunks, so that fewer chunks meet in one.
-    return rows.repartition(2 * chunks, "chunk")
-
-
-def word_requests(dealt: DataFrame) -> DataFrame:
-    """``chunk, word`` (hash), ``n`` (in training texts of the chunk; 0 for words of the others alone)."""
+            terms = np.where(n > 0, n * np.log(n * parent.astype(float) / (total[k][context[k]] * above.astype(float))), 0.0)
+        gain = np.bincount(context[k], terms, len(total[k]))
+        keep = (total[k] >= least) & (gain > 0.5 * kinds[k] * np.log(np.maximum(total[k], 2)))
+        stays[k] = keep | stays.get(k, np.zeros(len(keep), bool))
+        # The suffixes of what stays.
+        mine = stays[k][context[k]]
+        stays[k - 1] = np.zeros(len(total[k - 1]), bool)
+        stays[k - 1][context[k - 1][up[k][mine]]] = True
+    root = pairs.sum(0)
+    p = ((root + 1) / (root.sum() + SYMBOLS))[(keys[1] & low).astype(np.int64)]
+    for k in range(1, DEPTH + 1):
+        p = p[up[k]] if k > 1 else p
+        own, kind = total[k][context[k]], kinds[k][context[k]]
+        smooth = (seen[k] + kind * p) / np.maximum(own + kind, 1)
+        use = stays[k][context[k]] if k > 1 else own > 0
+        p = np.where(use, smooth, p)
+    return np.log10(p)
+
+
+def sorted_by_bucket(rows: DataFrame, *order: str) -> DataFrame:
+    return rows.repartition("space", "bucket").sortWithinPartitions("space", "bucket", *order)
+
+
+def valued(runs: DataFrame, pairs: np.ndarray, least: int = LEAST) -> DataFrame:
+    """One entry for each different word and window: its count, or its log10 probability; with sums over a bucket's words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, Counter] = {}
+        current, total = None, Sum()
         for batch in batches:
-            for text, train, chunk in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = counts.setdefault(chunk, Counter())
-                words = text.lower().split()
-                words.append(END_WORD)
-                if train:
-                    own.update(words)
-                else:
-                    for word in set(words):
-                        if word not in own:
-                            own[word] = 0
-        for chunk, own in counts.items():
-            words, n = _hashes(list(own)), np.fromiter(own.values(), np.int64, len(own))
-            for a in range(0, len(words), 100_000):
-                part = words[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), chunk, np.int32)), pa.array(part), pa.array(n[a : a + 100_000])], ["chunk", "word", "n"]
-                )
-
-    return dealt.select("text", "train", "chunk").mapInArrow(run, "chunk int, word long, n long")
-
-
-def score(docs: DataFrame, depth: int = DEPTH, share: float = SHARE) -> DataFrame:
-    """Scores of every document under the tree and under the smoothed word counts."""
-    spark = docs.sparkSession
-    tree = grow(training(docs).where("train"), depth, share)
-    shared = spark.sparkContext.broadcast(tree)
-    requests = stored(word_requests(chunked(docs)))
-    counts = requests.groupBy("word").agg(F.sum("n").alias("c"))
-    known = stored(counts.where("c > 0"))
-    total = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_train, n_distinct = total["n"], total["v"]
-    answers = requests.select("chunk", "word").join(known, "word").select("chunk", "word", "c")
-
-    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        tree = shared.value
-        data = text_bytes(texts.column("text").combine_chunks())
-        split = [text.lower().split() for text in data]
-        words = list(set().union(*split, [END_WORD]))
-        order = np.argsort(found.column("word").to_numpy())
-        hashes, c = found.column("word").to_numpy()[order], found.column("c").to_numpy()[order]
-        own = _hashes(words)
-        at = np.minimum(np.searchsorted(hashes, own), max(len(hashes) - 1, 0))
-        n = np.where(hashes[at] == own, c[at], 0) if len(hashes) else np.zeros(len(words), np.int64)
-        logs = dict(zip(words, np.log10(n + 1.0).tolist()))
-        norm = float(np.log10(n_train + n_distinct + 1))
+            columns = [batch.column(k).to_pylist() for k in range(3)]
+            for space, bucket, n, codes, counts in zip(*columns, batch.column(3), batch.column(4)):
+                if current is not None and (space, bucket) != current:
+                    yield from rows(*current, *total.total())
+                    total = Sum()
+                current = space, bucket
+                total.add(unpack_codes(codes.as_py(), n), unplanes(counts.as_py(), n, np.int64))
+        if current is not None:
+            yield from rows(*current, *total.total())
+
+    def rows(space: int, bucket: int, codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = counts if space == WORDS else probabilities(codes, counts, pairs, least).astype(np.float32)
+        for a in range(0, len(codes), ENTRIES):
+            part, own = codes[a : a + ENTRIES], found[a : a + ENTRIES]
+            known = own > 0 if space == WORDS else own[:0]
+            sums = (int(own.sum()), int(known.sum())) if space == WORDS else (0, 0)
+            yield batch_of([(space, bucket, a, len(part), pack_codes(part), planes(own), *sums)], VALUES)
+
+    ordered = sorted_by_bucket(runs.where(F.col("space") != PAIRS))
+    return ordered.select("space", "bucket", "n", "codes", "counts").mapInArrow(run, VALUES)
+
+
+def answered(runs: DataFrame, values: DataFrame) -> DataFrame:
+    """For each run of a chunk, what was found for its codes."""
+    asked = runs.where(F.col("space") != PAIRS).select(
+        "space", "bucket", F.lit(1).alias("kind"), "chunk", "n", "codes", F.lit(None).cast("binary").alias("found")
+    )
+    known = values.select("space", "bucket", F.lit(0).alias("kind"), F.col("first").alias("chunk"), "n", "codes", "found")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts = None, []
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(5)]
+            for space, bucket, kind, chunk, n, codes, found in zip(*columns, batch.column(5), batch.column(6)):
+                if (space, bucket) != current:
+                    current, parts = (space, bucket), []
+                own = unpack_codes(codes.as_py(), n)
+                if kind == 0:
+                    parts.append((own, unplanes(found.as_py(), n, np.int64 if space == WORDS else np.float32)))
+                    continue
+                if len(parts) > 1:
+                    parts = [tuple(np.concatenate(c) for c in zip(*parts))]
+                made = parts[0][1][np.searchsorted(parts[0][0], own)]
+                yield batch_of([(chunk, space, codes.as_py(), planes(made))], ANSWERS)
+
+    return sorted_by_bucket(known.unionByName(asked), "kind", "chunk").mapInArrow(run, ANSWERS)
+
+
+# Scoring
+
+
+class Scores:
+    """Scores of texts by the answers of their chunk."""
+
+    def __init__(self, answers: list[tuple[int, bytes, bytes]], n_train: int, n_distinct: int):
+        self.n_train, self.norm = n_train, float(np.log10(n_train + n_distinct + 1))
+        self.codes, self.found = {}, {}
+        for space, kind in ((WORDS, np.int64), (WINDOWS, np.float32)):
+            raw = [(np.frombuffer(zstandard.decompress(c), np.uint8).size // 8, c, f) for s, c, f in answers if s == space]
+            codes = np.concatenate([unpack_codes(c, n) for n, c, _ in raw]) if raw else np.empty(0, np.uint64)
+            found = np.concatenate([unplanes(f, n, kind) for n, _, f in raw]) if raw else np.empty(0, kind)
+            order = np.argsort(codes)
+            self.codes[space], self.found[space] = codes[order], found[order]
+        self.logs: dict[bytes, float] = {}
+
+    def words(self, texts: list[bytes]) -> tuple[list[int], list[int], list[float]]:
+        split = [text.split() for text in texts]
+        new = list(set().union(*split, [END]).difference(self.logs))
+        counts = self.found[WORDS][np.searchsorted(self.codes[WORDS], word_codes(new))]
+        self.logs.update(zip(new, np.log10(counts + 1.0).tolist()))
         n_tokens, n_known, base = [], [], []
         for tokens in split:
-            tokens.append(END_WORD)
-            values = np.fromiter(map(logs.__getitem__, tokens), np.float64, len(tokens))
+            tokens.append(END)
+            values = np.fromiter(map(self.logs.__getitem__, tokens), np.float64, len(tokens))
             n_tokens.append(len(tokens))
             n_known.append(int(np.count_nonzero(values)))
-            base.append(float(values.sum()) - len(tokens) * norm)
-        scored, part, size = [], [], 0
-        for text in data:
-            part.append(text)
-            size += len(text)
-            if size > 4 * BLOCK:
-                scored.append(scores(part, tree))
-                part, size = [], 0
-        if part:
-            scored.append(scores(part, tree))
-        return pa.table({
-            "doc_id": texts.column("doc_id"), "held_out": [not t for t in texts.column("train").to_pylist()],
-            "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "train_tokens": pa.array([n_train] * len(data), pa.int64()), "base_score": pa.array(base, pa.float64()),
-            "score": pa.array(np.concatenate(scored) if scored else [], pa.float64()),
-        })
-
-    dealt = chunked(docs)
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+            base.append(float(values.sum()) - len(tokens) * self.norm)
+        return n_tokens, n_known, base
+
+    def tree(self, texts: list[bytes]) -> np.ndarray:
+        symbols, starts, sizes = stream(texts)
+        found = np.zeros(len(symbols), np.float32)
+        use = scored(starts, sizes, len(symbols))
+        for first, codes in windows(symbols):
+            at = np.flatnonzero(use[first : first + len(codes)])
+            order = np.argsort(codes[at])
+            places = np.searchsorted(self.codes[WINDOWS], codes[at[order]])
+            found[first + at[order]] = self.found[WINDOWS][places]
+        sums = np.concatenate([[0.0], np.cumsum(found, dtype=np.float64)])
+        return sums[starts + sizes] - sums[starts]
+
+
+def score(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """Scores of every document under the tree and under the smoothed word counts."""
+    blocks = stored(packed(docs))
+    size = blocks.agg(F.sum("size")).first()[0] or 0
+    runs = stored(requests(blocks, max(16, 2 * size // CHUNK)))
+    values = stored(valued(runs, pair_counts(runs), least))
+    sums = values.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first()
+    n_train, n_distinct = sums["n"], sums["v"]
+    texts = blocks.select("chunk", F.lit(1).alias("kind"), F.lit(0).alias("space"), F.col("block").alias("codes"), F.lit(None).cast("binary").alias("found"))
+    answers = answered(runs, values).select("chunk", F.lit(0).alias("kind"), "space", "codes", "found")
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+        ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts, scores = None, [], None
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(3)]
+            for chunk, kind, space, codes, found in zip(*columns, batch.column(3), batch.column(4)):
+                if chunk != current:
+                    current, parts, scores = chunk, [], None
+                if kind == 0:
+                    parts.append((space, codes.as_py(), found.as_py()))
+                    continue
+                if scores is None:
+                    scores, parts = Scores(parts, n_train, n_distinct), []
+                block = unpacked(codes.as_py())
+                own = text_bytes(block.column(2))
+                n_tokens, n_known, base = scores.words(own)
+                held = [not mark for mark in block.column(1).to_pylist()]
+                made = [block.column(0), held, n_tokens, n_known, [n_train] * len(own), base, scores.tree(own)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, schema)], schema=schema)
+
+    together = answers.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    return together.mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

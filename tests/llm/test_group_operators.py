@@ -289,49 +289,79 @@ def test_word_counts(docs, pairs):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
 
 
-def _plain_tree(texts, scored, depth, share):
-    """Scores by dictionaries of contexts; the alphabet is small enough to need no symbol for other bytes."""
+def _plain_tree(texts, scored, least):
+    """Scores by dictionaries of contexts."""
+    depth, end = suffix_tree.DEPTH, b"\n"
     counts = defaultdict(Counter)
     for text in texts:
-        symbols = "$" * depth + " ".join(text.lower().split()) + "$"
+        symbols = end * depth + b" ".join((text or "").encode().lower().split()) + end
         for i in range(depth, len(symbols)):
             for k in range(depth + 1):
                 counts[symbols[i - k : i]][symbols[i]] += 1
-    total = sum(counts[""].values())
-    least = max(2, share * total)
-    kept = {""}
-    for context, after in counts.items():
-        if not context or (len(context) > 2 and sum(after.values()) < least):
+    total = sum(counts[b""].values())
+    kept = {context for context in counts if len(context) < 2} | {b""}
+    for context, after in list(counts.items()):
+        n = sum(after.values())
+        if len(context) < 2 or n < least:
             continue
-        n, above = sum(after.values()), counts[context[1:]]
+        above = counts[context[1:]]
         gain = sum(c * math.log(c / n / (above[s] / sum(above.values()))) for s, c in after.items())
         if gain > 0.5 * len(after) * math.log(max(n, 2)):
             kept |= {context[k:] for k in range(len(context))}
 
     def p(context, symbol):
         if not context:
-            return (counts[""][symbol] + 1) / (total + suffix_tree.SYMBOLS)
+            return (counts[b""][symbol] + 1) / (total + 256)
         after = counts[context]
         return (after[symbol] + len(after) * p(context[1:], symbol)) / (sum(after.values()) + len(after))
 
     found = []
     for text in scored:
-        symbols = "$" * depth + " ".join(text.lower().split()) + "$"
-        found.append(sum(
-            math.log10(p(next(symbols[i - k : i] for k in range(depth, -1, -1) if symbols[i - k : i] in kept), symbols[i])) for i in range(depth, len(symbols))
-        ))
+        symbols = end * depth + b" ".join((text or "").encode().lower().split()) + end
+        states = (next(symbols[i - k : i] for k in range(depth, -1, -1) if symbols[i - k : i] in kept) for i in range(depth, len(symbols)))
+        found.append(sum(math.log10(p(state, symbols[i])) for i, state in enumerate(states, depth)))
     return found
 
 
-def test_tree_scores(spark):
+@pytest.mark.parametrize("least", [2, 8, 50])
+def test_tree_scores(spark, monkeypatch, least):
     rng = np.random.default_rng(13)
-    names = ["the", "of", "tion", "heather", "thing", "a"]
-    pairs = [(i, " ".join(rng.choice(names, rng.integers(0, 40)))) for i in range(120)]
-    docs = spark.createDataFrame(pairs, "doc_id long, text string")
-    held = {i for i, _ in pairs if zlib.crc32(str(i).encode()) % 7 == 2}
-    wanted = _plain_tree([t for i, t in pairs if i not in held], [t for _, t in pairs], 4, 0.003)
-    found = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, 4, 0.003).collect()}
-    assert [found[i] for i, _ in pairs] == pytest.approx(wanted, rel=1e-5)
+    names = ["the", "of", "tion", "heather", "Thing", "a", "дом", "\x00", "été", "家"]
+    pairs = [(i, " ".join(rng.choice(names, rng.integers(0, 40)))) for i in range(120)] + [(7, "again"), (7, "again"), (None, "no id"), (8, None)]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(5)
+    held = {i for i, _ in pairs if zlib.crc32(str("" if i is None else i).encode()) % 7 == 2}
+    wanted = _plain_tree([t for i, t in pairs if i not in held], [t for _, t in pairs], least)
+    found = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in suffix_tree.score(docs, least).collect())
+    wanted = sorted((str(i), len((t or "").split()) + 1, s) for (i, t), s in zip(pairs, wanted))
+    assert [r[:2] for r in found] == [r[:2] for r in wanted]
+    assert [r[2] for r in found] == pytest.approx([r[2] for r in wanted], rel=1e-5)
+
+
+def test_tree_in_small_parts(spark, docs, monkeypatch):
+    """Neither chunks nor blocks nor the length of runs change a score."""
+    whole = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs).collect()}
+    monkeypatch.setattr(suffix_tree, "ENTRIES", 999)
+    blocks = suffix_tree.stored(suffix_tree.packed(docs))
+    runs = suffix_tree.stored(suffix_tree.requests(blocks, 7))
+    values = suffix_tree.valued(runs, suffix_tree.pair_counts(runs))
+    assert values.count() > 20 and len(whole) == docs.count()
+    found = {}
+    for r in values.where("space = 1").collect():
+        codes = suffix_tree.unpack_codes(r["codes"], r["n"]).tolist()
+        found.update(zip(codes, suffix_tree.unplanes(r["found"], r["n"], np.float32).tolist()))
+    for r in docs.limit(20).collect():
+        symbols, _, _ = suffix_tree.stream([suffix_tree.normal((r["text"] or "").encode())])
+        codes = np.concatenate([c for _, c in suffix_tree.windows(symbols)]).tolist()
+        assert whole[r["doc_id"]] == pytest.approx(sum(map(found.__getitem__, codes)), rel=1e-5)
+
+
+def test_contexts_grow_with_the_table(spark, docs):
+    """Ten times the text keeps contexts that a tenth has too rarely."""
+    def windows(frame):
+        blocks = suffix_tree.stored(suffix_tree.packed(frame))
+        return suffix_tree.valued(runs := suffix_tree.stored(suffix_tree.requests(blocks, 4)), suffix_tree.pair_counts(runs)).where("space = 1").agg(F.sum("n")).first()[0]
+
+    assert windows(docs) > 2 * windows(docs.where("doc_id % 10 = 0"))
 
 
 def test_tree_learns(spark, sf_dir):
