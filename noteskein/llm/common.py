@@ -7,9 +7,11 @@ Words are runs of characters other than ASCII white space, so they can be cut on
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from noteskein.session import ensure_checkpoint_dir
@@ -37,6 +39,19 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def sliced(batches: Iterable[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in parts of about ``size`` bytes of one text column, so that no task holds copies of a whole batch."""
+    for batch in batches:
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        first = 0
+        while first < len(batch):
+            upto = (ends[first - 1] if first else 0) + size
+            last = max(int(np.searchsorted(ends, upto, "right")), first + 1)
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def decode(data: bytes) -> str:
     """Text of UTF-8 bytes; a byte that is none of UTF-8 counts as one replacement character."""
     return data.decode("utf-8", "replace")
@@ -51,7 +66,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[int | None, bytes], Ite
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_of = make()
-        for batch in batches:
+        for batch in sliced(batches, 1):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 rows.extend(rows_of(doc_id, text))

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from noteskein.llm.common import stored, text_bytes, text_key, written
+from noteskein.llm.common import sliced, stored, text_bytes, text_key, written
 from noteskein.llm.components import components
 
 SEED = 42
@@ -61,7 +61,7 @@ def minima(found: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``fp`` (hash of the text), ``node`` (hash of its shingle set), ``size`` of the set, ``keys`` of its bands and ``sketch``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             nodes, sizes, keys, sketches = [], [], [], []
             for text in text_bytes(batch.column(2)):
                 found = np.unique(shingles(text, WIDTH))
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``) whose texts are similar, by the shingle sets of one text of each node."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             found = [np.unique(shingles(t, WIDTH)).view(np.int64) for t in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "own"])
 

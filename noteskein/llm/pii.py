@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from noteskein.llm.common import decode, id_and_text, map_rows, replace_column, text_bytes
+from noteskein.llm.common import decode, id_and_text, map_rows, replace_column, sliced, text_bytes
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("email_words", "phone_local", "national_id", "ip_long")
@@ -335,7 +335,7 @@ def mask(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     at, counted = docs.columns.index("text"), "n_chars" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, at):
             texts = batch.column(at).to_pylist()
             lengths = batch.column(batch.schema.get_field_index("n_chars")).to_pylist() if counted else []
             changed = False

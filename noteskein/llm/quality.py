@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from noteskein.llm.common import WHITE, id_and_text, map_rows, text_bytes
+from noteskein.llm.common import WHITE, id_and_text, map_rows, sliced, text_bytes
 
 COUNTERS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 SYMBOLS = b"#*$%&|<>"
@@ -196,7 +196,7 @@ def keep_good(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
         return not facts.base_failed() and passes(facts, ordered)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, at):
             yield batch.filter(pa.array([good(t) for t in text_bytes(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

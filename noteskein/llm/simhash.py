@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from noteskein.llm import minhash
-from noteskein.llm.common import id_and_text, text_bytes, text_key, written
+from noteskein.llm.common import id_and_text, sliced, text_bytes, text_key, written
 from noteskein.llm.components import components
 from noteskein.llm.minhash import shingles
 
@@ -51,7 +51,7 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``fp``, the fingerprint as a signed 64-bit number, of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             found = np.array([fingerprint(t) for t in text_bytes(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
