@@ -144,7 +144,9 @@ def apply_moves(state: DataFrame, moves: DataFrame, now: Column) -> DataFrame:
     """
     latest = moves.groupBy("old_path").agg(F.max_by("new_path", F.struct("ts", "new_path")).alias("new_path"))
     winner = latest.groupBy("new_path").agg(F.min("old_path").alias("_winner"))
-    taken = state.select(F.col("path").alias("new_path"), F.lit(True).alias("_taken"))
+    # What moves away itself makes room.
+    taken = state.join(latest.select(F.col("old_path").alias("path")), "path", "left_anti")
+    taken = taken.select(F.col("path").alias("new_path"), F.lit(True).alias("_taken"))
     plan = (
         latest.join(winner, "new_path").join(taken, "new_path", "left")
         .select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from noteskein.functions import frontmatter as FM, text as X
 from noteskein.operators import aliases, chunking, extraction, metadata, notes_graph as N
 from noteskein.plans import stand_ins, views as V
+from noteskein.plans import incremental
 from noteskein.plans.build import MARKERS, build, declared_aliases, full_cycle
 from noteskein.plans.registry import query
 from noteskein.scale import unnest
@@ -518,6 +519,84 @@ def cycle_markers(spark, sf):
     return found.select("id", F.col("n_rels").cast("int").alias("n_rels"), "batch")
 
 
+# A second cycle: notes came, changed, moved and went; the graph follows from what they say alone
+
+_TWO = "CASE WHEN quality IS NULL AND doc_id % 7 = 3 THEN concat('Archive/', id) ELSE id END"
+_AFTER = {
+    "here": f"SELECT *, {_TWO} AS now_id FROM notes WHERE NOT coalesce(quality = 1 AND toxic = 1, false)",
+    "found": "SELECT now_id AS source_file, concat('customer#', lpad(cast(doc_id as string), 9, '0')) AS person, concat('Supplier#', lpad(cast(n_chars as string), 9, '0'), "
+    "CASE WHEN n_chars = doc_id THEN ' Holdings' ELSE '' END) AS company FROM here",
+}
+
+
+def _two_cycles(spark, sf):
+    """Folder of a store after two cycles; they run once per session and table folder, and again if it was cleared."""
+    key = (spark.sparkContext.applicationId, sf, "two")
+    if key not in _CYCLES or incremental.published(spark, f"{_CYCLES[key]}/facts") != 2:
+        root = f"{ensure_checkpoint_dir(spark)}/cycle-{uuid.uuid4()}"
+        docs = V.notes(spark, sf).join(V.table(spark, sf, "labels"), "doc_id", "left")
+        kind = F.struct("quality", "toxic")
+        is_kind = lambda q, t: F.coalesce(kind == F.struct(F.lit(q).alias("quality"), F.lit(t).alias("toxic")), F.lit(False))
+        edited, gone, fresh = is_kind(1, 0), is_kind(1, 1), is_kind(0, 1)
+        old = F.when(edited, F.replace("content", F.lit("works at [[Supplier#"), F.lit("works at [[Older#"))).otherwise(F.col("content"))
+        away = F.col("quality").isNull() & (F.col("doc_id") % 7 == 3)
+        new_id = F.when(away, F.concat(F.lit("Archive/"), "id")).otherwise(F.col("id"))
+
+        def listed(rows, name, content, at):
+            made = rows.select(name.alias("id"), "label", content.alias("content"), at.alias("modified"))
+            return made.withColumn("length", F.octet_length("content").cast("long"))
+
+        second = lambda n: F.timestamp_seconds(F.lit(n))
+        before = listed(docs.where(~fresh), F.col("id"), old, second(0))
+        after = listed(docs.where(~gone), new_id, F.col("content"), F.when(edited | fresh, second(700)).otherwise(second(0)))
+        moves = docs.where(away).select(F.col("id").alias("old_path"), new_id.alias("new_path"), second(600).alias("ts"))
+        full_cycle(before, stand_ins.rule_based_model, "Extract relationships.", root, 1, now=second(500))
+        full_cycle(after, stand_ins.rule_based_model, "Extract relationships.", root, 2, moves=moves, now=second(800))
+        _CYCLES[key] = root
+    return _CYCLES[key]
+
+
+@query("delta_edges", "SELECT DISTINCT 'PERSON_TO_COMPANY' AS edge_type, person AS src, company AS dst, 'works_at' AS relationship FROM found", "notes", extra=_AFTER)
+def delta_edges(spark, sf):
+    return incremental.edges_at(spark, f"{_two_cycles(spark, sf)}/facts", 2)
+
+
+@query("delta_entities", "SELECT DISTINCT 'Person' AS category, person AS id FROM found UNION SELECT 'Company', company FROM found", "notes", extra=_AFTER)
+def delta_entities(spark, sf):
+    return incremental.entities_at(spark, f"{_two_cycles(spark, sf)}/facts", 2).select("category", "id")
+
+
+@query(
+    "delta_references",
+    "SELECT 'PERSON_REFERENCE' AS edge_type, person AS src, source_file AS dst, count(*) AS n_refs FROM found GROUP BY ALL UNION ALL SELECT 'COMPANY_REFERENCE', company, source_file, count(*) FROM found GROUP BY ALL",
+    "notes", extra=_AFTER,
+)
+def delta_references(spark, sf):
+    return incremental.references_at(spark, f"{_two_cycles(spark, sf)}/facts", 2)
+
+
+@query(
+    "delta_changes",
+    "SELECT edge_type, src, dst, relationship, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'PERSON_TO_COMPANY' AS edge_type, 'works_at' AS relationship, concat('customer#', lpad(cast(doc_id as string), 9, '0')) AS src, "
+    "unnest(CASE WHEN quality = 1 AND toxic = 0 THEN [concat('Older#', lpad(cast(n_chars as string), 9, '0')), company] ELSE [company] END) AS dst, "
+    "unnest(CASE WHEN quality = 1 AND toxic = 0 THEN [-1, 1] WHEN quality = 1 THEN [-1] ELSE [1] END) AS n "
+    "FROM (SELECT *, concat('Supplier#', lpad(cast(n_chars as string), 9, '0'), CASE WHEN n_chars = doc_id THEN ' Holdings' ELSE '' END) AS company FROM notes) "
+    "WHERE (quality = 1 AND toxic IN (0, 1)) OR (quality = 0 AND toxic = 1)) GROUP BY ALL",
+    "notes",
+)
+def delta_changes(spark, sf):
+    """What the second cycle wrote of the edges: those that came, and those that went."""
+    log = spark.read.schema(incremental.TABLES["edges"] + ", bucket int").parquet(f"{_two_cycles(spark, sf)}/facts/changes/edges/batch=2")
+    return log.drop("bucket")
+
+
+@query("cycle_after_moves", f"SELECT {_TWO} AS path, CASE WHEN quality = 1 AND toxic = 1 THEN 'deleted' ELSE 'active' END AS status, CASE WHEN (quality = 1 AND toxic = 0) OR (quality = 0 AND toxic = 1) THEN 800 ELSE 500 END AS processed_at FROM notes", "notes")
+def cycle_after_moves(spark, sf):
+    """The tracked files after the second cycle: moved notes are not read again."""
+    state = spark.read.schema(TRACKING).parquet(f"{_two_cycles(spark, sf)}/state/version=2")
+    return state.select("path", "status", F.unix_seconds("processed_at").cast("int").alias("processed_at"))
+
+
 @query("notes_with_results", "SELECT concat('orders/', cast(o_orderkey as string), '.md') AS id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lines WHERE l_linestatus = 'F')", "lines")
 def notes_with_results(spark, sf):
     return extraction.notes_with_results(V.orders_as_notes(spark, sf), V.triples(spark, sf).where(F.col("l_linestatus") == "F")).select("id")

@@ -12,7 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, *views: str, extra: dict[str, str] | None = None):
+def query(name: str, sql: str | None = None, *views: str, extra: dict[str, str] | None = None, recursive: bool = False):
     """Register a query; ``views`` and ``extra`` become common table expressions of its SQL."""
     def register(build):
         QUERIES[name] = build
@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None, *views: str, extra: dict[str, str]
             more = ", ".join(f"{n} AS ({s})" for n, s in (extra or {}).items())
             if more:
                 text = f"{text.rstrip()}, {more} " if text else f"WITH {more} "
-            ORACLES[name] = text + sql
+            ORACLES[name] = (text.replace("WITH", "WITH RECURSIVE", 1) if recursive else text) + sql
         return build
 
     return register

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from noteskein.functions.text import is_note_path
-from noteskein.operators import tracking as K
+from noteskein.operators import places as P, tracking as K
 from noteskein.plans import views as V
 from noteskein.plans.registry import query
 from noteskein.sinks.tables import current_triples
@@ -124,6 +124,69 @@ def moved_sources(spark, sf):
     return moved.groupBy("source_file", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Files move to the next or the last user's path, or stay; so chains, returns and paths used again occur.
+_MOVED = {
+    "m": "SELECT DISTINCT CAST(floor(ts_us / 86400000000) AS BIGINT) AS batch, ts_us, concat('u', user_id) AS old_path, concat('u', user_id + event_id % 3 - 1) AS new_path "
+    "FROM fe WHERE event_type = 'purchase' AND event_id % 3 <> 1",
+    "away": "SELECT old_path AS path, ts_us, min(new_path) AS new_path, any_value(batch) AS batch FROM m GROUP BY 1, 2",
+}
+
+
+def _next_times(arrivals):
+    """SQL: for paths and times, the time of the first departure from there that is later."""
+    return (
+        "SELECT DISTINCT path, ts_us, next_us FROM (SELECT path, ts_us, leaves, min(CASE WHEN leaves THEN ts_us END) OVER "
+        "(PARTITION BY path ORDER BY ts_us RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_us "
+        f"FROM (SELECT path, ts_us, true AS leaves FROM away UNION ALL SELECT path, ts_us, false FROM ({arrivals}))) WHERE NOT leaves"
+    )
+
+
+_MOVED["after"] = _next_times("SELECT new_path AS path, ts_us FROM m")
+_MOVED["steps"] = "SELECT a.path, a.ts_us, a.new_path, a.batch, b.next_us FROM away a JOIN after b ON a.new_path = b.path AND a.ts_us = b.ts_us"
+
+
+def _moves_in_time(spark, sf):
+    events = V.file_events(spark, sf).where((F.col("event_type") == "purchase") & (F.col("event_id") % 3 != 1))
+    return events.select(
+        F.floor(F.col("ts_us") / 86_400_000_000).alias("batch"), F.timestamp_micros("ts_us").alias("ts"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("old_path"),
+        F.concat(F.lit("u"), (F.col("user_id") + F.col("event_id") % 3 - 1).cast("string")).alias("new_path"),
+    )
+
+
+@query(
+    "moves_over_time",
+    "SELECT batch, ts_us, old_path, new_path, place, moved_us FROM walked WHERE next_us IS NULL", "fe",
+    extra={**_MOVED, "first": "SELECT m.*, b.next_us FROM m JOIN after b ON m.new_path = b.path AND m.ts_us = b.ts_us",
+           "walked": "SELECT batch, ts_us, old_path, new_path, new_path AS place, ts_us AS moved_us, next_us FROM first "
+           "UNION ALL SELECT w.batch, w.ts_us, w.old_path, w.new_path, s.new_path, s.ts_us, s.next_us FROM walked w JOIN steps s ON w.place = s.path AND w.next_us = s.ts_us"},
+    recursive=True,
+)
+def moves_over_time(spark, sf):
+    found = P.moves_over_time(_moves_in_time(spark, sf))
+    return found.select("batch", F.unix_micros("ts").alias("ts_us"), "old_path", "new_path", "place", F.unix_micros("moved.ts").alias("moved_us"))
+
+
+@query(
+    "places_now", "SELECT path, point AS batch, place, arrived FROM seen WHERE next_us IS NULL", "fe",
+    extra={
+        **_MOVED,
+        "points": "SELECT DISTINCT concat('u', user_id) AS path, CAST(floor(ts_us / 86400000000) AS BIGINT) AS point FROM fe WHERE event_type = 'signup'",
+        "ends": _next_times("SELECT path, (point + 1) * 86400000000 - 1 AS ts_us FROM points"),
+        "first": "SELECT p.path, p.point, b.next_us FROM points p JOIN ends b ON p.path = b.path AND (p.point + 1) * 86400000000 - 1 = b.ts_us",
+        "seen": "SELECT path, point, path AS place, point AS arrived, next_us FROM first "
+        "UNION ALL SELECT w.path, w.point, s.new_path, s.batch, s.next_us FROM seen w JOIN steps s ON w.place = s.path AND w.next_us = s.ts_us",
+    },
+    recursive=True,
+)
+def places_now(spark, sf):
+    """Where the files of some days are now, and the day they got there."""
+    points = V.file_events(spark, sf).where(F.col("event_type") == "signup").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.floor(F.col("ts_us") / 86_400_000_000).alias("batch")
+    )
+    return P.placed(points.distinct(), P.moves_over_time(_moves_in_time(spark, sf)))
+
+
 @query(
     "mark_processed",
     "SELECT path, CASE WHEN n > 0 THEN 7 END AS processed_at, coalesce(rels > 20, false) AS has_relationships FROM files LEFT JOIN (SELECT path, count(*) AS n, max(floor(value)) AS rels FROM fe WHERE event_type = 'signup' GROUP BY path) USING (path)",
