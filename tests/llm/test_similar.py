@@ -65,3 +65,56 @@ def test_members_beside_the_first(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == kept(texts)
     assert minhash.BANDS * minhash.ROWS % 16 == 0
+
+
+def family(rng, n, changed, words=120, vocabulary=5000):
+    base = [f"b{rng.integers(0, vocabulary)}" for _ in range(words)]
+    for _ in range(n):
+        own = list(base)
+        for at in rng.choice(words, changed, replace=False):
+            own[at] = f"x{rng.integers(0, 10 * vocabulary)}"
+        yield " ".join(own)
+
+
+def test_large_families_in_small_blocks(spark, monkeypatch):
+    """Copies that are similar to their base alone, copies near 0.8, and form letters that are not similar, over many blocks."""
+    monkeypatch.setattr(minhash, "SIDE", 8)
+    rng = np.random.default_rng(23)
+    texts = [*family(rng, 60, 2), *family(rng, 60, 3), *family(rng, 60, 4), *family(rng, 120, 6)]
+    pairs = [(i, text) for i, text in enumerate(rng.permutation(texts).tolist())]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(5)
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == kept(pairs)
+
+
+def test_form_letters_make_few_rows(spark):
+    """Letters that differ in six words share most buckets; no pair of them becomes a row."""
+    letters = list(enumerate(family(np.random.default_rng(2), 400, 6)))
+    docs = spark.createDataFrame(letters, "doc_id long, text string")
+    nodes = minhash.signatures(docs).drop("doc_id", "fp").persist()
+    members = nodes.selectExpr("node", "size", "posexplode(keys) as (band, key)").persist()
+    roots = spark.createDataFrame([], "node long, root long")
+    assert members.groupBy("band", "key").count().selectExpr("sum(count * (count - 1) / 2)").first()[0] > 50_000
+    assert minhash.rest_pairs(members, nodes, roots, joining=False).count() < 400
+
+
+def test_bound_passes_over_no_similar_pair():
+    rng = np.random.default_rng(9)
+    texts = [t for changed in (1, 2, 3, 4, 5) for t in family(rng, 40, changed, words=int(rng.integers(6, 400)), vocabulary=300)]
+    sets = [np.unique(minhash.shingles(t.encode(), minhash.WIDTH)) for t in texts]
+    rows = []
+    for k, found in enumerate(sets):
+        own = np.zeros(minhash.BITS, bool)
+        own[(found % np.uint64(minhash.BITS)).astype(np.int64)] = True
+        rows.append((k, k + 1, len(found), [k * 100 + b for b in range(minhash.BANDS)], np.packbits(own).tobytes()))
+    side = minhash.Side(rows)
+    x, y = minhash.near_pairs(side, side, 0, 0)
+    passed = set(zip(x.tolist(), y.tolist()))
+    similar_pairs = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if similar(set(sets[i].tolist()), set(sets[j].tolist()))}
+    assert similar_pairs and similar_pairs <= passed and len(passed) < 2 * len(similar_pairs) + 200
+
+
+def test_similar_odd(spark, odd_docs, no_docs):
+    rows = [(1, "same words here now ok"), (1, "same words here now ok"), (None, "same words here now ok"), (2, None), (3, ""), (None, None), (4, "other")]
+    found = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found), key=str) == [(1, "same words here now ok"), (2, None), (4, "other")]
+    assert simhash.keep_one(odd_docs).count() < odd_docs.count() and simhash.keep_one(no_docs).isEmpty()
