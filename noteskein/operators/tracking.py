@@ -10,6 +10,8 @@ from noteskein.functions import fixed
 from noteskein.functions.text import body_hash
 from noteskein.scale import checkpointed, lookup, union_all
 
+HOUR_US = 3_600_000_000
+
 
 def hash_notes(notes: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Hash reader over a notes table ``id, content``.
@@ -204,42 +206,78 @@ def debounce_sessions(events: DataFrame, quiet_seconds: int = fixed.QUIET_SECOND
     """Sessions of a vault: a batch fires after a quiet period, and each event restarts the timer.
 
     ``events`` holds ``vault_id, path, ts_us`` (microseconds). One vault may own most events, so no
-    window covers a whole vault: events merge per second first, islands are found within one hour
-    at a time, and only the first and last island of an hour are compared with their neighbours.
+    window covers a whole vault: events merge per second first.
     """
     quiet = quiet_seconds * 1_000_000
-    hour = 3_600_000_000
-    seconds = events.groupBy(
-        "vault_id", F.floor(F.col("ts_us") / 1_000_000).alias("_second")
-    ).agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"), F.count(F.lit(1)).alias("n"))
-    seconds = seconds.withColumn("_hour", F.floor(F.col("lo") / hour))
-    order = Window.partitionBy("vault_id", "_hour").orderBy("lo")
-    gap = (F.col("lo") - F.lag("hi").over(order)) >= quiet
+    merged = merge_sessions(per_second(events, F.lit(0).cast("bigint")), quiet)
+    return merged.select(
+        "vault_id", F.col("lo").alias("start_us"), (F.col("hi") + quiet).alias("fires_us"), F.col("n").alias("n_events")
+    )
+
+
+def per_second(events: DataFrame, seen: Column) -> DataFrame:
+    """Parts of sessions ``vault_id, lo, hi, n, seen``: the events of one second."""
+    return events.groupBy("vault_id", F.floor(F.col("ts_us") / 1_000_000).alias("_second")).agg(
+        F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"), F.count(F.lit(1)).alias("n"), F.max(seen).alias("seen")
+    ).drop("_second")
+
+
+def merge_sessions(parts: DataFrame, quiet: int) -> DataFrame:
+    """Sessions ``vault_id, lo, hi, n, seen`` from parts that each lie within one hour.
+
+    Islands are found within one hour at a time, and only the first and last island of an hour are compared with their neighbours.
+    """
+    total = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.max("seen").alias("seen")]
+    parts = parts.withColumn("_hour", F.floor(F.col("lo") / HOUR_US))
+
+    def apart(window) -> Column:
+        # A part may end after the next one does.
+        return (F.col("lo") - F.max("hi").over(window.rowsBetween(Window.unboundedPreceding, -1))) >= quiet
+
+    order = Window.partitionBy("vault_id", "_hour").orderBy("lo", "hi")
     islands = (
-        seconds.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int"))
+        parts.withColumn("_new", F.coalesce(apart(order), F.lit(False)).cast("int"))
         .withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("vault_id", "_hour", "_island")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+        .groupBy("vault_id", "_hour", "_island").agg(*total)
     )
     # Chains can only run through the first and the last island of an hour.
     ends = Window.partitionBy("vault_id", "_hour")
     islands = islands.withColumn("_edge", (F.col("_island") == 0) | (F.col("_island") == F.max("_island").over(ends)))
-    inner = islands.where(~F.col("_edge")).select("vault_id", "lo", "hi", "n")
-    along = Window.partitionBy("vault_id").orderBy("lo")
-    chained = islands.where("_edge").withColumn(
-        "_new", F.coalesce((F.col("lo") - F.lag("hi").over(along)) >= quiet, F.lit(True)).cast("int")
-    )
+    inner = islands.where(~F.col("_edge")).select("vault_id", "lo", "hi", "n", "seen")
+    along = Window.partitionBy("vault_id").orderBy("lo", "hi")
+    chained = islands.where("_edge").withColumn("_new", F.coalesce(apart(along), F.lit(True)).cast("int"))
     merged = (
         chained.withColumn("_chain", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("vault_id", "_chain")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
-        .drop("_chain")
+        .groupBy("vault_id", "_chain").agg(*total).drop("_chain")
     )
-    return inner.unionByName(merged).select(
-        "vault_id", F.col("lo").alias("start_us"), (F.col("hi") + quiet).alias("fires_us"), F.col("n").alias("n_events")
+    return inner.unionByName(merged)
+
+
+def hourly_parts(sessions: DataFrame) -> DataFrame:
+    """Sessions as parts that each lie within one hour; the first part has the events."""
+    start = lambda h: F.greatest(F.col("lo"), h * HOUR_US)
+    hours = F.sequence(F.floor(F.col("lo") / HOUR_US), F.floor(F.col("hi") / HOUR_US))
+    cut = sessions.withColumn("_h", F.explode(hours))
+    return cut.select(
+        "vault_id", start(F.col("_h")).alias("lo"), F.least(F.col("hi"), (F.col("_h") + 1) * HOUR_US - 1).alias("hi"),
+        F.when(start(F.col("_h")) == F.col("lo"), F.col("n")).otherwise(0).alias("n"), "seen",
     )
 
 
+def session_step(events: DataFrame, still_open: DataFrame, quiet: int, now: Column, flush: bool) -> tuple[DataFrame, DataFrame]:
+    """Closed and open sessions after a batch of ``events`` (``vault_id, ts_us``) and the sessions open before it.
+
+    The last session of a vault stays open until nothing has been seen of it for the quiet period; ``flush`` closes it at once.
+    """
+    parts = per_second(events, now).unionByName(hourly_parts(still_open))
+    found = checkpointed(merge_sessions(parts, quiet))
+    last = found.groupBy(F.col("vault_id").alias("_vault")).agg(F.max("lo").alias("_last"))
+    met = found.join(last, F.col("vault_id").eqNullSafe(F.col("_vault")) & (F.col("lo") == F.col("_last")), "left")
+    stays = F.lit(False) if flush else F.col("_last").isNotNull() & (now - F.col("seen") < quiet)
+    columns = ["vault_id", "lo", "hi", "n", "seen"]
+    return met.where(~stays).select(*columns), met.where(stays).select(*columns)
+
+
 def session_paths(events: DataFrame, sessions: DataFrame) -> DataFrame:
     """Distinct paths of each session: the pending set.
 

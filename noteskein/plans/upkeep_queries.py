@@ -286,7 +286,7 @@ def current_triples_query(spark, sf):
     return current_triples(rows, markers).drop("batch")
 
 
-def _worked_off(spark, sf):
+def _worked_off(spark, sf, retain_days=None):
     """The event table worked off as a stream; every other user's note exists. Returns the folder of its tables."""
     root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4()}"
     raw = V.table(spark, sf, "events")
@@ -301,7 +301,7 @@ def _worked_off(spark, sf):
 
     notes = raw.where(F.col("user_id") % 2 == 0).select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".md")).alias("id")).distinct()
     source = events(E.read_events(spark, f"{sf}/events.parquet{{,/*}}", schema=raw.schema))
-    run = E.run_on_quiet(source, E.on_sessions(lambda: events(raw), lambda: notes, root), f"{root}/checkpoint", once=True)
+    run = E.run_on_quiet(source, E.on_sessions(lambda: events(raw), lambda: notes, root, retain_days), f"{root}/checkpoint", once=True)
     run.awaitTermination()
     return root
 
@@ -343,3 +343,14 @@ def stream_moves(spark, sf):
 def stream_state(spark, sf):
     found = spark.read.schema(E.TRACKED).parquet(f"{_worked_off(spark, sf)}/state")
     return found.select("path", "status", "last_change", "n_changes")
+
+
+@query(
+    "stream_purged",
+    "SELECT path, change_type AS last_change, n AS n_changes FROM (SELECT path, arg_max(change_type, ts_us) AS change_type, max(ts_us) AS last_us, count(*) AS n FROM fe GROUP BY path) "
+    "WHERE change_type <> 'deleted' OR last_us >= (SELECT max(ts_us) - 10800000000 * 8 FROM fe)",
+    "fe",
+)
+def stream_purged(spark, sf):
+    found = spark.read.schema(E.TRACKED).parquet(f"{_worked_off(spark, sf, retain_days=1)}/state")
+    return found.select("path", "last_change", "n_changes")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from noteskein.functions import fixed
 from noteskein.functions.text import in_folder, is_note_path
+from noteskein.operators import tracking
 from noteskein.schemas import FILE_EVENTS
 
 
@@ -29,67 +29,7 @@ def note_events(events: DataFrame, template_folder: str | None = None) -> DataFr
     return kept.where(~in_folder(F.col("path"), template_folder)) if template_folder else kept
 
 
-_SESSION = "vault_id string, first_event long, last_event long, n_events long"
-
-
-def _local_sessions(quiet: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Sessions within one part of a batch, so that a busy vault goes out as a few rows per task."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = batch.sort_values(["vault_id", "ts_us"])
-            same = rows["vault_id"].eq(rows["vault_id"].shift()) | (rows["vault_id"].isna() & rows["vault_id"].shift().isna())
-            number = (~same | (rows["ts_us"].diff() >= quiet)).cumsum()
-            found = rows.groupby(number, sort=False).agg(
-                vault_id=("vault_id", "first"), first_event=("ts_us", "min"), last_event=("ts_us", "max"), n_events=("ts_us", "size")
-            )
-            yield found[["vault_id", "first_event", "last_event", "n_events"]]
-
-    return run
-
-
-def _close_sessions(quiet: int, flush: bool):
-    """Joins the parts of a vault's sessions; the last one stays open until the clock has been quiet for long enough."""
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        closed = []
-        now = [state.get] if state.exists else []
-        if state.hasTimedOut:
-            closed = now
-            state.remove()
-        else:
-            parts = sorted(now + [tuple(r) for b in batches for r in b[["first_event", "last_event", "n_events"]].itertuples(index=False)])
-            current = None
-            for first, last, n in parts:
-                if current is not None and first - current[1] < quiet:
-                    current = (current[0], max(current[1], last), current[2] + n)
-                else:
-                    closed += [current] if current is not None else []
-                    current = (first, last, n)
-            if flush:
-                closed.append(current)
-            else:
-                state.update(tuple(int(v) for v in current))
-                state.setTimeoutDuration(quiet // 1000)
-        if closed:
-            yield pd.DataFrame([(key[0], *map(int, c)) for c in closed], columns=["vault_id", "first_event", "last_event", "n_events"])
-
-    return run
-
-
-def quiet_sessions(events: DataFrame, quiet_seconds: int = fixed.QUIET_SECONDS, flush: bool = False) -> DataFrame:
-    """Sessions of a vault that end with a quiet period; every event restarts the timer.
-
-    A session fires when the next event comes later than the quiet period, or when none has come for so long by the
-    clock, also while nothing else arrives. The state is one open session per vault: bounds and a count, no
-    paths, which follow from the log. ``flush`` closes all sessions with the batch that brings them.
-    """
-    quiet = quiet_seconds * 1_000_000
-    # With a timer there is always one more batch to run, and working off a backlog would never end.
-    timer = GroupStateTimeout.NoTimeout if flush else GroupStateTimeout.ProcessingTimeTimeout
-    parts = events.select("vault_id", F.unix_micros("ts").alias("ts_us")).mapInPandas(_local_sessions(quiet), _SESSION)
-    closed = parts.groupBy("vault_id").applyInPandasWithState(
-        _close_sessions(quiet, flush), _SESSION, "first_event long, last_event long, n_events long", "append", timer
-    )
-    return closed.withColumns({c: F.timestamp_micros(c) for c in ("first_event", "last_event")})
+OPEN = "vault_id string, lo bigint, hi bigint, n bigint, seen bigint"
 
 
 def session_events(log: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -131,25 +71,51 @@ def run_on_quiet(
 ) -> StreamingQuery:
     """Call ``process(sessions, batch_id)`` for closed sessions; batches never overlap.
 
+    Every event of a vault restarts its timer. A session closes when the next event comes later than the quiet period, or when
+    none has come for so long by the clock, also while nothing else arrives: a tick a second keeps batches coming. A batch is merged
+    in blocks of an hour (``tracking.session_step``), whatever a vault's share of it. Between batches, one open session per
+    vault is kept in a table beside the checkpoint, a version per batch, so a batch that is repeated starts from the same.
+
     ``once`` works off the backlog (first run) and stops; the backlog is one batch, and all its sessions are closed with
     it. For that, read the events without a bound on the files of a batch. Else the query stays up.
     """
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
-        if not kept.isEmpty():
-            process(kept, batch_id)
-        kept.unpersist()
+    spark, quiet = events.sparkSession, quiet_seconds * 1_000_000
+    root = f"{checkpoint.rstrip('/')}-sessions"
+    rows = events.select("vault_id", F.unix_micros("ts").alias("ts_us"))
+    if not once:
+        ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        rows = rows.unionByName(ticks.select(F.lit(None).cast("string").alias("vault_id"), F.lit(None).cast("bigint").alias("ts_us")))
 
-    writer = quiet_sessions(events, quiet_seconds, flush=once).writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-    writer = writer.foreachBatch(handle)
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        older = [v for v in _versions(session, f"{root}/open") if v < batch_id]
+        still_open = session.read.schema(OPEN).parquet(f"{root}/open/version={max(older)}") if older else session.createDataFrame([], OPEN)
+        fresh = batch.where(F.col("ts_us").isNotNull())
+        if not once and fresh.isEmpty() and still_open.isEmpty():
+            return
+        now = F.lit(int(time.time() * 1_000_000)).cast("bigint")
+        closed, kept = tracking.session_step(fresh, still_open, quiet, now, flush=once)
+        closed.write.mode("overwrite").parquet(f"{root}/closed/batch={batch_id}")
+        kept.write.mode("overwrite").parquet(f"{root}/open/version={batch_id}")
+        sessions = session.read.schema(OPEN).parquet(f"{root}/closed/batch={batch_id}")
+        if not sessions.isEmpty():
+            micros = lambda c, name: F.timestamp_micros(c).alias(name)
+            process(sessions.select("vault_id", micros("lo", "first_event"), micros("hi", "last_event"), F.col("n").alias("n_events")), batch_id)
+        for version in sorted(older)[:-1]:
+            _remove(session, f"{root}/open/version={version}")
+
+    writer = rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(handle)
     return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime="10 seconds").start()
 
 
-def on_sessions(log: Callable[[], DataFrame], notes: Callable[[], DataFrame], root: str) -> Callable[[DataFrame, int], None]:
+def on_sessions(
+    log: Callable[[], DataFrame], notes: Callable[[], DataFrame], root: str, retain_days: int | None = None
+) -> Callable[[DataFrame, int], None]:
     """A ``process`` that works sessions to the end: paths to extract again, evictions, moves and the tracked state.
 
     Each table of a batch has its own folder below ``root`` and overwrites it, so a repeated batch does no harm. The
-    state (``track_files``) is kept in versions; each batch merges its events into the one before.
+    state (``track_files``) is kept in versions; each batch merges its events into the one before. With ``retain_days``, files
+    deleted so long before the newest event of the batch leave the state.
     """
     def process(sessions: DataFrame, batch_id: int) -> None:
         spark = sessions.sparkSession
@@ -166,7 +132,10 @@ def on_sessions(log: Callable[[], DataFrame], notes: Callable[[], DataFrame], ro
         if batch_id > 0:
             older = [v for v in _versions(spark, f"{root}/state") if v < batch_id]
             kept = spark.read.schema(TRACKED).parquet(f"{root}/state/version={max(older)}") if older else kept
-        merge_tracked(kept, track_files(events)).write.mode("overwrite").parquet(f"{root}/state/version={batch_id}")
+        state = merge_tracked(kept, track_files(events))
+        if retain_days is not None:
+            state = tracking.purge_deleted(state, F.lit(sessions.agg(F.max("last_event")).first()[0]), retain_days)
+        state.write.mode("overwrite").parquet(f"{root}/state/version={batch_id}")
 
     return process
 
@@ -178,6 +147,11 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return [int(str(s.getPath().getParent().getName()).split("=")[1]) for s in found or []]
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 TRACKED = "vault_id string, path string, status string, last_change string, updated_at timestamp, n_changes long"
 
 
