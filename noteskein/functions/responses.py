@@ -132,12 +132,22 @@ def graph_relations(text: Column) -> Column:
     )
     no_nodes = F.array().cast("array<struct<id:string,name:string,type:string>>")
 
-    def relation(edge: Column, nodes: Column) -> Column:
-        def node(name: Column) -> Column:
-            # The last node of an id counts.
-            return F.get(F.reverse(F.filter(nodes, lambda n: F.coalesce(n["id"], F.lit("")) == name)), F.lit(0))
+    def by_id(nodes: Column) -> Column:
+        """Name and type by id; the last node of an id counts. Made once for all edges."""
+        ids = F.transform(nodes, lambda n: F.coalesce(n["id"], F.lit("")))
+        places = F.transform(ids, lambda i, k: F.struct(i.alias("id"), k.alias("at")))
 
+        def ends(ordered: Column) -> Column:
+            # In order of id and place, a place counts where the next one has another id.
+            marked = F.transform(ordered, lambda p, k: F.struct(p.alias("p"), F.get(ordered, k + 1)["id"].alias("next")))
+            kept = F.filter(marked, lambda x: ~x["p"]["id"].eqNullSafe(x["next"]))
+            return F.transform(kept, lambda x: F.struct(x["p"]["id"].alias("key"), F.get(nodes, x["p"]["at"]).alias("value")))
+
+        return F.map_from_entries(let(F.array_sort(places), ends))
+
+    def relation(edge: Column, known: Column) -> Column:
         source, target = F.coalesce(edge["source"], F.lit("")), F.coalesce(edge["target"], F.lit(""))
+        node = lambda name: F.try_element_at(known, name)
         return F.struct(
             F.coalesce(node(source)["name"], source).alias("source"),
             F.coalesce(node(target)["name"], target).alias("target"),
@@ -147,7 +157,7 @@ def graph_relations(text: Column) -> Column:
         )
 
     return let(
-        parsed, lambda p: F.transform(p["edges"], lambda e: relation(e, F.coalesce(p["nodes"], no_nodes)))
+        parsed, lambda p: let(by_id(F.coalesce(p["nodes"], no_nodes)), lambda known: F.transform(p["edges"], lambda e: relation(e, known)))
     )
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from noteskein.functions import fixed
 from noteskein.functions.prompts import estimated_tokens
 from noteskein.functions.text import is_blank
-from noteskein.scale import BLOCK, running_total, with_previous
+from noteskein.scale import BLOCK, checkpointed, running_total, with_previous
 
 CHARS_PER_TOKEN = 4
 
@@ -51,21 +51,56 @@ def semantic_chunks(
 ) -> DataFrame:
     """Chunks of ``note_id, pos, embedding, token_count`` with dense positions from 0, one row per chunk.
 
-    A sentence opens a segment when it is less similar to the one before than the threshold. A
-    segment is cut again each time its running token count passes a multiple of the bound. All
-    running sums are blocked, so one very long note is spread over many tasks.
+    A sentence opens a segment when it is less similar to the one before than the threshold, and within a segment it opens a chunk
+    when it would take the chunk at hand beyond the bound; so only a chunk of one sentence can be above it. Running sums are
+    blocked, and chunks are found by jumps of doubling length, so one very long note is spread over many tasks.
     """
     near = with_previous(sentences, ["note_id"], "pos", {"embedding": "_previous"}, width)
     likeness = cosine(F.col("embedding"), F.col("_previous"))
     opens = F.coalesce(likeness < threshold, F.lit(True)).cast("int")
     flagged = near.select("note_id", "pos", "token_count", opens.alias("_opens"))
     segments = running_total(flagged, ["note_id"], "pos", F.col("_opens"), "_segment", width)
-    sized = running_total(segments, ["note_id", "_segment"], "pos", F.col("token_count"), "_tokens", width)
-    part = F.floor((F.col("_tokens") - F.col("token_count")) / max_tokens)
-    chunks = sized.groupBy("note_id", "_segment", part.alias("_part")).agg(
+    sized = checkpointed(running_total(segments, ["note_id", "_segment"], "pos", F.col("token_count"), "_tokens", width))
+    starts = chunk_starts(sized, max_tokens, width)
+    marked = sized.join(starts.withColumn("_starts", F.lit(1)), ["note_id", "pos"], "left").withColumn("_starts", F.coalesce("_starts", F.lit(0)))
+    chunks = running_total(marked, ["note_id"], "pos", F.col("_starts"), "_chunk", width)
+    return chunks.groupBy("note_id", (F.col("_chunk") - 1).alias("chunk_index")).agg(
         F.count(F.lit(1)).alias("n_sentences"), F.min("pos").alias("first_pos"), F.sum("token_count").alias("token_count")
     )
-    return dense_positions(chunks, "note_id", "first_pos", "chunk_index", width).drop("_segment", "_part")
+
+
+def chunk_starts(sized: DataFrame, max_tokens: int, width: int = BLOCK) -> DataFrame:
+    """``note_id, pos`` of the sentences that open a chunk: segment starts, and from each start the first sentence that does not fit."""
+    jumps = checkpointed(first_beyond(sized, max_tokens, width))
+    starts = checkpointed(sized.where("_opens = 1").select("note_id", "pos"))
+    while not jumps.isEmpty():
+        step = jumps.select("note_id", "pos", F.col("next").alias("_next"))
+        reached = starts.join(step, ["note_id", "pos"]).select("note_id", F.col("_next").alias("pos"))
+        starts = checkpointed(starts.unionByName(reached).distinct())
+        far = jumps.select("note_id", F.col("pos").alias("next"), F.col("next").alias("_next"))
+        jumps = checkpointed(jumps.join(far, ["note_id", "next"]).select("note_id", "pos", F.col("_next").alias("next")))
+    return starts
+
+
+def first_beyond(sized: DataFrame, max_tokens: int, width: int) -> DataFrame:
+    """``note_id, pos, next``: the first later sentence of the segment at which the tokens since ``pos`` pass the bound.
+
+    Sums of a segment never fall, so this is the next sum above a limit: it is looked for within a block of sums, else it is
+    the first of the next block that has any.
+    """
+    key = ["note_id", "_segment"]
+    limit = F.greatest(F.col("_tokens") - F.col("token_count") + max_tokens, F.col("_tokens"))
+    sums = sized.select(*key, F.col("_tokens").alias("_value"), F.lit(1).alias("_is_sum"), F.col("pos").alias("_sum_pos"), F.lit(None).cast("bigint").alias("_asks"))
+    asked = sized.select(*key, limit.alias("_value"), F.lit(0).alias("_is_sum"), F.lit(None).cast("bigint").alias("_sum_pos"), F.col("pos").alias("_asks"))
+    # A sentence without tokens ends no chunk, so at a limit that the sums already have, later ones of that sum are passed over too.
+    both = sums.withColumn("_sum_pos", F.col("_sum_pos").cast("bigint")).unionByName(asked).withColumn("_block", F.floor(F.col("_value") / width))
+    order = Window.partitionBy(*key, "_block").orderBy(F.desc("_value"), F.asc("_is_sum"), F.desc("_sum_pos")).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_here", F.last("_sum_pos", ignorenulls=True).over(order))
+    lowest = both.groupBy(*key, "_block").agg(F.min(F.when(F.col("_is_sum") == 1, F.struct("_value", "_sum_pos"))).alias("_low"))
+    later = Window.partitionBy(*key).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    after = lowest.select(*key, "_block", F.last("_low", ignorenulls=True).over(later)["_sum_pos"].alias("_after"))
+    found = both.where(F.col("_asks").isNotNull()).join(after, [*key, "_block"])
+    return found.select("note_id", F.col("_asks").alias("pos"), F.coalesce("_here", "_after").alias("next")).where(F.col("next").isNotNull())
 
 
 def dense_positions(rows: DataFrame, key: str, order: str, name: str = "pos", width: int = BLOCK) -> DataFrame:

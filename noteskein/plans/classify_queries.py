@@ -217,6 +217,16 @@ def run_status(spark, sf):
     return C.run_status(runs, "logs/").join(C.distinct_noted(runs), "task_id")
 
 
+@query(
+    "run_status_of_folder",
+    "SELECT task_id, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'running') AS running, "
+    "count(*) FILTER (status = 'pending') AS pending, count(*) AS total FROM runs WHERE note_path LIKE 'logs/u1%' GROUP BY task_id",
+    "runs",
+)
+def run_status_of_folder(spark, sf):
+    return C.run_status(_runs(spark, sf), "logs/u1")
+
+
 @query(
     "run_history",
     "SELECT run_id, tag, task_name, status, started_us FROM (SELECT * FROM runs ORDER BY started_us DESC, run_id DESC LIMIT 100) r JOIN (SELECT id, tag, name AS task_name FROM tasks) t ON task_id = t.id",

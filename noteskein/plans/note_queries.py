@@ -405,6 +405,30 @@ def semantic_chunks(spark, sf):
     return chunking.semantic_chunks(_sentences(spark, sf), threshold=0.5, max_tokens=256)
 
 
+_GREEDY = {
+    **_CHUNKS, "opened": _CHUNKS["opened"].replace("< 0.5", "< 0"),
+    "rows_of": "SELECT s.note_id, s.pos, s.opens, 16 + (v.vec_id * 37) % 160 AS tokens FROM seg s JOIN "
+    "(SELECT concat('label-', cast(label as string)) AS note_id, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM embeddings) v USING (note_id, pos)",
+    "walked": "SELECT note_id, pos, tokens, tokens AS held, 0 AS chunk FROM rows_of WHERE pos = 0 "
+    "UNION ALL SELECT r.note_id, r.pos, r.tokens, CASE WHEN r.opens = 1 OR w.held + r.tokens > 256 THEN r.tokens ELSE w.held + r.tokens END, "
+    "CASE WHEN r.opens = 1 OR w.held + r.tokens > 256 THEN w.chunk + 1 ELSE w.chunk END FROM walked w JOIN rows_of r ON r.note_id = w.note_id AND r.pos = w.pos + 1",
+}
+
+
+@query(
+    "semantic_chunks_greedy",
+    "SELECT note_id, CAST(chunk AS BIGINT) AS chunk_index, count(*) AS n_sentences, min(pos) AS first_pos, CAST(sum(tokens) AS BIGINT) AS token_count FROM walked GROUP BY note_id, chunk",
+    extra=_GREEDY, recursive=True,
+)
+def semantic_chunks_greedy(spark, sf):
+    """Sentences of different lengths, so that a chunk is full at another place than a multiple of the bound."""
+    vectors = V.table(spark, sf, "embeddings")
+    rows = vectors.select(
+        F.concat(F.lit("label-"), F.col("label").cast("string")).alias("note_id"), "vec_id", "embedding", (16 + (F.col("vec_id") * 37) % 160).alias("token_count")
+    )
+    return chunking.semantic_chunks(chunking.dense_positions(rows, "note_id", "vec_id"), threshold=0.0, max_tokens=256)
+
+
 @query(
     "extracted_triples",
     "SELECT id AS note_id, 'Person' AS source_category, concat('customer#', lpad(cast(doc_id as string), 9, '0')) AS source_label, 'works_at' AS relationship, 'Company' AS target_category, concat('Supplier#', lpad(cast(n_chars as string), 9, '0')) AS target_label FROM notes",

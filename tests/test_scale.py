@@ -130,21 +130,22 @@ def test_semantic_chunks_with_tiny_blocks(spark):
     data = []
     for note, n in (("hot", 60), ("b", 7), ("c", 1)):
         for pos in range(n):
-            data.append((note, pos, [1.0, rng.choice([0.0, 0.1, 3.0])], rng.choice([10, 40, 250])))
+            data.append((note, pos, [1.0, rng.choice([0.0, 0.1, 0.1, 0.1, 3.0])], rng.choice([0, 10, 40, 60, 250])))
     wanted = []
     for note in ("hot", "b", "c"):
         rows = [r for r in data if r[0] == note]
-        segment, before, chunks = -1, 0, {}
+        held, chunks = 0, []
         for i, (_, pos, v, tokens) in enumerate(rows):
             if i:
                 p = rows[i - 1][2]
                 like = (v[0] * p[0] + v[1] * p[1]) / ((v[0] ** 2 + v[1] ** 2) * (p[0] ** 2 + p[1] ** 2)) ** 0.5
-            if i == 0 or like < 0.75:
-                segment, before = segment + 1, 0
-            chunks.setdefault((segment, before // 100), []).append((pos, tokens))
-            before += tokens
-        for index, key in enumerate(sorted(chunks)):
-            members = chunks[key]
+            # A sentence that does not fit opens the next chunk.
+            if i == 0 or like < 0.75 or held + tokens > 100:
+                held = 0
+                chunks.append([])
+            chunks[-1].append((pos, tokens))
+            held += tokens
+        for index, members in enumerate(chunks):
             wanted.append((note, index, len(members), members[0][0], sum(t for _, t in members)))
     df = spark.createDataFrame(data, "note_id string, pos bigint, embedding array<double>, token_count int")
     got = chunking.semantic_chunks(df, max_tokens=100, width=4).select("note_id", "chunk_index", "n_sentences", "first_pos", "token_count")
