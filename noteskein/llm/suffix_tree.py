@@ -383,24 +383,53 @@ def answered(runs: DataFrame, values: DataFrame) -> DataFrame:
 # Scoring
 
 
+class Found:
+    """What was found for codes, in a hash table with open places, for many lookups at once."""
+
+    FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def __init__(self, codes: np.ndarray, found: np.ndarray):
+        bits = max(4, int(2 * len(codes)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.values = np.full(1 << bits, self.FREE), np.zeros(1 << bits, found.dtype)
+        place = self.place(codes)
+        while len(codes):
+            free = self.keys[place] == self.FREE
+            self.keys[place[free]] = codes[free]
+            here = self.keys[place] == codes
+            self.values[place[here]] = found[here]
+            codes, found, place = codes[~here], found[~here], (place[~here] + 1) & self.mask
+
+    def place(self, codes: np.ndarray) -> np.ndarray:
+        return (codes * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def __getitem__(self, codes: np.ndarray) -> np.ndarray:
+        """Values of codes that are all in the table."""
+        place = self.place(codes)
+        lost = np.flatnonzero(self.keys[place] != codes)
+        while len(lost):
+            place[lost] = (place[lost] + 1) & self.mask
+            lost = lost[self.keys[place[lost]] != codes[lost]]
+        return self.values[place]
+
+
 class Scores:
     """Scores of texts by the answers of their chunk."""
 
     def __init__(self, answers: list[tuple[int, bytes, bytes]], n_train: int, n_distinct: int):
         self.n_train, self.norm = n_train, float(np.log10(n_train + n_distinct + 1))
-        self.codes, self.found = {}, {}
+        self.found = {}
         for space, kind in ((WORDS, np.int64), (WINDOWS, np.float32)):
             raw = [(np.frombuffer(zstandard.decompress(c), np.uint8).size // 8, c, f) for s, c, f in answers if s == space]
             codes = np.concatenate([unpack_codes(c, n) for n, c, _ in raw]) if raw else np.empty(0, np.uint64)
             found = np.concatenate([unplanes(f, n, kind) for n, _, f in raw]) if raw else np.empty(0, kind)
-            order = np.argsort(codes)
-            self.codes[space], self.found[space] = codes[order], found[order]
+            self.found[space] = Found(codes, found)
         self.logs: dict[bytes, float] = {}
 
     def words(self, texts: list[bytes]) -> tuple[list[int], list[int], list[float]]:
         split = [text.split() for text in texts]
         new = list(set().union(*split, [END]).difference(self.logs))
-        counts = self.found[WORDS][np.searchsorted(self.codes[WORDS], word_codes(new))]
+        counts = self.found[WORDS][word_codes(new)]
         self.logs.update(zip(new, np.log10(counts + 1.0).tolist()))
         n_tokens, n_known, base = [], [], []
         for tokens in split:
@@ -417,9 +446,7 @@ class Scores:
         use = scored(starts, sizes, len(symbols))
         for first, codes in windows(symbols):
             at = np.flatnonzero(use[first : first + len(codes)])
-            order = np.argsort(codes[at])
-            places = np.searchsorted(self.codes[WINDOWS], codes[at[order]])
-            found[first + at[order]] = self.found[WINDOWS][places]
+            found[first + at] = self.found[WINDOWS][codes[at]]
         sums = np.concatenate([[0.0], np.cumsum(found, dtype=np.float64)])
         return sums[starts + sizes] - sums[starts]
 
