@@ -6,11 +6,9 @@ import re
 from html import unescape
 
 import numpy as np
-import pytest
 
 from noteskein.llm import filter_audit, html_tree, product_codes, wrappers
 from noteskein.llm import queries as registered
-from tests.compare import connect, difference
 
 LOREM = "Some words of a text that goes on for a while, number {0}, and then it ends."
 
@@ -277,8 +275,3 @@ def test_audit_against_all_orders(spark, sf_dir, odd_docs):
     assert sorted(map(tuple, filter_audit.audit(odd, frame).collect())) == sorted(wanted)
     assert filter_audit.audit(odd.where("false"), frame).collect() == []
     assert filter_audit.audit(odd, frame.where("false")).count() == len(wanted)
-
-
-@pytest.mark.parametrize("name", ["op9_line_hashing", "op12_equal_average_codes", "op13_lehmer_audit"])
-def test_sql(spark, sf_dir, name):
-    assert difference(spark, connect(sf_dir), registered.QUERIES[name], registered.ORACLES[name], sf_dir) is None
