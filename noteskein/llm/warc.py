@@ -37,6 +37,9 @@ from noteskein.session import ensure_checkpoint_dir
 BLOCK_LINES = 1024
 #: Bytes after which a task begins another archive file.
 ARCHIVE_BYTES = 1 << 30
+#: Compressed bytes of records that a task reads, and bytes of payloads that it holds.
+READ_BYTES = 8 << 20
+HELD = 8 << 20
 #: Pages have no time of capture; records need one.
 CAPTURED = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -260,10 +263,13 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
             ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
             ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary()),
         ])
-        name, source = None, None
+        name, source, held = None, None, 0
         for batch in batches:
             rows = []
             for file, offset, length in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                if held > HELD:
+                    yield to_batch(rows, schema)
+                    rows, held = [], 0
                 if file != name:
                     if source is not None:
                         source.close()
@@ -277,12 +283,17 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
                 elif digest(payload) != sha1:
                     raise ValueError(f"{file} at {offset}: the payload does not have its digest")
                 rows.append((from_urn(fields["WARC-Record-ID"]), int(http["Content-Length"]), sha1, kind, refers, fields.get("WARC-Target-URI"), payload))
+                held += len(payload or b"")
             if rows:
                 yield to_batch(rows, schema)
+                held = 0
         if source is not None:
             source.close()
 
-    dealt = captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # Places are a few bytes that stand for whole records, so the number of tasks follows from the bytes to read.
+    places = written(captures.select("file", "offset", "length"))
+    parts = max(1, -(-(places.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+    dealt = places.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(
         run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
     )
