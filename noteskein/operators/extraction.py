@@ -20,15 +20,21 @@ def with_chunk_key(chunks: DataFrame, prompt: str) -> DataFrame:
     return chunks.withColumn("chunk_key", F.sha2(F.concat(F.lit(prompt + "\n"), F.col("text")), 256))
 
 
-def ask_model(keyed: DataFrame, ask: ModelFunction, cached: DataFrame | None = None, parallel: int | None = None) -> DataFrame:
+def ask_model(
+    keyed: DataFrame, ask: ModelFunction, cached: DataFrame | None = None, parallel: int | None = None,
+    texts: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Responses ``chunk_key, raw`` for the keys that have none yet.
 
     Copies of a text are merged map-side before anything is sent. Requests run in Arrow batches,
-    with at most ``parallel`` of them at a time.
+    with at most ``parallel`` of them at a time. With ``texts``, ``keyed`` has no text, but different keys
+    that are still to be asked are given to it, and it adds the text: so no text is shuffled to be compared.
     """
-    todo = keyed.select("chunk_key", "text").distinct()
+    todo = keyed.select("chunk_key", "text").distinct() if texts is None else keyed
     if cached is not None:
         todo = todo.join(cached.select("chunk_key"), "chunk_key", "left_anti")
+    if texts is not None:
+        todo = texts(todo).select("chunk_key", "text")
     if parallel:
         todo = todo.repartition(parallel, "chunk_key")
 
@@ -39,7 +45,10 @@ def ask_model(keyed: DataFrame, ask: ModelFunction, cached: DataFrame | None = N
     return todo.mapInPandas(run, RESPONSES)
 
 
-def cached_responses(keyed: DataFrame, ask: ModelFunction, cache_path: str, parallel: int | None = None) -> DataFrame:
+def cached_responses(
+    keyed: DataFrame, ask: ModelFunction, cache_path: str, parallel: int | None = None,
+    texts: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Ask for what the cache lacks, append it to the cache, and read everything from there.
 
     A model may answer differently the second time, so nothing downstream may recompute a call:
@@ -49,7 +58,7 @@ def cached_responses(keyed: DataFrame, ask: ModelFunction, cache_path: str, para
     stored = f"{RESPONSES}, asked_at timestamp"
     spark.createDataFrame([], stored).write.mode("append").parquet(cache_path)  # the first run has no cache
     cached = spark.read.schema(stored).parquet(cache_path)
-    asked = ask_model(keyed, ask, cached, parallel).withColumn("asked_at", F.current_timestamp())
+    asked = ask_model(keyed, ask, cached, parallel, texts).withColumn("asked_at", F.current_timestamp())
     asked.write.mode("append").parquet(cache_path)
     wanted = keyed.select("chunk_key").distinct()
     kept = spark.read.schema(stored).parquet(cache_path).join(wanted, "chunk_key", "left_semi")

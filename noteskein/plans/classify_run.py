@@ -25,18 +25,35 @@ def classify(
 ) -> DataFrame:
     """One row per note and task that had to run: ``note_path, task_id, tag, status, error, entries``.
 
-    A task with several tags asks once per note. Equal prompts are asked once. ``entries`` are the
-    tags to write, as JSON texts. Without a cache folder the responses are kept in a checkpoint.
+    A task with several tags asks once per note. Equal prompts, of equal bodies and tasks that word them alike, are asked
+    once. ``entries`` are the tags to write, as JSON texts. Without a cache folder the responses are kept in a checkpoint.
+
+    Pairs of note and task carry a hash of the body; a body is shuffled once, to its list of tasks, and
+    its prompts are made where they are sent.
     """
-    read = notes.select("id", note_entries(F.col("content")).alias("entries"), py_strip(body_text(F.col("content"))).alias("body"))
-    work = C.with_prompts(C.worklist(read, tasks, folder, force)).drop("entries")
-    keyed = work.withColumn("text", F.concat("system", F.lit("\n\n"), "user")).withColumn("chunk_key", F.sha2("text", 256))
-    asked = keyed.where(~is_blank(F.col("body"))).select("chunk_key", "text")
+    body = py_strip(body_text(F.col("content")))
+    key = F.base64(F.unhex(F.sha2(body, 256))).alias("_body")
+    read = notes.select("id", note_entries(F.col("content")).alias("entries"), key, is_blank(body).alias("_blank"))
+    work = checkpointed(C.worklist(read, tasks, folder, force).select("id", "task", "_body", "_blank"))
+    asks = F.struct(*[F.col(f"task.{c}").alias(c) for c in C.PROMPT_FIELDS])
+    request = F.base64(F.unhex(F.sha2(F.concat("_body", F.to_json(asks)), 256)))
+    places = work.select("id", "task", F.when(~F.col("_blank"), request).alias("chunk_key"), "_blank")
+    # Pairs of one body lie in few partitions and merge there.
+    asked = work.where(~F.col("_blank")).groupBy("_body").agg(F.collect_set(asks).alias("_asks"))
+    different = asked.select("_body", F.explode("_asks").alias("task"))
+    different = different.select(request.alias("chunk_key"), "_body", "task")
+
+    def texts(keys: DataFrame) -> DataFrame:
+        lists = keys.groupBy("_body").agg(F.collect_list(F.struct("chunk_key", "task")).alias("_asks"))
+        bodies = notes.where(~is_blank(body)).select(key, body.alias("body")).dropDuplicates(["_body"])
+        met = bodies.join(lists, "_body").select("body", F.explode("_asks").alias("_ask")).select("body", "_ask.*")
+        system, user = C.messages()
+        return met.select("chunk_key", F.concat(system, F.lit("\n\n"), user).alias("text"))
+
     if cache_path:
-        responses = cached_responses(asked, ask, cache_path, parallel)
+        responses = cached_responses(different, ask, cache_path, parallel, texts)
     else:
-        responses = checkpointed(ask_model(asked, ask, None, parallel))
-    places = keyed.select("id", "task", "chunk_key", is_blank(F.col("body")).alias("_blank"))
+        responses = checkpointed(ask_model(different, ask, None, parallel, texts))
     answered = lookup(places, responses, F.col("chunk_key"), "chunk_key", ["id"])
     many = (F.col("task.task_type") == "multi") & (F.size("task.tag_schema") > 0)
     expected = F.transform("task.tag_schema", lambda t: t["tag"])

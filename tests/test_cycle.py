@@ -110,6 +110,29 @@ def test_classification(spark):
     assert {r["note_path"] for r in again.collect()} == {"b.md"}
 
 
+def test_prompts_are_not_shuffled(spark, monkeypatch):
+    import re
+
+    from noteskein.plans import classify_run
+
+    plans = []
+    kept = classify_run.checkpointed
+    monkeypatch.setattr(classify_run, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    tasks = spark.createDataFrame([(i, f"t{i}", "single", f"p{i % 3}", "n", "", None, "text", True, None, None, None) for i in range(6)], TASKS)
+    notes = spark.createDataFrame([("a.md", "one body"), ("b.md", "one body"), ("c.md", "other"), (None, "other"), ("d.md", " ")], "id string, content string")
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(prompts):
+        asked.add(len(prompts))
+        return [p[-20:] for p in prompts]
+
+    results = classify(notes, tasks, model).collect()
+    assert len(results) == 30 and sum(r["status"] == "failed" for r in results) == 6
+    # Two bodies with three wordings; of a prompt, only its key and its body's key are dealt out.
+    assert asked.value == 6
+    assert not any(re.search(r"Exchange hashpartitioning\([^)]*text#", plan) for plan in plans)
+
+
 def test_large_task_list(spark, no_broadcast):
     from noteskein.operators import classify as C
 
