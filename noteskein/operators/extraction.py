@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from noteskein.functions import fixed
@@ -14,6 +14,9 @@ from noteskein.schemas import RESPONSES
 
 ModelFunction = Callable[[list[str]], list[str]]
 
+#: Texts that are given to the model function at once.
+REQUESTS = 256
+
 
 def with_chunk_key(chunks: DataFrame, prompt: str) -> DataFrame:
     """Key of a request: equal text under an equal prompt is asked once."""
@@ -26,8 +29,8 @@ def ask_model(
 ) -> DataFrame:
     """Responses ``chunk_key, raw`` for the keys that have none yet.
 
-    Copies of a text are merged map-side before anything is sent. Requests run in Arrow batches,
-    with at most ``parallel`` of them at a time. With ``texts``, ``keyed`` has no text, but different keys
+    Copies of a text are merged map-side before anything is sent. Requests run in parts of Arrow batches, so a
+    worker holds few texts as Python values, with at most ``parallel`` of them at a time. With ``texts``, ``keyed`` has no text, but different keys
     that are still to be asked are given to it, and it adds the text: so no text is shuffled to be compared.
     """
     todo = keyed.select("chunk_key", "text").distinct() if texts is None else keyed
@@ -38,11 +41,14 @@ def ask_model(
     if parallel:
         todo = todo.repartition(parallel, "chunk_key")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"chunk_key": batch["chunk_key"], "raw": ask(batch["text"].tolist())})
+            for start in range(0, batch.num_rows, REQUESTS):
+                part = batch.slice(start, REQUESTS)
+                raw = pa.array(ask(part.column("text").to_pylist()), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("chunk_key"), raw], ["chunk_key", "raw"])
 
-    return todo.mapInPandas(run, RESPONSES)
+    return todo.select("chunk_key", "text").mapInArrow(run, RESPONSES)
 
 
 def cached_responses(
