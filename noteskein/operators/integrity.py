@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from noteskein.functions.text import is_valid_key, py_strip
-from noteskein.scale import lookup
+from noteskein.scale import checkpointed, lookup
 
 
 def valid_rows(table: DataFrame, *key_columns: str) -> DataFrame:
@@ -68,7 +68,11 @@ def valid_edges(resolved: DataFrame) -> DataFrame:
 
 
 def edge_quality(resolved: DataFrame) -> DataFrame:
-    """Per edge type: rows, removed rows, and how many distinct names are missing at each end."""
+    """Per edge type: rows, removed rows, and how many distinct names are missing at each end.
+
+    The edges are worked out once and written, as both counts read them.
+    """
+    resolved = checkpointed(resolved.select("edge_type", "src", "dst", "src_id", "dst_id"))
     lost = F.col("src_id").isNull() | F.col("dst_id").isNull()
     counts = resolved.groupBy("edge_type").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(lost).alias("n_removed")
