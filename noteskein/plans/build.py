@@ -43,7 +43,8 @@ def declared_aliases(notes: DataFrame) -> DataFrame:
 def extract(notes: DataFrame, ask: ModelFunction, prompt: str, cache_path: str, parallel: int | None = None) -> DataFrame:
     """Triples of notes, through the response cache."""
     bodies = notes.select("id", body_text(F.col("content")).alias("body"))
-    keyed = with_chunk_key(chunk_notes(bodies), prompt)
+    # Chunks are cut and hashed once; what needs no text reads keys only.
+    keyed = checkpointed(with_chunk_key(chunk_notes(bodies), prompt))
     responses = cached_responses(keyed, ask, cache_path, parallel)
     return triples_from_responses(keyed, responses).select(*FACT, F.col("note_id").alias("source_file"))
 
@@ -61,7 +62,7 @@ def renamed_triples(notes: DataFrame, raw_triples: DataFrame, alias_scope: str =
 
 def assemble(entities: DataFrame, edges: DataFrame, references: DataFrame, notes: DataFrame) -> Graph:
     """A graph from its entities and edges: metadata, links of notes, and types."""
-    with_metadata = metadata.apply_metadata(entities, notes)
+    with_metadata = checkpointed(metadata.apply_metadata(entities, notes))
     nodes = notes_graph.note_nodes(notes)
     typed, links = notes_graph.post_process(with_metadata, nodes)
     return Graph(
@@ -220,7 +221,8 @@ def full_cycle(
     markers = kept_markers(spark, root, batch_id).select(F.col("place").alias("id"))
     tracking.orphaned(markers, notes).write.mode("overwrite").parquet(f"{root}/evicted/batch={batch_id}")
     todo = tracking.to_process(detected, tracking.unprocessed(notes.select("id"), markers))
-    changed = notes.join(todo.select(F.col("path").alias("id")), "id", "left_semi")
+    todo = checkpointed(todo)
+    changed = checkpointed(notes.join(todo.select(F.col("path").alias("id")), "id", "left_semi").select("id", "content"))
     fresh = extract(changed, ask, prompt, f"{root}/responses").withColumn("extracted_at", now)
     hashed = changed.select("id", body_hash(F.col("content")).alias("content_hash"))
     tables.append_extraction(fresh, hashed, root, batch_id)

@@ -78,7 +78,8 @@ def read_log(spark: SparkSession, root: str, name: str, upto: int | None, bucket
 
 def _write(rows: DataFrame, path: str, name: str) -> None:
     bucketed = rows.select(*[c.split()[0] for c in TABLES[name].split(", ")]).withColumn("bucket", _bucket(_BUCKETED[name]))
-    bucketed.write.mode("overwrite").partitionBy("bucket").parquet(path)
+    # A bucket in few files, not in one per task; one that is too large is dealt to several tasks.
+    bucketed.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def _buckets_of(rows: DataFrame, name: str) -> list[int]:
