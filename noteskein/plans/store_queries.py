@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from noteskein.operators import extraction, triples as T
 from noteskein.plans import views as V
 from noteskein.plans.registry import query
+from noteskein.scale import checkpointed
 from noteskein.sinks import tables as W
 from noteskein.sources import tables as R
 from noteskein.session import ensure_checkpoint_dir
@@ -46,7 +47,7 @@ _TRIPLE_COLUMNS = "source_category, source_label, relationship, target_category,
 def stored_triples(spark, sf):
     """Stamped triples through the append-only log, where a second batch of the same notes replaces the first."""
     folder = _folder(spark)
-    found = V.triples(spark, sf).select(*_TRIPLE_COLUMNS.split(", "))
+    found = checkpointed(V.triples(spark, sf).select(*_TRIPLE_COLUMNS.split(", ")))
     stamped = T.stamp(found, F.col("source_file"), F.lit("2024"))
     notes = stamped.select(F.col("source_file").alias("id"), F.lit("h").alias("content_hash")).distinct()
     for batch in (1, 2):
@@ -59,7 +60,7 @@ def stored_triples_csv(spark, sf):
     """Triples as the cached files of many notes, read as one scan."""
     folder = _folder(spark)
     stamped = T.stamp(V.triples(spark, sf).select(*_TRIPLE_COLUMNS.split(", ")), F.col("source_file"), F.lit("2024"))
-    stamped.write.options(header=True, escape='"').csv(folder)
+    stamped.write.options(**W.CSV).csv(folder)
     return R.read_triples(spark, folder).drop("extracted_at")
 
 

@@ -22,7 +22,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     It is a fraction of a checkpoint of rows, and Spark knows its size when it plans what is joined to it.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

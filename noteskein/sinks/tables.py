@@ -6,27 +6,34 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from noteskein.functions.text import inbox_path
 from noteskein.operators.tracking import upsert
-from noteskein.scale import lookup
+from noteskein.scale import checkpointed, lookup
 from noteskein.sources.tables import EDGE_FILES
 
 
+#: Rows of one CSV file: a file whose values may span lines is read by one task.
+ROWS_PER_FILE = 1 << 20
+CSV = {"header": True, "escape": '"', "maxRecordsPerFile": ROWS_PER_FILE}
+
+
 def append_extraction(triples: DataFrame, notes: DataFrame, root: str, batch_id: int) -> None:
     """Append the triples of a batch and one marker per note, also for notes without any triple.
 
     Both are append-only logs keyed by note and body hash; ``current_triples`` picks what counts.
     A batch overwrites its own folders, also with no rows, and its markers come last: what has no marker does not count.
     """
-    counts = triples.groupBy(F.col("source_file").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
     triples.write.mode("overwrite").parquet(f"{root}/triples/batch={batch_id}")
+    kept = triples.sparkSession.read.schema(triples.schema).parquet(f"{root}/triples/batch={batch_id}")
+    counts = kept.groupBy(F.col("source_file").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
     markers = notes.select("id", "content_hash").join(counts, "id", "left").select("id", "content_hash", F.coalesce("_n", F.lit(0)).alias("n_rels"))
     markers.write.mode("overwrite").parquet(f"{root}/processed/batch={batch_id}")
 
 
 def current_triples(triples: DataFrame, processed: DataFrame) -> DataFrame:
-    """Triples of the latest batch of every note."""
-    latest = processed.groupBy("id").agg(F.max("batch").alias("_latest"))
+    """Triples of the latest batch of every note. A batch that is no note's latest is not opened."""
+    latest = checkpointed(processed.groupBy("id").agg(F.max("batch").alias("_latest")))
     spread_by = [c for c in triples.columns if c != "source_file"]
-    found = lookup(triples, latest, F.col("source_file"), "id", spread_by, how="inner")
+    alive = triples.where(F.col("batch").isin([r[0] for r in latest.select("_latest").distinct().collect()]))
+    found = lookup(alive, latest, F.col("source_file"), "id", spread_by, how="inner")
     return found.where(F.col("batch") == F.col("_latest")).drop("_latest")
 
 
@@ -50,19 +57,21 @@ def latest_version(spark: SparkSession, root: str) -> str | None:
 
 
 def write_entities_csv(entities: DataFrame, folder: str) -> None:
-    """One folder of CSV parts per category: id, label, metadata."""
+    """One folder of CSV parts per category: id, label, metadata. The rows are worked out once."""
+    entities = checkpointed(entities)
     for category in ("Person", "Company"):
         rows = entities.where(F.col("category") == category).select("id", "label", "metadata")
-        rows.write.mode("overwrite").options(header=True, escape='"').csv(f"{folder}/{category.lower()}.csv")
+        rows.write.mode("overwrite").options(**CSV).csv(f"{folder}/{category.lower()}.csv")
 
 
 def write_edges_csv(edges: DataFrame, folder: str) -> None:
-    """One folder of CSV parts per edge type, in global order."""
+    """One folder of CSV parts per edge type, in global order. The rows are worked out once."""
+    edges = checkpointed(edges)
     for name, (edge_type, source, target) in EDGE_FILES.items():
         rows = edges.where(F.col("edge_type") == edge_type).orderBy("src", "dst", "relationship")
-        rows.select(F.col("src").alias(source), F.col("dst").alias(target), "relationship").write.mode("overwrite").options(
-            header=True, escape='"'
-        ).csv(f"{folder}/{name}.csv")
+        rows.select(F.col("src").alias(source), F.col("dst").alias(target), "relationship").write.mode("overwrite").options(**CSV).csv(
+            f"{folder}/{name}.csv"
+        )
 
 
 def append_changes(changes: DataFrame, path: str) -> None:
