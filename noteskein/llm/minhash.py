@@ -213,8 +213,8 @@ def rest_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, joining:
     return block_rows(members, nodes, roots).mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node`` and ``root`` of the nodes with a similar one."""
+def similar_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """``node`` and ``root`` of the nodes with a similar one; ``candidates`` (``a``, ``b``) are tried beside those of the buckets."""
     keyed = nodes.select("node", "size", F.posexplode("keys").alias("band", "key"))
     buckets = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
     members = stored(keyed.join(stored(buckets.where("n > 1")), ["band", "key"]))
@@ -223,7 +223,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     hubs = scored.groupBy("band", "key").agg(F.max_by(F.struct("node", "size"), F.struct("score", "node")).alias("hub"))
     stars = members.join(stored(hubs), ["band", "key"]).where(F.col("node") != F.col("hub.node")).withColumn("other", F.col("hub.size"))
     stars = stars.where(_near_in_size("size", "other")).select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b"))
-    tried = stored(stars.distinct())
+    tried = stored((stars if candidates is None else stars.unionByName(candidates)).distinct())
     links = stored(verified(tried, docs, nodes))
     roots = written(components(links))
     for joining in (True, False):
@@ -235,12 +235,19 @@ def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return roots
 
 
-def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``doc_id``, ``fp`` of every row, and ``fp``, ``root``, ``component_id`` of every distinct text."""
+def classified(docs: DataFrame, candidates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``doc_id``, ``fp`` of every row, and ``fp``, ``root``, ``component_id`` of every distinct text.
+
+    ``candidates`` are pairs of texts ``a``, ``b`` (``fp``) found elsewhere, to be decided on like those of the buckets.
+    """
     signed = stored(signatures(docs))
     texts = stored(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("node").alias("node")))
     nodes = signed.groupBy("node").agg(F.min("fp").alias("rep"), F.min("size").alias("size"), F.min("keys").alias("keys"), F.min("bits").alias("bits"))
-    roots = similar_links(docs, stored(nodes))
+    if candidates is not None:
+        of_a, of_b = (texts.select(F.col("fp").alias(c), F.col("node").alias(f"of_{c}")) for c in ("a", "b"))
+        candidates = candidates.join(of_a, "a").join(of_b, "b").where("of_a != of_b")
+        candidates = candidates.select(F.greatest("of_a", "of_b").alias("a"), F.least("of_a", "of_b").alias("b"))
+    roots = similar_links(docs, stored(nodes), candidates)
     rooted = stored(texts.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")))
     least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     return signed.select("doc_id", "fp"), written(rooted.join(least, "root").select("fp", "root", "component_id"))

@@ -231,13 +231,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def close_texts(docs: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of different texts, by their hashes, that have all components of those with close fingerprints.
+
+    A text is paired with the smallest text of its fingerprint, and such texts along the links of the bit-sliced search.
+    """
+    prints = written(fingerprints(docs.select(text_key().alias("doc_id"), "text")).distinct())
+    first = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    equal = prints.join(first, "fp").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    of_a, of_b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"of_{c}")) for c in ("a", "b"))
+    near = links(first.select("fp")).join(of_a, "a").join(of_b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    return equal.unionByName(near).where("a != b").distinct()
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component of similar texts (``minhash``), the one with the smallest id, with all columns.
 
+    Candidates are the texts that the bit-sliced search links, and those that share min-hashes, as most near copies are
+    beyond the radius of the fingerprints; the texts decide both.
     Rows that repeat an id, or have none, are told apart by text: of the rows with the smallest id of a
     component one stays, and a row without an id stays only where no row of its component has one.
     """
-    prints, classes = minhash.classified(docs)
+    prints, classes = minhash.classified(docs, close_texts(docs))
     marked = prints.join(classes, "fp")
     gone = marked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     repeated = written(prints.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")))

@@ -1,6 +1,7 @@
 """The pipeline's near-duplicate stage against a brute force on whole texts, at five words and a similarity of 0.8."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from noteskein.llm import minhash, simhash
 from tests.llm import brute
@@ -118,3 +119,32 @@ def test_similar_odd(spark, odd_docs, no_docs):
     found = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, found), key=str) == [(1, "same words here now ok"), (2, None), (4, "other")]
     assert simhash.keep_one(odd_docs).count() < odd_docs.count() and simhash.keep_one(no_docs).isEmpty()
+
+
+def test_bit_sliced_search_finds_candidates(spark, monkeypatch):
+    """Without a candidate from min-hashes, texts within two bits are found by their fingerprints, and the texts decide."""
+    rng = np.random.default_rng(7)
+    base = [f"w{n}" for n in range(2000)]
+    pairs = []
+    for k in range(12):
+        own = list(base)
+        own[k * 150] = f"x{k}"
+        pairs.append((k, " ".join(own)))
+    # Equal fingerprints by a long repeated line, and other texts beside it.
+    line = "red green blue grey pink gold lime " * 60
+    pairs += [(20 + k, line + " ".join(f"t{k}x{n}" for n in range(12))) for k in range(2)]
+    pairs += [(30, "two words"), (31, "Two  WORDS"), (32, " ".join(f"y{rng.integers(0, 900)}" for _ in range(300)))]
+    prints = {i: simhash.fingerprint(t.encode()) for i, t in pairs}
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    key = dict(docs.select(simhash.text_key(), "doc_id").collect())
+    parent = {i: i for i in prints}
+    for a, b in sorted((sorted((key[r["a"]], key[r["b"]])) for r in simhash.close_texts(docs).collect())):
+        low, high = sorted((parent[a], parent[b]))
+        parent = {i: low if p == high else p for i, p in parent.items()}
+    close = [(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= simhash.RADIUS]
+    assert len(close) > 3 and (20, 21) in close and all(parent[i] == parent[j] for i, j in close)
+
+    monkeypatch.setattr(minhash, "_near_in_size", lambda x, y: F.lit(False))
+    monkeypatch.setattr(minhash, "rest_pairs", lambda members, *_: members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    stay = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert stay == {i for i in parent if parent[i] == i or i == 21}
