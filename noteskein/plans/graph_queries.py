@@ -89,9 +89,9 @@ def edge_routing(spark, sf):
     "triples",
 )
 def alias_scoped(spark, sf):
-    known = T.keep_known_categories(V.triples(spark, sf)).groupBy(*T.FACT, "source_file").agg(F.count(F.lit(1)).alias("n"))
-    renamed = aliases.rename_scoped(known, V.scoped_aliases(spark, sf))
-    return renamed.groupBy("source_label", "relationship", "target_label").agg(F.sum("n").alias("n"))
+    # Few facts repeat within a file, so they are merged once only, after the renaming.
+    renamed = aliases.rename_scoped(T.keep_known_categories(V.triples(spark, sf)), V.scoped_aliases(spark, sf))
+    return renamed.groupBy("source_label", "relationship", "target_label").agg(F.count(F.lit(1)).alias("n"))
 
 
 
