@@ -61,12 +61,10 @@ def reference_edges(triples: DataFrame, entities: DataFrame, notes: DataFrame) -
         .groupBy("category", "src", "dst")
         .agg(F.sum("_n").alias("n_refs"))
     )
-    keys = entities.select(F.struct("category", "id").alias("_entity")).distinct()
-    known = lookup(
-        counted, keys, F.struct("category", F.col("src").alias("id")), "_entity", ["dst"], how="inner"
-    )
-    note_ids = notes.select(F.col("id").alias("_note")).distinct()
-    known = lookup(known, note_ids, F.col("dst"), "_note", ["category", "src"], how="inner")
+    # Only whether they exist is asked, so the counts meet the keys as they are, without a copy of their own keys.
+    keys = entities.select(F.col("category").alias("_category"), F.col("id").alias("_id"))
+    known = counted.join(keys, F.col("src").eqNullSafe(F.col("_id")) & (F.col("category") == F.col("_category")), "left_semi")
+    known = known.join(notes.select(F.col("id").alias("dst")), "dst", "left_semi")
     return known.select(
         F.concat(F.upper("category"), F.lit("_REFERENCE")).alias("edge_type"), "src", "dst", "n_refs"
     )
