@@ -171,7 +171,8 @@ def grow(notes: DataFrame, replaced: DataFrame, root: str, batch_id: int) -> Gra
     first = incremental.published(spark, log, batch_id) is None
     wanted = notes.select("id") if first else replaced.select("id").distinct()
     wanted = checkpointed(wanted)
-    here = notes.join(wanted, "id", "left_semi")
+    # The first time that is all notes, whose texts need not be shuffled to meet their own ids.
+    here = notes.where(F.col("id").isNotNull()) if first else notes.join(wanted, "id", "left_semi")
     said = renamed_triples(here, kept_triples(spark, root, here).select(*FACT, "source_file"))
     incremental.apply_batch(spark, log, batch_id, wanted.select(F.col("id").alias("source_file")), said)
     return publish(assemble(
