@@ -78,7 +78,8 @@ def triples_from_responses(keyed: DataFrame, responses: DataFrame) -> DataFrame:
         "chunk_key", read_triples(clean_response(strip_reasoning(F.col("raw")))).alias("_triples")
     )
     known = lambda t: t["source_category"].isin(fixed.CATEGORIES) & t["target_category"].isin(fixed.CATEGORIES)
-    parsed = parsed.select("chunk_key", F.filter("_triples", known).alias("_triples")).where(F.size("_triples") > 0)
+    # Behind a generator the filter on the size reads what was parsed, and does not parse again.
+    parsed = parsed.select("chunk_key", F.explode_outer(F.array(F.filter("_triples", known))).alias("_triples")).where(F.size("_triples") > 0)
     places = keyed.select("note_id", "chunk_index", "chunk_key")
     found = lookup(places, parsed, F.col("chunk_key"), "chunk_key", ["note_id", "chunk_index"], how="inner")
     return found.select("note_id", "chunk_index", F.posexplode("_triples").alias("ord", "_t")).select(

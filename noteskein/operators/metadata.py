@@ -123,15 +123,26 @@ def merge_entries(frontmatter: Column, sections: Column, pairs: Column, frontmat
     return clean_entries(last_per_key(F.concat(*parts)))
 
 
+def metadata_parts(notes: DataFrame) -> DataFrame:
+    """``id, label`` and the two parts of a text that metadata is read from: the frontmatter block, and all from the first ``##`` on."""
+    content = F.col("content")
+    marked = F.when(F.contains(content, F.lit("##")), _from_first_mark(content))
+    return notes.select("id", "label", frontmatter_block(content).alias("_block"), marked.alias("_marked"))
+
+
 def note_metadata(notes: DataFrame, frontmatter_wins: bool = False) -> DataFrame:
     """``id, label, entries`` of every note. The three sources are computed once, then merged."""
-    content = F.col("content")
-    sources = notes.select(
+    return parts_metadata(metadata_parts(notes), frontmatter_wins)
+
+
+def parts_metadata(parts: DataFrame, frontmatter_wins: bool = False) -> DataFrame:
+    """``id, label, entries`` from ``metadata_parts``."""
+    sources = parts.select(
         "id",
         "label",
-        without_system_keys(read_entries(frontmatter_block(content))).alias("_front"),
-        section_entries(content).alias("_sections"),
-        pair_entries(content).alias("_pairs"),
+        without_system_keys(read_entries(F.col("_block"))).alias("_front"),
+        section_entries(F.col("_marked")).alias("_sections"),
+        pair_entries(F.col("_marked")).alias("_pairs"),
     )
     merged = merge_entries(F.col("_front"), F.col("_sections"), F.col("_pairs"), frontmatter_wins)
     return sources.select("id", "label", merged.alias("entries"))
@@ -144,6 +155,14 @@ def match_notes(entities: DataFrame, notes: DataFrame) -> DataFrame:
     return names.join(first, "_name").select("category", "id", "note_id")
 
 
+def _parts_of(notes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Parts of the notes with an ``id`` in ``wanted``, which has each id once.
+
+    Spark would move a semi join below the cutting of texts, and shuffle whole texts; an inner join stays above it.
+    """
+    return metadata_parts(notes).join(wanted, "id")
+
+
 def apply_metadata(entities: DataFrame, notes: DataFrame, frontmatter_wins: bool = False) -> DataFrame:
     """Entities with the metadata of their note as JSON, blank where there is none.
 
@@ -151,7 +170,7 @@ def apply_metadata(entities: DataFrame, notes: DataFrame, frontmatter_wins: bool
     """
     matches = match_notes(entities, notes)
     wanted = matches.select(F.col("note_id").alias("id")).distinct()
-    metadata = note_metadata(notes.join(wanted, "id", "left_semi"), frontmatter_wins).select(
+    metadata = parts_metadata(_parts_of(notes, wanted), frontmatter_wins).select(
         F.col("id").alias("note_id"),
         F.when(F.size("entries") > 0, entries_json(F.col("entries"))).alias("_metadata"),
     )
@@ -163,7 +182,7 @@ def apply_metadata(entities: DataFrame, notes: DataFrame, frontmatter_wins: bool
 def lookup_metadata(notes: DataFrame, requests: DataFrame) -> DataFrame:
     """Value of one key per requested ``id, key``."""
     wanted = requests.select("id").distinct()
-    entries = note_metadata(notes.join(wanted, "id", "left_semi")).select("id", "entries")
+    entries = parts_metadata(_parts_of(notes, wanted)).select("id", "entries")
     found = lookup(requests, entries, F.col("id"), "id", ["key"])
     value = F.get(F.filter("entries", lambda e: e["key"] == F.col("key")), F.lit(0))["value"]
     return found.withColumn("value", value).drop("entries")

@@ -25,11 +25,8 @@ def hash_notes(notes: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return read
 
 
-def detect_changes(listing: DataFrame, state: DataFrame, hash_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """One row per path: created, modified, metadata_only, unchanged or deleted.
-
-    The listing (path, size, time) decides first; only new or touched paths are read and hashed.
-    """
+def compare_listing(listing: DataFrame, state: DataFrame) -> DataFrame:
+    """Listing beside the active state; ``_kind`` is created, touched, unchanged or deleted. No text is read."""
     known = state.where(F.col("status") == "active").select(
         "path", "file_id", "file_size", F.col("modified").alias("_old_modified"), F.col("content_hash").alias("old_hash")
     )
@@ -41,9 +38,24 @@ def detect_changes(listing: DataFrame, state: DataFrame, hash_of: Callable[[Data
         F.when(F.col("_seen").isNull(), "deleted").when(F.col("file_id").isNull(), "created")
         .when(same, "unchanged").otherwise("touched"),
     )
-    both = checkpointed(both)
-    hashes = hash_of(both.where(F.col("_kind").isin("created", "touched")).select("path"))
-    hashed = both.join(hashes, "path", "left")
+    return checkpointed(both)
+
+
+def paths_to_hash(compared: DataFrame) -> DataFrame:
+    return compared.where(F.col("_kind").isin("created", "touched")).select("path")
+
+
+def detect_changes(listing: DataFrame, state: DataFrame, hash_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row per path: created, modified, metadata_only, unchanged or deleted.
+
+    The listing (path, size, time) decides first; only new or touched paths are read and hashed.
+    """
+    return decide_changes(compare_listing(listing, state), hash_of)
+
+
+def decide_changes(compared: DataFrame, hash_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``detect_changes`` from the compared listing on."""
+    hashed = compared.join(hash_of(paths_to_hash(compared)), "path", "left")
     kind = (
         F.when(F.col("_kind") != "touched", F.col("_kind"))
         .when(F.col("new_hash") == F.col("old_hash"), "metadata_only")

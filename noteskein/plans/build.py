@@ -36,7 +36,8 @@ def declared_aliases(notes: DataFrame) -> DataFrame:
     )
     value = F.parse_json(value_of(F.col("_entries"), "resolves"))
     pairs = aliases.as_mapping(aliases.parse_alias_lines(let(value, aliases.alias_lines)))
-    declared = read.select("source_file", "modified", pairs.alias("aliases"))
+    # Behind a generator the filter on the size reads what was parsed; else the YAML of every note is parsed for the filter, and again.
+    declared = read.select("source_file", "modified", F.explode_outer(F.array(pairs)).alias("aliases"))
     return declared.where(F.size("aliases") > 0)
 
 
@@ -64,7 +65,8 @@ def assemble(entities: DataFrame, edges: DataFrame, references: DataFrame, notes
     """A graph from its entities and edges: metadata, links of notes, and types."""
     with_metadata = checkpointed(metadata.apply_metadata(entities, notes))
     nodes = notes_graph.note_nodes(notes)
-    typed, links = notes_graph.post_process(with_metadata, nodes)
+    # Links and types ask for names only, several times: they are written once, without the texts.
+    typed, links = notes_graph.post_process(with_metadata, checkpointed(nodes.select("id", "label", "entity_types")))
     return Graph(
         entities=typed,
         edges=edges,
@@ -161,10 +163,10 @@ def publish(graph: Graph, root: str, batch_id: int) -> Graph:
     return read_graph(graph.notes.sparkSession, target, graph)
 
 
-def grow(notes: DataFrame, replaced: DataFrame, root: str, batch_id: int) -> Graph:
+def grow(notes: DataFrame, replaced: DataFrame, root: str, batch_id: int, texts: DataFrame | None = None) -> Graph:
     """The graph after a batch that replaced some notes (``id``): their facts alone are taken out and put in.
 
-    Where no batch was published before, all notes count as replaced.
+    Where no batch was published before, all notes count as replaced. ``texts`` are some of the notes, with all replaced ones among them.
     """
     spark = notes.sparkSession
     log = f"{root}/facts"
@@ -172,7 +174,7 @@ def grow(notes: DataFrame, replaced: DataFrame, root: str, batch_id: int) -> Gra
     wanted = notes.select("id") if first else replaced.select("id").distinct()
     wanted = checkpointed(wanted)
     # The first time that is all notes, whose texts need not be shuffled to meet their own ids.
-    here = notes.where(F.col("id").isNotNull()) if first else notes.join(wanted, "id", "left_semi")
+    here = notes.where(F.col("id").isNotNull()) if first else (notes if texts is None else texts).join(wanted, "id", "left_semi")
     said = renamed_triples(here, kept_triples(spark, root, here).select(*FACT, "source_file"))
     incremental.apply_batch(spark, log, batch_id, wanted.select(F.col("id").alias("source_file")), said)
     return publish(assemble(
@@ -207,6 +209,8 @@ def full_cycle(
     references follow from the facts of touched notes (``incremental``); the first cycle of a store builds them all.
     """
     spark, now = notes.sparkSession, F.current_timestamp() if now is None else now
+    # Notes may come from files or joins: they are read once, and what needs no text reads the other columns.
+    notes = checkpointed(notes)
     state = stored(spark, f"{root}/state", TRACKING + ", version int").where(F.col("version") < batch_id)
     last = state.agg(F.max("version")).first()[0]
     state = state.where(F.col("version") == F.lit(last)).drop("version")
@@ -215,15 +219,32 @@ def full_cycle(
         state = tracking.apply_moves(state, places.net_moves(moves), now)
         state = state.where((F.col("status") != "deleted") | F.col("path").isNotNull())
     listing = notes.select(F.col("id").alias("path"), "length", "modified")
-    tracking.detect_changes(listing, state, tracking.hash_notes(notes)).write.mode("overwrite").parquet(f"{root}/detected/batch={batch_id}")
+    compared = tracking.compare_listing(listing, state)
+    markers = checkpointed(kept_markers(spark, root, batch_id).select(F.col("place").alias("id")))
+    missing = tracking.unprocessed(notes.select("id"), markers)
+    moved = [] if moves is None else [moves.select(F.col(c).alias("id")) for c in ("old_path", "new_path")]
+    if last is None:
+        # Without a state every note is new, and its text need not be shuffled to meet its own id.
+        texts = notes.where(F.col("id").isNotNull())
+        hash_of = lambda _: texts.select(F.col("id").alias("path"), body_hash(F.col("content")).alias("new_hash"))
+    else:
+        # All texts meet the ids of this batch once; what asks for some of them later reads these.
+        asked = [tracking.paths_to_hash(compared).select(F.col("path").alias("id")), missing.select("id"), *moved]
+        # Written, the ids have a size that Spark knows, and texts stay put while it is small.
+        asked = checkpointed(reduce(DataFrame.unionByName, asked).distinct())
+        texts = checkpointed(notes.join(asked, "id", "left_semi"))
+        hash_of = tracking.hash_notes(texts)
+    tracking.decide_changes(compared, hash_of).write.mode("overwrite").parquet(f"{root}/detected/batch={batch_id}")
     detected = spark.read.parquet(f"{root}/detected/batch={batch_id}")
     tracking.change_log(detected, now).write.mode("overwrite").parquet(f"{root}/changes/batch={batch_id}")
 
-    markers = kept_markers(spark, root, batch_id).select(F.col("place").alias("id"))
     tracking.orphaned(markers, notes).write.mode("overwrite").parquet(f"{root}/evicted/batch={batch_id}")
-    todo = tracking.to_process(detected, tracking.unprocessed(notes.select("id"), markers))
+    todo = tracking.to_process(detected, missing)
     todo = checkpointed(todo)
-    changed = checkpointed(notes.join(todo.select(F.col("path").alias("id")), "id", "left_semi").select("id", "content"))
+    if last is None:
+        changed = texts.select("id", "content")
+    else:
+        changed = checkpointed(texts.join(todo.select(F.col("path").alias("id")), "id", "left_semi").select("id", "content"))
     fresh = extract(changed, ask, prompt, f"{root}/responses").withColumn("extracted_at", now)
     hashed = changed.select("id", body_hash(F.col("content")).alias("content_hash"))
     tables.append_extraction(fresh, hashed, root, batch_id)
@@ -237,6 +258,4 @@ def full_cycle(
         return rebuild(notes, kept_triples(spark, root), root, batch_id, alias_scope)
     touched = [detected.where(F.col("change_type") != "unchanged").select(F.col("path").alias("id")), todo.select(F.col("path").alias("id"))]
     touched.append(spark.read.schema("id string").parquet(f"{root}/evicted/batch={batch_id}"))
-    if moves is not None:
-        touched += [moves.select(F.col(c).alias("id")) for c in ("old_path", "new_path")]
-    return grow(notes, reduce(DataFrame.unionByName, touched), root, batch_id)
+    return grow(notes, reduce(DataFrame.unionByName, touched + moved), root, batch_id, texts)
