@@ -162,35 +162,39 @@ def fillings(counts: list[int], lengths: list[int], room: int, capacity_nodes: i
     nodes = 0
     taken: list[int] = []
     used: dict[int, int] = {}
-
-    def grow(room: int, most: int) -> bool:
-        """True when the search is over."""
-        nonlocal nodes
-        nodes += 1
-        if room == 0 or not lengths or lengths[0] > room:
-            found.append(tuple(taken))
-            return len(found) >= FILLINGS or nodes >= capacity_nodes
-        if room <= most and counts[room] > used.get(room, 0):
-            found.append((*taken, room))
-            return len(found) >= FILLINGS or nodes >= capacity_nodes
-        at, any_fits = bisect_right(lengths, min(room, most)) - 1, False
-        while at >= 0:
-            length = lengths[at]
-            if counts[length] > used.get(length, 0):
-                any_fits = True
+    # Depth first without recursion, as thousands of short pieces may go into one sequence: each frame has its room, the
+    # place of the next length to try, and whether any piece fitted. ``enter`` is the room and the longest piece of a new node.
+    stack: list[list] = []
+    enter: tuple[int, int] | None = (room, room)
+    while enter or stack:
+        if enter:
+            (room, most), enter = enter, None
+            nodes += 1
+            if room == 0 or not lengths or lengths[0] > room:
+                found.append(tuple(taken))
+            elif room <= most and counts[room] > used.get(room, 0):
+                found.append((*taken, room))
+            else:
+                stack.append([room, bisect_right(lengths, min(room, most)) - 1, False])
+                continue
+        else:
+            room, at, any_fits = stack[-1]
+            while at >= 0 and counts[lengths[at]] <= used.get(lengths[at], 0):
+                at -= 1
+            if at >= 0:
+                length = lengths[at]
+                stack[-1][1:] = at - 1, True
                 taken.append(length)
                 used[length] = used.get(length, 0) + 1
-                over = grow(room - length, length)
-                taken.pop()
-                used[length] -= 1
-                if over:
-                    return True
-            at -= 1
-        if not any_fits:
-            found.append(tuple(taken))
-        return len(found) >= FILLINGS or nodes >= capacity_nodes
-
-    grow(room, room)
+                enter = room - length, length
+                continue
+            stack.pop()
+            if not any_fits:
+                found.append(tuple(taken))
+        if len(found) >= FILLINGS or nodes >= capacity_nodes:
+            break
+        if taken:
+            used[taken.pop()] -= 1
     found = sorted(set(found), key=lambda f: (-sum(f), len(f)))
     kept: list[tuple[int, ...]] = []
     for filling in found:
