@@ -60,7 +60,7 @@ def stored_triples_csv(spark, sf):
     """Triples as the cached files of many notes, read as one scan."""
     folder = _folder(spark)
     stamped = T.stamp(V.triples(spark, sf).select(*_TRIPLE_COLUMNS.split(", ")), F.col("source_file"), F.lit("2024"))
-    stamped.write.options(**W.CSV).csv(folder)
+    W.write_triples_csv(stamped, folder)
     return R.read_triples(spark, folder).drop("extracted_at")
 
 

@@ -56,6 +56,11 @@ def latest_version(spark: SparkSession, root: str) -> str | None:
     return max(paths, key=lambda p: int(p.rsplit("=", 1)[1]), default=None)
 
 
+def write_triples_csv(triples: DataFrame, folder: str) -> None:
+    """Stamped triples as one folder of CSV parts. They are as many as the facts of all notes, with names repeated, so they are compressed."""
+    triples.write.options(**CSV, compression="gzip").csv(folder)
+
+
 def write_entities_csv(entities: DataFrame, folder: str) -> None:
     """One folder of CSV parts per category: id, label, metadata. The rows are worked out once."""
     entities = checkpointed(entities)
