@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from noteskein.functions.text import is_valid_key, py_strip
+from noteskein.functions.text import is_valid_key, let, py_strip
 from noteskein.scale import checkpointed, lookup
 
 
@@ -37,23 +37,22 @@ def sample_invalid(table: DataFrame, order: list[str], *key_columns: str, rows:
 
 
 def _spellings(entities: DataFrame) -> DataFrame:
-    """One row per category and lower-case id: the smallest id, and all ids spelt that way."""
-    return entities.groupBy(F.struct("category", F.lower("id").alias("_lower")).alias("_probe")).agg(
-        F.min("id").alias("_first"), F.collect_set("id").alias("_ids")
-    )
+    """One row per lower-case id, with all entities spelt that way. The key is one plain text, as edges are shuffled with a copy of it."""
+    return entities.groupBy(F.lower("id").alias("_lower")).agg(F.collect_set(F.struct("category", "id")).alias("_spelt"))
 
 
 def _resolve(edges: DataFrame, end: str, category: Column, names: DataFrame, spread_by: list[str]) -> DataFrame:
     """Add ``<end>_id``: the entity id equal to the end, else the smallest id equal in lower case."""
     name = py_strip(F.col(end))
-    found = lookup(edges, names, F.struct(category.alias("category"), F.lower(name).alias("_lower")), "_probe", spread_by)
-    exact = F.when(F.array_contains("_ids", name), name)
-    return found.withColumn(f"{end}_id", F.coalesce(exact, F.col("_first"))).drop("_first", "_ids")
+    found = lookup(edges, names, F.lower(name), "_lower", spread_by)
+    ids = F.transform(F.filter("_spelt", lambda e: e["category"] == category), lambda e: e["id"])
+    resolved = let(ids, lambda same: F.coalesce(F.when(F.array_contains(same, name), name), F.array_min(same)))
+    return found.withColumn(f"{end}_id", resolved).drop("_spelt")
 
 
 def resolve_ends(edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """Add the entity ids both ends resolve to (NULL where there is none)."""
-    names = _spellings(entities)
+    """Add the entity ids both ends resolve to (NULL where there is none). The names are written, as both ends read them."""
+    names = checkpointed(_spellings(entities))
     parts = F.split("edge_type", "_TO_")
     source, target = F.initcap(F.element_at(parts, 1)), F.initcap(F.element_at(parts, 2))
     found = _resolve(edges, "src", source, names, ["edge_type", "dst", "relationship"])
@@ -70,23 +69,29 @@ def valid_edges(resolved: DataFrame) -> DataFrame:
 def edge_quality(resolved: DataFrame) -> DataFrame:
     """Per edge type: rows, removed rows, and how many distinct names are missing at each end.
 
-    The edges are worked out once and written, as both counts read them.
+    All counts come from one pass: an edge is a row, perhaps a removed one, and has up to two missing names; equal ones
+    are counted before they are shuffled.
     """
-    resolved = checkpointed(resolved.select("edge_type", "src", "dst", "src_id", "dst_id"))
     lost = F.col("src_id").isNull() | F.col("dst_id").isNull()
-    counts = resolved.groupBy("edge_type").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(lost).alias("n_removed")
-    )
-    ends = F.array(
-        F.struct(F.lit("src").alias("end"), F.when(F.col("src_id").isNull(), py_strip(F.col("src"))).alias("name")),
-        F.struct(F.lit("dst").alias("end"), F.when(F.col("dst_id").isNull(), py_strip(F.col("dst"))).alias("name")),
+
+    def entry(kind: str, test: Column | None = None, name: Column | None = None) -> Column:
+        found = F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if name is None else name).alias("name"))
+        return found if test is None else F.when(test, found)
+
+    def missing(end: str) -> Column:
+        name = py_strip(F.col(end))
+        return entry(end, F.col("edge_type").isNotNull() & F.col(f"{end}_id").isNull() & name.isNotNull(), name)
+
+    entries = F.array(entry("row"), entry("lost", lost), missing("src"), missing("dst"))
+    counted = (
+        resolved.select("edge_type", F.inline(entries)).where(F.col("kind").isNotNull())
+        .groupBy("edge_type", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
     )
-    missing = (
-        resolved.where(lost).select("edge_type", F.inline(ends)).where(F.col("name").isNotNull()).distinct()
-        .groupBy("edge_type")
-        .agg(F.count_if(F.col("end") == "src").alias("missing_src"), F.count_if(F.col("end") == "dst").alias("missing_dst"))
+    copies = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    return counted.groupBy("edge_type").agg(
+        copies("row").alias("n_rows"), copies("lost").alias("n_removed"),
+        F.count_if(F.col("kind") == "src").alias("missing_src"), F.count_if(F.col("kind") == "dst").alias("missing_dst"),
     )
-    return counts.join(missing, "edge_type", "left").fillna(0, ["missing_src", "missing_dst"])
 
 
 def existing_ends(pairs: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:

@@ -99,13 +99,20 @@ def rename_global(triples: DataFrame, aliases: DataFrame) -> DataFrame:
     return renamed
 
 
-def graph_facts(triples: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def graph_facts(triples: DataFrame, aliases: DataFrame | None = None, marks: dict[str, Column] | None = None) -> DataFrame:
     """Distinct facts, oriented and in canonical order; entities and edges follow from them.
 
     Orienting and ordering come before the one shuffle, so copies and mirrored copies merge
     map-side. With aliases the facts are merged first, so that the renaming sees no copies.
+    ``marks`` adds flags by name: whether the condition holds for any copy of a fact. So the facts of
+    some of the triples need no pass of their own; they take triples without aliases.
     """
     known = keep_known_categories(triples)
+    if marks:
+        if aliases is not None:
+            raise ValueError("marks need triples without aliases")
+        marked = canonical_ends(orient(known.select(*FACT, *[test.alias(name) for name, test in marks.items()])))
+        return marked.groupBy(*FACT).agg(*[F.bool_or(name).alias(name) for name in marks])
     if aliases is not None:
         known = rename_global(distinct_facts(known).select(*FACT), aliases)
     return canonical_ends(orient(known.select(*FACT))).select(*FACT).distinct()

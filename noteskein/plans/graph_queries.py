@@ -9,6 +9,7 @@ from noteskein.functions.text import edge_type
 from noteskein.operators import aliases, integrity, patterns, triples as T
 from noteskein.plans import views as V
 from noteskein.plans.registry import query
+from noteskein.scale import checkpointed
 
 
 @query(
@@ -160,13 +161,16 @@ _CHECK = {"loose": _LOOSE, "closed": _CLOSED, "resolved": _RESOLVED}
 
 
 def _resolved(spark, sf):
-    raw = V.triples(spark, sf)
-    edges = T.edges(T.graph_facts(raw))
-    loose = edges.withColumns({
+    # All facts and those of closed lines in one pass, written as both edges and entities read them.
+    facts = checkpointed(T.graph_facts(V.triples(spark, sf), marks={"closed": F.col("l_linestatus") == "F"}))
+    edges = T.edges(facts)
+    # Edges are distinct, and other letters can make two equal only within these relations; the rest is not shuffled for that.
+    respelt = F.coalesce(F.col("relationship").isin("supplies", "buys_from"), F.lit(False))
+    loose = edges.where(respelt).withColumns({
         "src": F.when(F.col("relationship") == "supplies", F.upper("src")).otherwise(F.col("src")),
         "dst": F.when(F.col("relationship") == "buys_from", F.concat(F.lit(" "), F.lower("dst"))).otherwise(F.col("dst")),
-    }).distinct()
-    closed = T.entities(T.graph_facts(raw.where(F.col("l_linestatus") == "F")))
+    }).distinct().unionByName(edges.where(~respelt))
+    closed = T.entities(facts.where("closed"))
     return integrity.resolve_ends(loose, closed)
 
 
