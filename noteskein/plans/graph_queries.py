@@ -170,7 +170,7 @@ def _resolved(spark, sf):
         "src": F.when(F.col("relationship") == "supplies", F.upper("src")).otherwise(F.col("src")),
         "dst": F.when(F.col("relationship") == "buys_from", F.concat(F.lit(" "), F.lower("dst"))).otherwise(F.col("dst")),
     }).distinct().unionByName(edges.where(~respelt))
-    closed = T.entities(facts.where("closed"))
+    closed = checkpointed(T.entities(facts.where("closed")))
     return integrity.resolve_ends(loose, closed)
 
 
